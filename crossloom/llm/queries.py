@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, url_filter
+from . import fingerprints, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, repeats, url_filter
 
 
 def _tokenizer(name: str) -> str:
@@ -59,6 +59,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op6_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -68,7 +72,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op7_sentencepiece, op8_quality_rules, op10_language_id]
+    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op6_long_repeats, op7_sentencepiece, op8_quality_rules, op10_language_id]
     return {f.__name__: f for f in ops}
 
 
