@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, packing, pieces, quality_classifier, quality_rules, repeats, url_filter
+from . import fingerprints, jaccard_join, language_id, maxent_lm, packing, pieces, quality_classifier, quality_rules, repeats, url_filter
 
 
 def _tokenizer(name: str) -> str:
@@ -41,6 +41,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = maxent_lm.train(docs.where(F.coalesce(_remainder(7) != 2, F.lit(True))))
+    return maxent_lm.score(docs, model, counts).select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(_remainder(4) != 2))
@@ -72,7 +78,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op6_long_repeats, op7_sentencepiece, op8_quality_rules, op10_language_id]
+    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op6_long_repeats, op7_sentencepiece, op8_quality_rules, op9_maxent_lm, op10_language_id]
     return {f.__name__: f for f in ops}
 
 
