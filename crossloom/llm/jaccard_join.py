@@ -19,7 +19,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
 
 Sets are compared as 64-bit shingle hashes. Defined cases: null, empty and blank texts have an empty set
 and link with nothing; a text with fewer words than a shingle is one shingle as a whole; rows that repeat a
-doc_id are rows of their own with the same component as each other; an empty table gives an empty result.
+doc_id are one document to the components and rows of their own in the result; a null doc_id counts as -1; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -465,6 +466,17 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they are, that have the least doc_id of their component; one row of each doc_id."""
+    found = join(docs, shingle, percent)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    kept = kept.withColumnRenamed("doc_id", "_key")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key"])
+    return rows.join(kept, "_key", "left_semi").drop("_key")
+
+
 def _link(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Edges between nodes that make the exact components of every group."""
     spark = sets.sparkSession

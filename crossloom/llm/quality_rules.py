@@ -95,6 +95,13 @@ def thresholds(stats: DataFrame) -> DataFrame:
     return a.select("lang", "source", *[best[m].alias(f"max_{m}") for m in names])
 
 
+def _within() -> Column:
+    within = F.lit(True)
+    for m in MARGINS:
+        within &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
+    return within
+
+
 def flag(docs: DataFrame) -> DataFrame:
     """Adds the statistics, base_failed and kept to every row; text is dropped."""
     for c in ("lang", "source"):
@@ -104,10 +111,18 @@ def flag(docs: DataFrame) -> DataFrame:
     stats = materialize(statistics(docs.drop(*drop)), "quality-statistics")
     t = thresholds(stats).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = stats.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    within = F.lit(True)
-    for m in MARGINS:
-        within &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & _within())
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that the rules keep."""
+    blank = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source", "text")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *blank)
+    # written once, so that the filter does not repeat the statistics
+    stats = materialize(statistics(rows), "quality-documents")
+    t = thresholds(stats).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    judged = stats.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return judged.where(~base_failed() & _within()).select("_doc.*")
 
 
 def oracle() -> str:
