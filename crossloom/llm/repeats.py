@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blobs, chunks, materialize, pack, ship, text_only, width
+from .runtime import blobs, chunks, compressed, materialize, pack, ship, text_only, width
 from .words import U, mix, powers, prefix_hash
 
 LENGTH = 100
@@ -224,7 +224,8 @@ def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> Data
                 yield from held.flush()
         yield from held.flush()
 
-    return texts.join(wanted, "doc").mapInArrow(run, _OUT)
+    # joined alike at any size: a broadcast of what is asked would not last
+    return texts.join(wanted.hint("merge"), "doc").mapInArrow(run, _OUT)
 
 
 class RunLengthIndex:
@@ -358,16 +359,11 @@ def _removed(docs: DataFrame, length: int, seed: int) -> DataFrame:
     ranges = width(spark)
     met = materialize(_meet(_scan(docs.select("doc", "text"), length, seed, ranges), length, ranges), "met")
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
-
-    texts = docs.select("doc", "text").mapInArrow(compress, "doc long, z binary")
+    texts = compressed(docs.select("doc", "text"))
     settled = _settle(_fetch(texts, met.where("kind IN (1, 4)"), length, ranges), length, ranges)
     marks = met.where("kind = 0").select("doc", "start", "stop").unionByName(settled.select("doc", "start", "stop"))
     spans = materialize(marks, "spans").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return texts.join(spans, "doc", "left")
+    return texts.join(spans.hint("merge"), "doc", "left")
 
 
 def cut(x: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,23 @@ def text_only(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def compressed(texts: DataFrame) -> DataFrame:
+    """The first column (a long) and z: the second one's UTF-8 bytes, compressed, for shuffles."""
+    name = texts.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=[name, "z"])
+
+    return texts.mapInArrow(run, f"{name} long, z binary")
+
+
+def expanded(z: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x) for x in z.to_pylist()], pa.large_binary())
+
+
 def chunks(ids: pa.Array, text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, flat UTF-8 bytes, offsets) for runs of whole documents of about limit bytes. A null id becomes -1."""
     col = text.cast(pa.large_binary())
