@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import blobs, chunks, materialize, pack, ship, text_only, width
+from .runtime import blobs, chunks, compressed, expanded, materialize, pack, ship, text_only, width
 from .words import U, mix, shingle_hashes, words
 
 #: Shingles in a block of a group.
@@ -427,14 +427,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for keys, flat, off in chunks(b.column("doc_id"), b.column("text")):
+            for keys, flat, off in chunks(b.column("doc_id"), expanded(b.column("z"))):
                 h, w, _ = words(flat, off)
                 out = [pack(_set_of(h[w[i] : w[i + 1]], size)) for i in range(len(keys))]
                 part = b.slice(at, len(keys))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grp", "block", "doc_id", "class_a", "class_b")], pa.array(out, pa.binary())], names=["grp", "block", "node", "class_a", "class_b", "tokens"])
                 at += len(keys)
 
-    return docs.join(wanted, "doc_id").mapInArrow(run, "grp long, block int, node long, class_a long, class_b long, tokens binary")
+    # joined alike at any size: a broadcast of the wanted ids would not last
+    return compressed(docs).join(wanted.hint("merge"), "doc_id").mapInArrow(run, "grp long, block int, node long, class_a long, class_b long, tokens binary")
 
 
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
