@@ -1,0 +1,185 @@
+"""Clean-up, combination, series, reports, feeds, streams."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from crossloom import config
+from crossloom.functions import round3, round6
+from crossloom.operators import clean, combine, match, merge, quality, series, sync
+from crossloom.plans import report
+from crossloom.schemas import CLEAN, RAW_FILLS, RAW_LOGS
+from crossloom.sources import feeds, files
+from crossloom.streaming import tape as stream
+
+TOKENS = ("11", "22")
+EXCHANGE = "0x" + "e" * 40
+
+
+def clean_rows(spark, rows):
+    """rows: (venue, unix_ts, trade_id, yes_price, quantity)."""
+    df = spark.createDataFrame(rows, "venue string, unix_ts long, trade_id string, yes_price double, quantity double")
+    full = df.withColumns({"slug": F.lit("e"), "timestamp": F.timestamp_seconds("unix_ts"), "outcome": F.lit("YES"), "side": F.lit("BUY"), "price": F.col("yes_price")})
+    return clean._conform(full)
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    values = [0.0005, 0.0025, 0.0045, 0.7145, 0.90899999842, 0.1235, 2.5, -0.0005]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(round3("x").alias("a"), round6("x").alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(round(v, 3), round(v, 6)) for v in values]
+
+
+def test_fills(spark):
+    row = lambda i, price, size, side, taker="0xt", market="11": (i, "0xh", "1700000000", price, size, side, ("0xm",), (taker,), market)
+    raw = spark.createDataFrame([row("a", "0.29", "870000000", "BUY"), row("b", "0.71", "355000000", "SELL", market="22"), row("c", "0.5", "1", "BUY", EXCHANGE), row("d", "0.0000001", "1", "BUY")], RAW_FILLS)
+    got = {r.trade_id: r for r in clean.clean_fills(raw, "e", EXCHANGE, TOKENS).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].quantity, got["a"].notional_usd, got["a"].side, got["a"].outcome) == (3000.0, 870.0, "SELL", "YES")
+    assert (got["b"].quantity, got["b"].notional_usd, got["b"].side, got["b"].yes_price) == (500.0, 355.0, "BUY", 0.29)
+
+
+def test_logs(spark):
+    word = lambda n: format(n, "064x")
+    topic = lambda a: "0x" + "0" * 24 + a[2:]
+    row = lambda data, taker="0x" + "b" * 40, at="0x5": (["s", "o", topic("0x" + "a" * 40), topic(taker)], "0x" + "".join(map(word, data)), "0xhash", at, "0x64000000")
+    raw = spark.createDataFrame([row([0, 11, 5_000_000, 10_000_000]), row([22, 0, 4_000_000, 1_000_000], at="0x10"), row([11, 22, 1, 1]), row([0, 11, 1, 1], EXCHANGE), row([0, 11, 3, 0], at="0x7")], RAW_LOGS)
+    got = {r.log_index: r for r in clean.clean_logs(raw, "e", EXCHANGE, TOKENS).collect()}
+    assert set(got) == {5, 16, 7}
+    assert (got[5].side, got[5].price, got[5].quantity, got[5].outcome, got[5].taker) == ("SELL", 0.5, 10.0, "YES", "0x" + "b" * 40)
+    assert (got[16].side, got[16].price, got[16].yes_price, got[16].outcome) == ("BUY", 0.25, 0.75, "NO")
+    assert got[7].price is None and got[7].yes_price is None
+    assert sorted(r[0] for r in raw.select(clean.log_kind(EXCHANGE)).collect()) == ["aggregate", "anomaly", "trade", "trade", "trade"]
+
+
+def test_merge_drops_fractions_of_contracts(spark):
+    t = clean_rows(spark, [("kalshi", 5, "k", 0.93, 0.5), ("polymarket", 5, "0xp", 0.90899999842, 0.99), ("polymarket", 6, "0xq", 0.90899999842, 3.7)])
+    got = {r.id: r for r in merge.merge(t).collect()}
+    assert set(got) == {"k", "q"}
+    assert (got["k"].size, got["k"].no_price, got["k"].side) == (0.5, 0.07, "yes")
+    assert (got["q"].size, got["q"].yes_price, got["q"].no_price, got["q"].side) == (3.0, 0.909, 0.091, "YES")
+
+
+def test_combine(spark, tmp_path):
+    a = spark.createDataFrame([("1", "11"), ("2", "11"), ("3", "99")], "id string, market string")
+    b = spark.createDataFrame([("2", "11"), ("4", "22")], "id string, market string")
+    assert sorted(r.id for r in combine.combine([a, b], "id", list(TOKENS)).collect()) == ["1", "2", "4"]
+    c = combine.combine_counts(a.unionByName(b), list(TOKENS)).collect()[0]
+    assert (c.rows, c.foreign_rows, c.duplicates) == (5, 1, 1)
+    lines = spark.createDataFrame([(json.dumps({"id": i, "market": m}),) for i, m in (("1", "11"), ("1", "11"), ("2", "99"))], "value string")
+    out = combine.combine_lines(lines, list(TOKENS))
+    files.write_lines(out, str(tmp_path / "x"), gzip=True)
+    assert files.read_lines(spark, str(tmp_path / "x")).count() == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_lines(out, str(tmp_path / "x"))
+    r = combine.reconcile(a, spark.createDataFrame([("11", 2), ("22", 1)], "market string, expected long")).collect()
+    assert {x.market: x.complete for x in r} == {"11": True, "22": False, "99": None}
+
+
+def test_raw_reader_fails_on_incomplete_records(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text(json.dumps({"id": "1", "timestamp": "5"}) + "\n")
+    with pytest.raises(Exception, match="without"):
+        files.read_raw(spark, "fills", str(tmp_path / "r.jsonl")).collect()
+
+
+def test_structure_and_gap(spark):
+    t = clean_rows(spark, [("kalshi", 10, "a", 0.5, 1.0), ("kalshi", 10, "a", 1.0, 0.0), ("kalshi", 86_500, "b", 0.4, 1.0), ("polymarket", 5, "c", 0.6, 1.0), ("polymarket", 86_600, "d", 0.6, 1.0), ("polymarket", 90, "e", 0.8, 1.0)])
+    bad = {r.check: r.violations for r in quality.structure(t).where("venue = 'kalshi'").collect()}
+    assert bad == {"duplicate_ids": 1, "price_range": 1, "yes_price_range": 1, "no_complement": 0, "quantity_positive": 1}
+    assert [(r.kalshi, r.polymarket) for r in quality.daily_gap(t).collect()] == [(0.75, 0.8)]
+    assert quality.daily_gap(t.where("unix_ts < 10 OR venue = 'kalshi'")).collect() == []
+
+
+def test_grid_and_as_of(spark):
+    series_bucket, series.BUCKET = series.BUCKET, 7
+    try:
+        t = clean_rows(spark, [("kalshi", 3, "a", 0.1, 1.0), ("kalshi", 3, "b", 0.2, 1.0), ("kalshi", 20, "c", 0.3, 1.0), ("polymarket", 10, "d", 0.9, 1.0)])
+        bounds = spark.createDataFrame([("e", 2, 25)], "slug string, lo long, hi long")
+        got = {(r.venue, r.ts): r.yes_price for r in series.second_grid(t, bounds).collect()}
+    finally:
+        series.BUCKET = series_bucket
+    assert len(got) == 48 and got["kalshi", 2] is None and got["kalshi", 3] == 0.2 and got["kalshi", 19] == 0.2 and got["kalshi", 25] == 0.3 and got["polymarket", 9] is None and got["polymarket", 24] == 0.9
+    assert {(r.venue, r.ts): r.yes_price for r in series.second_grid(t, bounds, 5).collect()} == {k: v for k, v in got.items() if (k[1] - 2) % 5 == 0}
+    points = [r.ts for r in series.point_grid(bounds, 4).orderBy("i").collect()]
+    assert points == [2, 9, 17, 25]
+
+
+def test_sync_needs_enough_samples(spark):
+    t = clean_rows(spark, [(v, 60 * i, f"{v}{i}", 0.5 + (i % 7) / 100, 1.0) for i in range(80) for v in ("kalshi", "polymarket")])
+    got = {r.width: r.corr for r in sync.epps_curve(t, [60, 600]).collect()}
+    assert abs(got[60] - 1) < 1e-9 and got[600] is None
+    bounds = series.overlap(t)
+    grid = series.second_grid(t, bounds, 60)
+    peak = sync.peak_lag(sync.lead_lag(grid, [60], 300, 60)).collect()[0]
+    assert peak.lag == 0 and abs(peak.corr - 1) < 1e-9
+    assert {r.regime: r.n for r in sync.half_life(grid, sync.regimes(bounds, 60 * 40)).collect()} == {"full": 80, "pre_shock": 40, "shock": 40}
+
+
+def test_events(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/event.json").write_text(json.dumps({"slug": "a", "kalshi_ticker": "T", "polymarket_condition_id": "0x1", "notes": "n"}))
+    e = config.load_event(str(tmp_path))
+    assert (e.name, e.window_seconds, e.chart_title, e.other) == ("a", 300, "a", {"notes": "n"})
+    assert config.event_from_argv(str(tmp_path), ["a"]) == e and len(config.load_all(str(tmp_path))) == 1
+    with pytest.raises(FileNotFoundError):
+        config.load_event(str(tmp_path), "b")
+    assert config.events_frame(spark, [e]).collect()[0].resolution == "YES"
+
+
+def test_report(spark):
+    t = clean_rows(spark, [("kalshi", 5, "k", 0.4, 10.0), ("polymarket", 6, "p", 0.6, 10.0), ("kalshi", 50, "l", 0.4, 10.0), ("polymarket", 60, "q", 0.6, 4.0)])
+    m = match.match(match.aligned(merge.merge(t)), F.lit(300))
+    points = report.chart_points(t, m, 5)
+    assert points.count() == 5
+    page = report.chart_page(points, "e", "title", 2)
+    assert "<svg" in page and '"locked_in"' in page
+    from crossloom.operators import portfolio
+
+    text = report.results_text(portfolio.settlement(m, F.lit(None).cast("string")), "e")
+    assert text.startswith("Poly tokens: -") and "Net: " in text
+
+
+def fake_trades(url, payload):
+    trade = lambda i: {"trade_id": i, "ticker": "T", "created_time": "2024-01-01T00:00:00Z", "yes_price_dollars": "0.5", "no_price_dollars": "0.5", "count_fp": "1", "taker_outcome_side": "yes", "is_block_trade": False}
+    if "cursor=2" in url:
+        return {"trades": [trade("b"), trade("c")], "cursor": ""}
+    return {"trades": [trade("a"), trade("b")], "cursor": "2"}
+
+
+FILLS = [{"id": f"{i:03d}", "transactionHash": "0x", "timestamp": str(t), "price": "0.5", "size": "1", "side": "BUY", "maker": {"id": "m"}, "taker": {"id": "t"}, "market": {"id": "11"}} for i, t in enumerate([1, 2, 2, 2, 2, 2, 2, 3, 4, 9])]
+
+
+def fake_fills(url, payload):
+    v = payload["variables"]
+    if v["first"] > 100:
+        raise feeds.FeedError("slow", slow=True)
+    rows = [f for f in FILLS if int(v["from"]) <= int(f["timestamp"]) < int(v["to"]) and f["id"] > v["after"]]
+    rows.sort(key=lambda f: f["id"] if "orderBy: id" in payload["query"] else (int(f["timestamp"]), f["id"]))
+    return {"data": {"fills": rows[: min(3, v["first"])]}}
+
+
+def test_feeds(monkeypatch):
+    r = feeds._TradesReader({"transport": "tests.test_tape:fake_trades", "url": "u", "ticker": "T"})
+    assert [x[0] for x in r.read(None)] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="foreign"):
+        list(feeds._TradesReader({"transport": "tests.test_tape:fake_trades", "url": "u", "ticker": "U"}).read(None))
+    monkeypatch.setattr(feeds, "LEAST_PAGE", 3)
+    options = {"transport": "tests.test_tape:fake_fills", "url": "u", "tokens": "11", "start": 0, "end": 10, "shards": 3, "limit": 3}
+    reader = feeds._FillsReader(options)
+    got = [x[0] for p in reader.partitions() for x in reader.read(p)]
+    assert sorted(got) == [f["id"] for f in FILLS] and len(set(got)) == len(got)
+    s = feeds._FillsStream(options | {"span": 4})
+    rows, offset = s.read(s.initialOffset())
+    assert len(list(rows)) == 8 and offset == {"at": 4}
+
+
+def test_streams(spark, tmp_path):
+    t = clean_rows(spark, [("kalshi", 5, "a", 0.4, 10.0), ("kalshi", 5, "a", 0.4, 10.0), ("kalshi", 7, "b", 0.6, 10.0)])
+    t.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream.land(stream.once_each(stream.read_clean(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert spark.read.schema(CLEAN).parquet(str(tmp_path / "out")).count() == 2
+    q = stream.vwap_bins(stream.read_clean(spark, str(tmp_path / "in")), "10 seconds").writeStream.format("memory").queryName("bins").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("bins").collect()[0].trades == 3
