@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ from .words import U, mix, powers, prefix_hash
 
 LENGTH = 100
 SEED = 32
-HOT = 20_000
+HOT = 5_000
+#: Bytes of contexts in one index, unless one anchor has more.
+INDEX_BYTES = 1 << 20
 #: Anchors a task holds before it deals them out.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Bytes of one document that are scanned at a time.
 SLICE = 1 << 22
 _TABLE = np.random.Generator(np.random.PCG64(99)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -156,7 +159,7 @@ def _scan(docs: DataFrame, length: int, seed: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(length, ranges)
         for b in batches:
-            for keys, flat, off in chunks(b.column(0), b.column(1), 1 << 20):
+            for keys, flat, off in chunks(b.column(0), b.column(1), 1 << 19):
                 for i, key in enumerate(keys):
                     for lo, x in _slices(flat[off[i] : off[i + 1]], length):
                         h, c, first, count = anchors(x, length, seed)
@@ -202,26 +205,38 @@ def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, held = zstandard.ZstdDecompressor(), _Held(length, ranges)
         step = (2**64 - 1) // ranges + 1
-        for b in batches:
-            got: dict[int, list] = {}
-            for doc, z, rows in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), b.column("asked").to_pylist(), strict=True):
-                x = unpack.decompress(z)
-                for r in rows:
-                    at, n = r["start"], r["stop"]
-                    part = x[at : at + n + length - 1]
-                    if r["kind"] == 4:
-                        s = prefix_hash(np.frombuffer(part, np.uint8), _TABLE)
-                        _, inv = powers(len(s))
-                        with np.errstate(over="ignore"):
-                            w = (s[length:] - s[:-length]) * inv[:n]
-                            held.add(mix(w ^ U(0x2545F4914F6CDD1D)), mix(w), doc, np.arange(at, at + n), np.ones(n, np.int64))
-                    else:
-                        got.setdefault((r["h"] % 2**64) // step, []).append((doc, at, n, part))
-            for k, rows in got.items():
-                d, a, n, p = zip(*rows, strict=True)
-                yield _rows(3, 1, range=np.array([k], np.int32), edoc=[pack(np.array(d, "i8"))], eat=[pack(np.array(a, "u4"))], en=[pack(np.array(n, "u2"))], bytes=[b"".join(p)])
-            if held.n >= FLUSH:
-                yield from held.flush()
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                b = batch.slice(lo, 500)
+                asked = b.column("asked")
+                rows = asked.flatten()
+                start, count, h, kind = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                ends = np.cumsum(pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
+                got: dict[int, list] = {}
+                at = 0
+                for doc, z, to in zip(b.column("doc").to_pylist(), b.column("z"), ends.tolist(), strict=True):
+                    x = unpack.decompress(z.as_py())
+                    for i in range(at, to):
+                        first, n = int(start[i]), int(count[i])
+                        part = x[first : first + n + length - 1]
+                        if kind[i] == 4:
+                            s = prefix_hash(np.frombuffer(part, np.uint8), _TABLE)
+                            _, inv = powers(len(s))
+                            with np.errstate(over="ignore"):
+                                w = (s[length:] - s[:-length]) * inv[:n]
+                                held.add(mix(w ^ U(0x2545F4914F6CDD1D)), mix(w), doc, np.arange(first, first + n), np.ones(n, np.int64))
+                        else:
+                            got.setdefault((int(h[i]) % 2**64) // step, []).append((doc, first, n, int(h[i]), part))
+                    at = to
+                if got:
+                    cols = {"range": [], "edoc": [], "eat": [], "en": [], "eh": [], "bytes": []}
+                    for k, parts in got.items():
+                        d, a, n, e, p = zip(*parts, strict=True)
+                        for name, value in zip(cols, (k, pack(np.array(d, "i8")), pack(np.array(a, "u4")), pack(np.array(n, "u2")), pack(np.array(e, "i8")), b"".join(p)), strict=True):
+                            cols[name].append(value)
+                    yield _rows(3, len(got), **cols)
+                if held.n >= FLUSH:
+                    yield from held.flush()
         yield from held.flush()
 
     # joined alike at any size: a broadcast of what is asked would not last
@@ -328,17 +343,24 @@ def _settle(fetched: DataFrame, length: int, ranges: int) -> DataFrame:
                 out.append(pa.Table.from_batches([m]))
         mine = table.filter(pa.array(kinds == 3))
         if len(mine):
-            doc, at, n = (np.concatenate(blobs(mine, k, t)).astype(np.int64) for k, t in (("edoc", "i8"), ("eat", "u4"), ("en", "u2")))
+            doc, at, n, h = (np.concatenate(blobs(mine, k, t)).astype(np.int64) for k, t in (("edoc", "i8"), ("eat", "u4"), ("en", "u2"), ("eh", "i8")))
             raw = b"".join(mine.column("bytes").to_pylist())
             size = n + length - 1
             start = np.cumsum(size) - size
-            order = np.lexsort([at, doc])
-            later = later_windows([raw[start[i] : start[i] + size[i]] for i in order], length)
-            windows = n[order]
-            where = np.repeat(at[order] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-            owner = np.repeat(doc[order], windows)
-            if later.any() and (m := _marks(owner[later], where[later], np.ones(int(later.sum()), np.int64), length, ranges)):
-                out.append(pa.Table.from_batches([m]))
+            order = np.lexsort([at, doc, h])
+            # whole anchors, about INDEX_BYTES at a time
+            heads = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+            share = np.cumsum(size[order])[np.r_[heads[1:], len(order)] - 1] // INDEX_BYTES
+            cuts = np.r_[heads[np.flatnonzero(np.r_[True, share[1:] != share[:-1]])], len(order)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                some = order[lo:hi]
+                some = some[np.lexsort([at[some], doc[some]])]
+                later = later_windows([raw[start[i] : start[i] + size[i]] for i in some], length)
+                windows = n[some]
+                where = np.repeat(at[some] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+                owner = np.repeat(doc[some], windows)
+                if later.any() and (m := _marks(owner[later], where[later], np.ones(int(later.sum()), np.int64), length, ranges)):
+                    out.append(pa.Table.from_batches([m]))
         return pa.concat_tables(out)
 
     return fetched.groupBy("range").applyInArrow(run, _OUT)
