@@ -39,7 +39,8 @@ from .words import U, mix, shingle_hashes, words
 MAX_TOKENS = 400_000
 #: Signatures a task holds before it deals them out.
 FLUSH = 1_500_000
-COUNTERS = 64
+#: Least and most buckets in which a set's shingles are counted; about one for every eight shingles.
+COUNTERS = (64, 4096)
 #: Longer runs within a task become a node for each part of them that stays together.
 LOCAL_RUN = 64
 #: A run is not told apart any further once so many classes of it have been compared.
@@ -111,8 +112,17 @@ def _runs(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def counters(s: np.ndarray) -> np.ndarray:
-    """Shingles of a set in each of COUNTERS buckets, up to 65535."""
-    return np.minimum(np.bincount((s & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), 65535).astype(np.uint16)
+    """Shingles of a set in each hash bucket, up to 65535; large sets have more buckets."""
+    k = COUNTERS[0]
+    while k < COUNTERS[1] and 8 * k < len(s):
+        k *= 2
+    return np.minimum(np.bincount((s & U(k - 1)).astype(np.int64), minlength=k), 65535).astype(np.uint16)
+
+
+def folded(counts: list[np.ndarray]) -> np.ndarray:
+    """Counts of several sets in as many buckets as the fewest of them."""
+    k = min(len(c) for c in counts)
+    return np.array([c.astype(np.int32).reshape(-1, k).sum(axis=0) for c in counts])
 
 
 def together(sizes: np.ndarray, counts: np.ndarray, bounds: Bounds) -> np.ndarray:
@@ -190,7 +200,7 @@ def _scan(docs: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
             for at, n in zip(first[length > LOCAL_RUN], length[length > LOCAL_RUN], strict=True):
                 own = cls[at : at + n]
                 have = [sizes[int(c)] for c in own.view(np.int64)]
-                label = together(np.array([h[0] for h in have]), np.array([h[1] for h in have]), bounds)
+                label = together(np.array([h[0] for h in have]), folded([h[1] for h in have]), bounds)
                 for k in np.flatnonzero(np.bincount(label) > 1):
                     members = np.flatnonzero(label == k)
                     node = mix(own[members[:1]] ^ sig[at])
@@ -273,7 +283,7 @@ def _told_apart(runs: DataFrame, percent: int, n: int) -> DataFrame:
         def close(out: list[tuple[int, int]]) -> None:
             if len(rows) > 1:
                 sizes = np.array([r[2] or 0 for r in rows], np.int64)
-                counts = np.array([np.frombuffer(r[3], np.uint16) if r[3] else np.zeros(COUNTERS, np.uint16) for r in rows])
+                counts = folded([np.frombuffer(r[3], np.uint16) if r[3] else np.zeros(COUNTERS[0], np.uint16) for r in rows])
                 lead: dict[int, int] = {}
                 for r, k in zip(rows, together(sizes, counts, bounds).tolist(), strict=True):
                     if lead.setdefault(k, r[1]) != r[1]:
@@ -499,7 +509,8 @@ def _link(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
         edges = edges.unionByName(more)
         left = more.select(F.col("b").alias("node")).distinct().join(heads, "node").select("node", "grp", "blocks")
         left = materialize(left, "heads-left")
-        if again.where("parts > 1").isEmpty() or left.count() == heads.count():
+        # a group that hardly shrinks has few links left; what follows finds them
+        if again.where("parts > 1").isEmpty() or left.count() > 0.8 * heads.count():
             break
         heads, shrink = left, shrink + 1
     # all but the largest component of a group: each document against every block of its group

@@ -40,7 +40,7 @@ LENGTH = 100
 SEED = 32
 HOT = 5_000
 #: Bytes of contexts in one index, unless one anchor has more.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 #: Anchors a task holds before it deals them out.
 FLUSH = 200_000
 #: Bytes of one document that are scanned at a time.
