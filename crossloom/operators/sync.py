@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time_bin
 
-EPPS_BINS = [5, 30, 60, 120, 300, 600, 900, 1800]
+EPPS_BINS = [5, 10, 30, 60, 120, 300, 600, 900, 1800]
 DRIFT_HORIZONS = [10, 30, 60, 120, 300, 600]
 LEAD_LAG_HORIZONS = [300, 900]
 LEAST = 50
@@ -52,6 +54,50 @@ def lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int =
     return chain.join(exchange, ["slug", "horizon", "ts"]).groupBy("slug", "horizon", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("k", "p").alias("corr"))
 
 
+def dense_lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int = 1800, step: int = 60, block: int = 86_400) -> DataFrame:
+    """As lead_lag, for grids of every second: each block of time sums its products over arrays, with no row for each lag."""
+    horizons = horizons or LEAD_LAG_HORIZONS
+    back, ahead = max_lag + max(horizons), max_lag
+    sums = ["n", "m", "x", "y", "xx", "yy", "xy"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        slug, first = key[0].as_py(), key[1].as_py() * block - back
+        at = table.column("ts").to_numpy() - first
+        width = back + block + ahead
+        there, k, p = np.zeros(width, bool), np.full(width, np.nan), np.full(width, np.nan)
+        there[at] = True
+        k[at] = table.column("kalshi").to_numpy(zero_copy_only=False)
+        p[at] = table.column("polymarket").to_numpy(zero_copy_only=False)
+        own, out = slice(back, back + block), []
+        for h in horizons:
+            both = np.zeros(width, bool)
+            both[h:] = there[h:] & there[:-h]
+            dk, dp = np.full(width, np.nan), np.full(width, np.nan)
+            dk[h:], dp[h:] = k[h:] - k[:-h], p[h:] - p[:-h]
+            for lag in range(-max_lag, max_lag + 1, step):
+                far = slice(back + lag, back + block + lag)
+                n = int((both[own] & both[far]).sum())
+                x, y = dk[far], dp[own]
+                ok = ~(np.isnan(x) | np.isnan(y))
+                x, y = x[ok], y[ok]
+                if n:
+                    out.append((slug, h, lag, n, len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y))
+        names = ["slug", "horizon", "lag", *sums]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 6]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    # a second goes to each block that looks back or ahead to it
+    blocks = F.explode(F.sequence(F.floor((F.col("ts") - ahead) / block), F.floor((F.col("ts") + back) / block))).alias("_block")
+    parts = _wide(grid).select("slug", "ts", "kalshi", "polymarket", blocks).where((F.col("ts") >= F.col("_block") * block - back) & (F.col("ts") < (F.col("_block") + 1) * block + ahead))
+    done = parts.groupBy("slug", "_block").applyInArrow(run, "slug string, horizon int, lag int, n long, " + ", ".join(f"{c} double" for c in sums[1:]))
+    s = done.groupBy("slug", "horizon", "lag").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = lambda c: F.col(f"{c}{c}") - F.col(c) * F.col(c) / F.col("m")
+    # what rounding leaves of no variation is none
+    some = (spread("x") > 1e-12 * F.col("xx")) & (spread("y") > 1e-12 * F.col("yy"))
+    corr = (F.col("xy") - F.col("x") * F.col("y") / F.col("m")) / F.sqrt(spread("x") * spread("y"))
+    return s.select("slug", "horizon", "lag", "n", F.when((F.col("m") > 1) & some, corr).alias("corr"))
+
+
 def peak_lag(lags: DataFrame) -> DataFrame:
     """slug, horizon, lag, corr, leader: the greatest correlation; of equal ones the first lag."""
     best = lags.where("corr IS NOT NULL").groupBy("slug", "horizon").agg(F.max(F.struct("corr", (-F.col("lag")).alias("m"))).alias("b"))

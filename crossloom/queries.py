@@ -273,6 +273,49 @@ def drift_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.drift(_grid(spark, sf_dir), [60, 300, 600]).select("slug", "venue", "horizon", _r("p50", 5), _r("p90", 5), _r("p99", 5))
 
 
+# The same on every second of the overlap, with all bins and horizons. The queries above sample every STEP-th second
+# from its begin, as their SQL does. Every second of whole tables is too slow in SQL, so tests check these by brute force.
+def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tape(spark, sf_dir)
+    return series.second_grid(t, series.overlap(t))
+
+
+@_register()
+def second_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seconds(spark, sf_dir)
+
+
+@_register()
+def second_lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.dense_lead_lag(_seconds(spark, sf_dir)).select("slug", "horizon", "lag", "n", _r("corr", 5))
+
+
+@_register()
+def second_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.peak_lag(sync.dense_lead_lag(_seconds(spark, sf_dir))).select("slug", "horizon", "lag", "leader")
+
+
+@_register()
+def second_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    life = sync.half_life(_seconds(spark, sf_dir), sync.regimes(series.overlap(_tape(spark, sf_dir)), SHOCK))
+    return sync.verdict(life, WINDOW).select("slug", "regime", "n", _r("mean", 5), _r("sd", 5), _r("phi", 5), _r("half_life", 3))
+
+
+@_register()
+def second_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.drift(_seconds(spark, sf_dir)).select("slug", "venue", "horizon", _r("p50", 5), _r("p90", 5), _r("p99", 5))
+
+
+@_register()
+def vwap_all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.vwap_bins(_tape(spark, sf_dir), sync.EPPS_BINS).select("slug", "width", "bin", _r("kalshi"), _r("polymarket"))
+
+
+@_register()
+def epps_all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.epps_curve(_tape(spark, sf_dir)).select("slug", "width", "n", _r("corr", 5))
+
+
 @_register(f"SELECT slug, k.timestamp AS kalshi_time, k.id AS kalshi_id, k.yes_price AS kalshi_yes, p.timestamp AS poly_time, p.id AS poly_id, p.yes_price AS poly_yes FROM aligned k JOIN aligned p USING (slug) WHERE k.market = 'kalshi' AND p.market = 'poly' AND abs(k.timestamp - p.timestamp) <= {WINDOW} AND abs(k.yes_price - p.yes_price) >= 1e-4")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.candidate_pairs(_aligned(spark, sf_dir), WINDOW)
