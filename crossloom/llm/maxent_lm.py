@@ -10,9 +10,8 @@ Training covers every training text. Token counts come first, then the counts of
 which are the exact expectations the model is to meet and give its first weights; then UPDATES rounds of
 distributed gradient updates. In each, as many tasks as the cluster runs at once sum what the model expects
 over their sparse batches, the sums meet in an aggregation, and the driver, which holds no more than the
-fixed number of weights, steps each bucket of the one-token templates by its residual (observed less
-expected) over its curvature. Counts of the HOT commonest tokens are
-broadcast (a fixed number); all others meet their counts in a join, which has no hot keys then.
+fixed number of weights, steps each bucket of every template by its residual (observed less expected) over
+its curvature, the sum of p * (1 - p). Counts of the HOT commonest tokens are broadcast (a fixed number); all others meet their counts in a join, which has no hot keys then.
 
 Defined cases: null and empty texts are the end token alone; without training texts every token is
 unknown; tokens are known by 64-bit hashes; rows that repeat a doc_id are scored each on its own and
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from .runtime import chunks, materialize, pack, ship, text_only
 from .words import LOWER, U, mix, words
 
-CLASSES = 48
-TOP = 23
+CLASSES = 64
+TOP = 31
 #: Bits of the buckets of each feature template.
 BITS = (13, 13, 12)
 HOT = 400_000
@@ -44,6 +43,8 @@ DAMP = (0.7, 0.45, 0.2)
 BATCH = 8192
 #: Distinct tokens a task holds before it hands on its counts.
 FLUSH = 4_000_000
+#: Tokens whose contexts a task holds before it sums what the model expects; equal contexts are evaluated once.
+HELD = 2_000_000
 END = 0x454E44
 _ROWS = [1 << b for b in BITS]
 _BASE = np.cumsum([0, *_ROWS])
@@ -106,6 +107,17 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, ctx: list[np.ndarray]) ->
     return z
 
 
+def softmax(weights: np.ndarray, bias: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
+    z = weights[ctx[0]]
+    for k in (1, 2):
+        z += weights[_BASE[k] + ctx[k]]
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -143,16 +155,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def _sums(docs: DataFrame, work) -> np.ndarray:
-    """Sum over tasks of rows x classes; work adds a chunk. There are as many tasks as run at once, so that what they send does not grow with the input."""
-    rows, block = int(_BASE[-1]), 1 << 9
+    """Sum over tasks of rows x work.width; work adds a chunk and, at the end, what it holds. There are as many tasks as run at once, so that what they send does not grow with the input."""
+    rows, block, width = int(_BASE[-1]), 1 << 9, work.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros((rows, CLASSES), np.float64), False
+        total, some = np.zeros((rows, width), np.float64), False
         for b in batches:
             for _, flat, off in chunks(b.column(0), b.column(1)):
                 work(*tokens(flat, off), total)
                 some = True
         if some:
+            work.close(total)
             at = [i for i in range(0, rows, block) if total[i : i + block].any()]
             yield pa.RecordBatch.from_arrays([pa.array([i // block for i in at], pa.int32()), pa.array([pack(total[i : i + block].astype("<f4")) for i in at], pa.binary())], names=["block", "total"])
 
@@ -167,10 +180,10 @@ def _sums(docs: DataFrame, work) -> np.ndarray:
 
     spark, schema = docs.sparkSession, "block int, total binary"
     summed = docs.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add, schema)
-    total = np.zeros((rows, CLASSES))
+    total = np.zeros((rows, width))
     for r in summed.collect():
         i = r["block"] * block
-        t = np.frombuffer(r["total"], np.float64).reshape(-1, CLASSES)
+        t = np.frombuffer(r["total"], np.float64).reshape(-1, width)
         total[i : i + len(t)] += t
     return total
 
@@ -178,6 +191,8 @@ def _sums(docs: DataFrame, work) -> np.ndarray:
 class _Counting:
     """Counts of buckets with classes."""
 
+    width = CLASSES
+
     def __init__(self, classes: Classes):
         self.classes = classes
 
@@ -186,30 +201,43 @@ class _Counting:
         for k, f in enumerate(contexts(tok, cuts)):
             total[_BASE[k] : _BASE[k + 1]] += np.bincount(f * CLASSES + y, minlength=_ROWS[k] * CLASSES).reshape(-1, CLASSES)
 
-
-#: Templates whose weights the updates step; a pair's weights stay as its counts gave them.
-STEPPED = (0, 2)
+    def close(self, total: np.ndarray) -> None:
+        pass
 
 
 class _Expected:
-    """Expected classes of buckets."""
+    """Expected classes of buckets, and the sums of their squared probabilities."""
+
+    width = 2 * CLASSES
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights, bias
+        self.held: list[np.ndarray] = []
 
     def __call__(self, tok: np.ndarray, cuts: np.ndarray, cls: np.ndarray, total: np.ndarray) -> None:
-        ctx = contexts(tok, cuts)
-        # in the order of the first template its buckets lie together
-        order = np.argsort(ctx[0])
-        ctx = [f[order] for f in ctx]
-        for lo in range(0, len(tok), BATCH):
+        a, b, c = contexts(tok, cuts)
+        self.held.append((a << (BITS[1] + BITS[2])) | (b << BITS[2]) | c)
+        if sum(map(len, self.held)) >= HELD:
+            self.close(total)
+
+    def close(self, total: np.ndarray) -> None:
+        if not self.held:
+            return
+        # sorted by the first template, whose buckets then lie together
+        key, times = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held = []
+        ctx = [key >> (BITS[1] + BITS[2]), (key >> BITS[2]) & (_ROWS[1] - 1), key & (_ROWS[2] - 1)]
+        for lo in range(0, len(key), BATCH):
             part = [f[lo : lo + BATCH] for f in ctx]
-            p = np.exp(log_softmax(self.weights, self.bias, part))
-            for k in STEPPED:
-                f, q = part[k], p
+            p = softmax(self.weights, self.bias, part)
+            both = np.empty((len(p), self.width), np.float32)
+            np.multiply(p, times[lo : lo + BATCH, None].astype(np.float32), out=both[:, :CLASSES])
+            np.multiply(both[:, :CLASSES], p, out=both[:, CLASSES:])
+            for k, f in enumerate(part):
+                q = both
                 if k:
                     by = np.argsort(f)
-                    f, q = f[by], p[by]
+                    f, q = f[by], both[by]
                 first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
                 total[_BASE[k] + f[first]] += np.add.reduceat(q, first, axis=0)
 
@@ -239,12 +267,9 @@ class Model:
             self.weights[at] = damp * np.log(rate[at] / prior)
         spark = docs.sparkSession
         for _ in range(UPDATES if self.n else 0):
-            expected = _sums(docs, _Expected(self.weights, self.bias))
-            curve = expected * (1 - expected / np.maximum(each, 1)) + SHRINK
-            step = np.clip(STEP * (seen - expected) / curve, -1, 1)
-            for k in STEPPED:
-                at = slice(_BASE[k], _BASE[k + 1])
-                self.weights[at] += step[at].astype(np.float32)
+            expected, squares = np.split(_sums(docs, _Expected(self.weights, self.bias)), 2, axis=1)
+            step = (seen - expected) / (expected - squares + SHRINK)
+            self.weights = (self.weights + np.clip(STEP * step, -1, 1)).astype(np.float32)
         hot = counts.orderBy(F.desc("n"), "h").limit(HOT).select("h", "n").toArrow()
         h, n = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy()
         order = np.argsort(h)
