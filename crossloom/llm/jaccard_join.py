@@ -432,16 +432,19 @@ def _across(percent: int) -> Callable[[list[tuple]], list[tuple[int, int]]]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """grp, block, node and tokens of the wanted documents (node, doc_id, grp, block)."""
+    """grp, block, node, class and tokens of the wanted documents (doc_id, class_a, class_b, grp, block); other texts of their ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for keys, flat, off in chunks(b.column("doc_id"), expanded(b.column("z"))):
                 h, w, _ = words(flat, off)
-                out = [pack(_set_of(h[w[i] : w[i + 1]], size)) for i in range(len(keys))]
+                sets = [_set_of(h[w[i] : w[i + 1]], size) for i in range(len(keys))]
                 part = b.slice(at, len(keys))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grp", "block", "doc_id", "class_a", "class_b")], pa.array(out, pa.binary())], names=["grp", "block", "node", "class_a", "class_b", "tokens"])
+                asked = zip(part.column("class_a").to_pylist(), part.column("class_b").to_pylist(), strict=True)
+                own = [i for i, (x, s) in enumerate(zip(asked, sets, strict=True)) if _class_of(s) == x]
+                part = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grp", "block", "doc_id", "class_a", "class_b")], pa.array([pack(sets[i]) for i in own], pa.binary())], names=["grp", "block", "node", "class_a", "class_b", "tokens"])
                 at += len(keys)
 
     # joined alike at any size: a broadcast of the wanted ids would not last
@@ -452,7 +455,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id it is linked with, directly or not; itself at least)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = text_only(docs)
+    docs = text_only(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
     ranges = width(spark)
     scan = _scan(docs, shingle, percent, ranges)
     scan = scan.withColumn("range", F.coalesce("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")))
@@ -471,10 +474,21 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     sets = materialize(_sets(docs, wanted.drop("blocks"), shingle).dropDuplicates(["node", "class_a", "class_b"]), "sets")
     links = _link(sets, wanted, percent)
+    # an id with several texts joins their classes
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("class_a", "class_b")).alias("x"), F.max(F.struct("class_a", "class_b")).alias("y")).where("x <> y").select("doc_id")
+    several = materialize(several, "several-texts")
+    repeated = not several.isEmpty()
+    if repeated:
+        shared = rows.join(several, "doc_id", "left_semi").select("doc_id", "class_a", "class_b").distinct().join(classes, ["class_a", "class_b"])
+        links = links.unionByName(shared.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     linked = components(links)
     comp = classes.join(linked, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(comp, ["class_a", "class_b"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if repeated:
+        one = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+        out = out.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
+    return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
