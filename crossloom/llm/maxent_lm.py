@@ -1,58 +1,68 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class). Classes are the commonest tokens (one each)
-and, for all others, hash classes of a word's last three bytes. The context gives three hashed features
-(last token, last two tokens, the one before the last). Each feature's bucket has a weight for every class;
-P(class | context) is a softmax over the sums. Within a class, tokens have add-one estimates; an
-unknown token is one more token of its class.
-
-Training covers every training text. Token counts come first, then the counts of buckets with classes,
-which are the exact expectations the model is to meet and give its first weights; then UPDATES rounds of
-distributed gradient updates. In each, as many tasks as the cluster runs at once sum what the model expects
-over their sparse batches, the sums meet in an aggregation, and the driver, which holds no more than the
-fixed number of weights, steps each bucket of every template by its residual (observed less expected) over
-its curvature, the sum of p * (1 - p). Counts of the HOT commonest tokens are broadcast (a fixed number); all others meet their counts in a join, which has no hot keys then.
+A token's probability is P(class | context) * P(word | class, context). The context gives three hashed
+features (last token, last two tokens, the one before the last: two n-grams and a skip). Both factors are
+softmaxes over sums of weights: each feature's bucket has a weight for every class, and each pair of feature
+and class a weight for every word of the class. Each class has one output for each of its commonest words and
+one for all others; these share that output's probability by add-one counts, an unknown token is one more of them.
+
+Classes follow from the corpus: a token belongs to the class of its last three bytes (hashed into TAILS
+buckets), and those are clustered by how often which endings stand beside them. The end token is a class.
+
+Training covers every training text: token counts, then counts of neighbours for the classes, then ROUNDS of
+distributed gradient updates. A round deals with its share of the documents (each is in one round, by hash). Each
+task starts from the common weights, steps them batch by batch (AdaGrad over sparse rows of both softmaxes
+and all templates), and sends how far each row moved; the moves' means, weighted by the tokens that met the row, are
+added to the common weights. The model's size is fixed, so driver and tasks hold no more than it. Tasks are the
+input's partitions; small ones are put together until a task has about TASK_TOKENS tokens, so that what
+tasks send is a bounded share of the input. Counts of the HOT commonest tokens are broadcast (a fixed
+number); all others meet their counts in a join, which has no hot keys then.
 
 Defined cases: null and empty texts are the end token alone; without training texts every token is
 unknown; tokens are known by 64-bit hashes; rows that repeat a doc_id are scored each on its own and
-count twice in training.
+count twice in training; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import chunks, materialize, pack, ship, text_only
 from .words import LOWER, U, mix, words
 
+#: Classes; the last is the end token's.
 CLASSES = 64
-TOP = 31
-#: Bits of the buckets of each feature template.
+#: Outputs of a class: its commonest words, and one for all others.
+SLOTS = 64
+#: Bits of the buckets of each feature template, for both softmaxes.
 BITS = (13, 13, 12)
+TAILS = 2048
+#: Buckets of endings on each side that describe a tail.
+BESIDE = 128
 HOT = 400_000
-UPDATES = 1
-STEP = 0.35
-SHRINK = 30.0
-#: Share of the evidence that a template's first weights take; the templates overlap.
-DAMP = (0.7, 0.45, 0.2)
-BATCH = 8192
+ROUNDS = 3
+RATE = 0.3
+BATCH = 4096
 #: Distinct tokens a task holds before it hands on its counts.
 FLUSH = 4_000_000
-#: Tokens whose contexts a task holds before it sums what the model expects; equal contexts are evaluated once.
-HELD = 2_000_000
+#: Tokens that a task of a round has at least, unless the cluster would run fewer tasks than it can.
+TASK_TOKENS = 1_000_000
 END = 0x454E44
-_ROWS = [1 << b for b in BITS]
-_BASE = np.cumsum([0, *_ROWS])
+_SIZES = [1 << b for b in BITS]
+_BASE = np.cumsum([0, *_SIZES])
 _OPEN = U(0x0B05)
+_LAST = CLASSES - 1
+_BLOCK = 512
 
 
 def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with an end after each document, where each document's begin and end, hash class)."""
+    """(token hashes with an end after each document, where each document's begin and end, tail bucket; TAILS for ends)."""
     h, at, pos = words(flat, offsets)
     n = len(offsets) - 1
     place = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(at))
@@ -63,13 +73,13 @@ def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in (1, 2, 3):
         has = ends - k >= starts
         tail = (tail << U(8)) | np.where(has, LOWER[flat[np.maximum(ends - k, 0)]], 0).astype(U)
-    cls = np.full(len(out), TOP, np.int16)
-    cls[place] = (TOP + 1 + (mix(tail) % U(CLASSES - TOP - 1)).astype(np.int16)).astype(np.int16)
-    return out, at + np.arange(n + 1), cls
+    tails = np.full(len(out), TAILS, np.int64)
+    tails[place] = (mix(tail) % U(TAILS)).astype(np.int64)
+    return out, at + np.arange(n + 1), tails
 
 
 def contexts(tok: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """Buckets of each template for every token."""
+    """Hash of each template for every token."""
     last, before = np.empty_like(tok), np.empty_like(tok)
     last[1:], before[2:] = tok[:-1], tok[:-2]
     first = cuts[:-1]
@@ -78,44 +88,190 @@ def contexts(tok: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     second = first + 1
     before[second[second < cuts[1:]]] = _OPEN
     with np.errstate(over="ignore"):
-        a, b, c = mix(last ^ U(0x51)), mix(last * U(3) ^ mix(before)), mix(before ^ U(0x77))
-    return [(x >> U(64 - bits)).astype(np.int64) for x, bits in zip((a, b, c), BITS, strict=True)]
-
-
-class Classes:
-    """Which class a token belongs to."""
-
-    def __init__(self, top: np.ndarray):
-        self.top = np.sort(top.astype(U))
-
-    def of(self, tok: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        out = cls.astype(np.int64)
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, tok), len(self.top) - 1)
-            hit = self.top[at] == tok
-            out[hit] = at[hit]
-        return np.where(tok == U(END), TOP, out)
-
-
-def log_softmax(weights: np.ndarray, bias: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
-    z = weights[ctx[0]]
-    for k in (1, 2):
-        z += weights[_BASE[k] + ctx[k]]
+        return [mix(last ^ U(0x51)), mix(last * U(3) ^ mix(before)), mix(before ^ U(0x77))]
+
+
+def rows_of(ctx: list[np.ndarray], cls: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows of the weights that each token's features have: with classes, those of its words' softmax."""
+    out = []
+    for k, (x, bits) in enumerate(zip(ctx, BITS, strict=True)):
+        if cls is not None:
+            with np.errstate(over="ignore"):
+                x = mix(x + cls.astype(U) * U(0x9E3779B97F4A7C15))
+        out.append(_BASE[k] + (x >> U(64 - bits)).astype(np.int64))
+    return out
+
+
+def cluster(beside: np.ndarray, k: int, turns: int = 15) -> np.ndarray:
+    """Class (below k) of each row of counts: weighted k-means over the square roots of its smoothed shares."""
+    n = beside.sum(axis=1)
+    prior = (beside.sum(axis=0) + 1) / (beside.sum() + beside.shape[1])
+    x = np.sqrt((beside + 20 * prior) / (n[:, None] + 20))
+    weight = np.sqrt(n + 1)
+    centers = [x[int(n.argmax())]]
+    near = ((x - centers[0]) ** 2).sum(axis=1)
+    while len(centers) < k:
+        centers.append(x[int((weight * near).argmax())])
+        near = np.minimum(near, ((x - centers[-1]) ** 2).sum(axis=1))
+    c = np.array(centers)
+    for _ in range(turns):
+        label = ((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+        total = np.bincount(label, n + 1e-9, k)
+        for j in np.flatnonzero(total > 0):
+            own = label == j
+            c[j] = np.average(x[own], axis=0, weights=n[own] + 1e-9)
+    return label
+
+
+class Vocabulary:
+    """Class of every token, and its slot in the class: that of its own, or the last for the class's other words."""
+
+    def __init__(self, of_tail: np.ndarray, listed: np.ndarray, slots: np.ndarray):
+        order = np.argsort(listed)
+        self.of_tail, self.listed, self.slots = of_tail, listed[order], slots[order]
+
+    def place(self, tok: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cls, slot = self.of_tail[tails], np.full(len(tok), SLOTS - 1)
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, tok), len(self.listed) - 1)
+            hit = self.listed[at] == tok
+            slot[hit] = self.slots[at[hit]]
+        return cls, slot
+
+
+def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    z = weights[rows[0]]
+    z += weights[rows[1]]
+    z += weights[rows[2]]
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
-    z = weights[ctx[0]]
-    for k in (1, 2):
-        z += weights[_BASE[k] + ctx[k]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def log_likelihood(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each y; bias: one row for all, or one for each."""
+    z = logits(weights, rows, bias)
+    own = z[np.arange(len(z)), y]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+class Steps:
+    """A task's copy of the weights of one softmax, stepped batch by batch."""
+
+    def __init__(self, weights: np.ndarray):
+        self.start, self.weights = weights, weights.copy()
+        self.squares, self.seen = np.ones_like(weights), np.zeros(len(weights), np.int64)
+
+    def step(self, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
+        p = logits(self.weights, rows, bias)
+        np.exp(p, out=p)
+        p /= -p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), y] += 1
+        for f in rows:
+            by = np.argsort(f)
+            f = f[by]
+            first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+            some, g = f[first], np.add.reduceat(p[by], first, axis=0)
+            self.seen[some] += np.diff(np.r_[first, len(f)])
+            square = self.squares[some] + g * g
+            self.squares[some] = square
+            g *= RATE
+            g /= np.sqrt(square, out=square)
+            self.weights[some] += g
+
+    def moved(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, rows in it, tokens that met them, how far they moved)."""
+        for k in range(0, len(self.seen), _BLOCK):
+            at = np.flatnonzero(self.seen[k : k + _BLOCK])
+            if len(at):
+                yield k // _BLOCK, at, self.seen[k + at], self.weights[k + at] - self.start[k + at]
+
+
+class _Rounds:
+    """One task's part of a round."""
+
+    def __init__(self, shared):
+        self.vocabulary, (first, self.bias), (second, self.word_bias) = shared.value
+        self.classes, self.words = Steps(first), Steps(second)
+
+    def __call__(self, tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray) -> None:
+        cls, slot = self.vocabulary.place(tok, tails)
+        ctx = contexts(tok, cuts)
+        for lo in range(0, len(tok), BATCH):
+            part, c = [x[lo : lo + BATCH] for x in ctx], cls[lo : lo + BATCH]
+            self.classes.step(rows_of(part), self.bias, c)
+            inner = np.flatnonzero(c != _LAST)
+            if len(inner):
+                c = c[inner]
+                self.words.step(rows_of([x[inner] for x in part], c), self.word_bias[c], slot[lo : lo + BATCH][inner])
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        yield from self.classes.moved()
+        blocks = len(self.classes.seen) // _BLOCK
+        for k, *rest in self.words.moved():
+            yield (k + blocks, *rest)
+
+
+class _Beside:
+    """Counts of the endings before and behind each tail."""
+
+    def __init__(self):
+        self.total = np.zeros((TAILS, 2 * BESIDE), np.int64)
+
+    def __call__(self, tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray) -> None:
+        inner = np.flatnonzero((tails[1:] < TAILS) & (tails[:-1] < TAILS))
+        a, b = tails[inner], tails[inner + 1]
+        for own, other in ((b, a % BESIDE), (a, BESIDE + b % BESIDE)):
+            self.total += np.bincount(own * 2 * BESIDE + other, minlength=self.total.size).reshape(self.total.shape)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(0, TAILS, _BLOCK):
+            part = self.total[k : k + _BLOCK]
+            at = np.flatnonzero(part.any(axis=1))
+            if len(at):
+                yield k // _BLOCK, at, np.ones(len(at), np.int64), part[at]
+
+
+def _gathered(docs: DataFrame, make: Callable, rows: int, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over tasks, of weight * value and of weight, by row. make() takes a task's tokens and then has its parts."""
+    schema = "block int, at binary, n binary, value binary"
+
+    def send(parts: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], kind: str) -> Iterator[pa.RecordBatch]:
+        for k, at, n, value in parts:
+            cols = [pa.array([k], pa.int32()), *[pa.array([pack(x.astype(t))], pa.binary()) for x, t in ((at, "<i4"), (n, "<i8"), (value, kind))]]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "at", "n", "value"])
+
+    def read(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for k, *x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            at, n, value = (np.frombuffer(v, t) for v, t in zip(x, ("<i4", "<i8", kind), strict=True))
+            yield k, at, n, value.reshape(-1, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for b in batches:
+            for _, flat, off in chunks(b.column(0), b.column(1)):
+                work = work or make()
+                work(*tokens(flat, off))
+        if work:
+            yield from send(work.parts(), kind)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for k, at, n, value in read(b, kind):
+                weight, total = have.setdefault(k, (np.zeros(_BLOCK, np.int64), np.zeros((_BLOCK, width))))
+                weight[at] += n
+                total[at] += n[:, None] * value.astype(np.float64)
+        yield from send(((k, np.arange(_BLOCK), w, t) for k, (w, t) in have.items()), "<f8")
+
+    spark = docs.sparkSession
+    total, weight = np.zeros((rows, width)), np.zeros(rows, np.int64)
+    summed = docs.mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add, schema)
+    for batch in summed.toArrow().to_batches():
+        for k, at, n, value in read(batch, "<f8"):
+            total[k * _BLOCK + at] += value
+            weight[k * _BLOCK + at] += n
+    return total, weight
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -123,158 +279,88 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """h, n, cls (hash class) of every token in the texts."""
+    """h, n, tail of every token in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        kinds: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, kinds, size
+            nonlocal held, ends, size
             if held:
                 u, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-                c = np.concatenate(kinds)[first]
-                held, kinds, size = [], [], 0
+                t = np.concatenate(ends)[first]
+                held, ends, size = [], [], 0
                 for lo in range(0, len(u), 100_000):
                     s = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s]), pa.array(c[s].astype(np.int32))], names=["h", "n", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s]), pa.array(t[s].astype(np.int32))], names=["h", "n", "tail"])
 
         for b in batches:
             for _, flat, off in chunks(b.column(0), b.column(1)):
-                tok, _, cls = tokens(flat, off)
+                tok, _, tails = tokens(flat, off)
                 held.append(tok)
-                kinds.append(cls)
+                ends.append(tails.astype(np.int16))
                 size += len(tok)
                 if size >= FLUSH:
                     yield from flush()
         yield from flush()
 
-    # a token always has the same hash class
-    return docs.mapInArrow(run, "h long, n long, cls int").groupBy("h").agg(F.sum("n").alias("n"), F.min("cls").alias("cls"))
-
-
-def _sums(docs: DataFrame, work) -> np.ndarray:
-    """Sum over tasks of rows x work.width; work adds a chunk and, at the end, what it holds. There are as many tasks as run at once, so that what they send does not grow with the input."""
-    rows, block, width = int(_BASE[-1]), 1 << 9, work.width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros((rows, width), np.float64), False
-        for b in batches:
-            for _, flat, off in chunks(b.column(0), b.column(1)):
-                work(*tokens(flat, off), total)
-                some = True
-        if some:
-            work.close(total)
-            at = [i for i in range(0, rows, block) if total[i : i + block].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i // block for i in at], pa.int32()), pa.array([pack(total[i : i + block].astype("<f4")) for i in at], pa.binary())], names=["block", "total"])
-
-    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, np.ndarray] = {}
-        for b in groups:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(t, "<f4").astype(np.float64)
-                have[k] = have[k] + part if k in have else part
-        if have:
-            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([pack(v) for v in have.values()], pa.binary())], names=["block", "total"])
-
-    spark, schema = docs.sparkSession, "block int, total binary"
-    summed = docs.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add, schema)
-    total = np.zeros((rows, width))
-    for r in summed.collect():
-        i = r["block"] * block
-        t = np.frombuffer(r["total"], np.float64).reshape(-1, width)
-        total[i : i + len(t)] += t
-    return total
-
-
-class _Counting:
-    """Counts of buckets with classes."""
-
-    width = CLASSES
-
-    def __init__(self, classes: Classes):
-        self.classes = classes
-
-    def __call__(self, tok: np.ndarray, cuts: np.ndarray, cls: np.ndarray, total: np.ndarray) -> None:
-        y = self.classes.of(tok, cls)
-        for k, f in enumerate(contexts(tok, cuts)):
-            total[_BASE[k] : _BASE[k + 1]] += np.bincount(f * CLASSES + y, minlength=_ROWS[k] * CLASSES).reshape(-1, CLASSES)
-
-    def close(self, total: np.ndarray) -> None:
-        pass
-
-
-class _Expected:
-    """Expected classes of buckets, and the sums of their squared probabilities."""
-
-    width = 2 * CLASSES
-
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights, bias
-        self.held: list[np.ndarray] = []
-
-    def __call__(self, tok: np.ndarray, cuts: np.ndarray, cls: np.ndarray, total: np.ndarray) -> None:
-        a, b, c = contexts(tok, cuts)
-        self.held.append((a << (BITS[1] + BITS[2])) | (b << BITS[2]) | c)
-        if sum(map(len, self.held)) >= HELD:
-            self.close(total)
-
-    def close(self, total: np.ndarray) -> None:
-        if not self.held:
-            return
-        # sorted by the first template, whose buckets then lie together
-        key, times = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held = []
-        ctx = [key >> (BITS[1] + BITS[2]), (key >> BITS[2]) & (_ROWS[1] - 1), key & (_ROWS[2] - 1)]
-        for lo in range(0, len(key), BATCH):
-            part = [f[lo : lo + BATCH] for f in ctx]
-            p = softmax(self.weights, self.bias, part)
-            both = np.empty((len(p), self.width), np.float32)
-            np.multiply(p, times[lo : lo + BATCH, None].astype(np.float32), out=both[:, :CLASSES])
-            np.multiply(both[:, :CLASSES], p, out=both[:, CLASSES:])
-            for k, f in enumerate(part):
-                q = both
-                if k:
-                    by = np.argsort(f)
-                    f, q = f[by], both[by]
-                first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                total[_BASE[k] + f[first]] += np.add.reduceat(q, first, axis=0)
+    # a token always has the same tail
+    return docs.mapInArrow(run, "h long, n long, tail int").groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
 
 
 class Model:
-    """classes, weights, bias, and for each class the log10 of its tokens' denominator."""
+    """vocabulary; weights and bias of classes and of words; log10 of the denominator of each class's other words."""
 
     def __init__(self, counts: DataFrame, docs: DataFrame):
-        self.n, self.v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).collect()[0])
-        top = counts.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(TOP).select("h").toArrow().column("h").to_numpy()
-        self.classes = Classes(top.view(U) if len(top) else np.empty(0, U))
-        ranked = {int(h): i for i, h in enumerate(self.classes.top.view(np.int64))}
-        known = F.create_map(*[F.lit(x) for kv in ranked.items() for x in kv]) if ranked else None
-        cls: Column = F.when(F.col("h") == END, TOP).otherwise(F.coalesce(known[F.col("h")], F.col("cls")) if ranked else F.col("cls"))
-        of_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in counts.groupBy(cls.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-            of_class[r["c"]], kinds[r["c"]] = r["n"], r["v"]
-        self.log_size = np.log10(of_class + kinds + 1)
-        prior = (of_class + 1) / (of_class.sum() + CLASSES)
-        self.bias = np.log(prior).astype(np.float32)
-        seen = _sums(docs, _Counting(self.classes))
-        self.weights = np.zeros((int(_BASE[-1]), CLASSES), np.float32)
-        each = seen.sum(axis=1, keepdims=True)
-        rate = (seen + SHRINK * prior) / (each + SHRINK)
-        for k, damp in enumerate(DAMP):
-            at = slice(_BASE[k], _BASE[k + 1])
-            self.weights[at] = damp * np.log(rate[at] / prior)
         spark = docs.sparkSession
-        for _ in range(UPDATES if self.n else 0):
-            expected, squares = np.split(_sums(docs, _Expected(self.weights, self.bias)), 2, axis=1)
-            step = (seen - expected) / (expected - squares + SHRINK)
-            self.weights = (self.weights + np.clip(STEP * step, -1, 1)).astype(np.float32)
-        hot = counts.orderBy(F.desc("n"), "h").limit(HOT).select("h", "n").toArrow()
-        h, n = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy()
+        of_tail_n, of_tail_kinds = np.zeros(TAILS + 1), np.zeros(TAILS + 1)
+        for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            of_tail_n[r["tail"]], of_tail_kinds[r["tail"]] = r["n"], r["v"]
+        self.n, self.v = int(of_tail_n.sum()), int(of_tail_kinds.sum())
+        docs = docs.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(self.n / TASK_TOKENS)))
+        beside, _ = _gathered(docs, _Beside, TAILS, 2 * BESIDE, "<u4")
+        of_tail = np.r_[cluster(beside, CLASSES - 1), _LAST]
+
+        hot = counts.orderBy(F.desc("n"), "h").limit(HOT).toArrow()
+        h, n, tail = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy().astype(np.int64), hot.column("tail").to_numpy()
+        listed, slots, cls = [], [], of_tail[tail]
+        in_slot = np.zeros((CLASSES, SLOTS))
+        kinds = np.bincount(of_tail, of_tail_kinds, CLASSES)
+        for c in range(CLASSES - 1):
+            own = np.flatnonzero(cls == c)[: SLOTS - 1]
+            listed.append(h[own])
+            slots.append(np.arange(len(own)))
+            in_slot[c, : len(own)] = n[own]
+            kinds[c] -= len(own)
+        size = np.bincount(of_tail, of_tail_n, CLASSES)
+        in_slot[:, -1] = size - in_slot.sum(axis=1)
+        self.vocabulary = Vocabulary(of_tail, np.concatenate(listed), np.concatenate(slots))
+        self.log_rest = np.log10(in_slot[:, -1] + kinds + 1)
+        self.bias = np.log((size + 1) / (size.sum() + CLASSES)).astype(np.float32)
+        # the last slot is always open, as unknown words go there
+        odds = in_slot + (in_slot > 0) * 0.5
+        odds[:, -1] = in_slot[:, -1] + 1
+        with np.errstate(divide="ignore"):
+            self.word_bias = np.maximum(np.log(odds / odds.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)
+        self.weights, self.word_weights = (np.zeros((int(_BASE[-1]), k), np.float32) for k in (CLASSES, SLOTS))
+        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+        for turn in range(ROUNDS if self.n else 0):
+            self._learn(docs.where(share == turn))
         order = np.argsort(h)
         self.hot = spark.sparkContext.broadcast((h[order], np.log10(n[order] + 1.0)))
-        self.shared = spark.sparkContext.broadcast((self.classes, self.weights, self.bias, self.log_size))
+        self.shared = self._share(spark)
+
+    def _share(self, spark):
+        return spark.sparkContext.broadcast((self.vocabulary, (self.weights, self.bias), (self.word_weights, self.word_bias)))
+
+    def _learn(self, docs: DataFrame) -> None:
+        shared, half = self._share(docs.sparkSession), int(_BASE[-1])
+        total, seen = _gathered(docs, lambda: _Rounds(shared), 2 * half, CLASSES, "<f2")
+        step = (total / np.maximum(seen, 1)[:, None]).astype(np.float32)
+        self.weights, self.word_weights = self.weights + step[:half], self.word_weights + step[half:]
+        shared.unpersist()
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -285,35 +371,49 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(counts, docs), counts.select("h", "n")
 
 
+def log10_of(tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray, shared: tuple, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability of each token, less log10(count + 1) for those that have no slot of their own; which those are)."""
+    vocabulary, (weights, bias), (word_weights, word_bias) = shared
+    cls, slot = vocabulary.place(tok, tails)
+    ctx, value = contexts(tok, cuts), np.empty(len(tok))
+    for lo in range(0, len(tok), BATCH):
+        part, c = [x[lo : lo + BATCH] for x in ctx], cls[lo : lo + BATCH]
+        value[lo : lo + BATCH] = log_likelihood(weights, rows_of(part), bias, c)
+        inner = np.flatnonzero(c != _LAST)
+        if len(inner):
+            c = c[inner]
+            value[lo + inner] += log_likelihood(word_weights, rows_of([x[inner] for x in part], c), word_bias[c], slot[lo : lo + BATCH][inner])
+    value /= np.log(10)
+    other = (slot == SLOTS - 1) & (cls != _LAST)
+    value[other] -= log_rest[cls[other]]
+    return value, other
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     ship(spark)
-    hot, shared = model.hot, model.shared
+    hot, shared, log_rest = model.hot, model.shared, model.log_rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, logs = hot.value
-        classes, weights, bias, log_size = shared.value
         # a document's rows share a number that no other document has
         import uuid
 
         turn = int.from_bytes(uuid.uuid4().bytes[:8], "little", signed=True)
         for b in batches:
-            for keys, flat, off in chunks(b.column(0), b.column(1)):
-                tok, cuts, cls = tokens(flat, off)
-                y, ctx = classes.of(tok, cls), contexts(tok, cuts)
-                value = np.empty(len(tok))
-                for lo in range(0, len(tok), BATCH):
-                    z = log_softmax(weights, bias, [f[lo : lo + BATCH] for f in ctx])
-                    value[lo : lo + BATCH] = z[np.arange(len(z)), y[lo : lo + BATCH]] / np.log(10)
-                value -= log_size[y]
+            at, ids = 0, b.column(0)
+            for keys, flat, off in chunks(ids, b.column(1)):
+                tok, cuts, tails = tokens(flat, off)
+                value, other = log10_of(tok, cuts, tails, shared.value, log_rest)
                 order = np.argsort(tok)
                 ordered = tok[order]
-                at = np.minimum(np.searchsorted(top, ordered), max(0, len(top) - 1))
-                hit = top[at] == ordered if len(top) else np.zeros(len(tok), bool)
+                near = np.minimum(np.searchsorted(top, ordered), max(0, len(top) - 1))
+                hit = top[near] == ordered if len(top) else np.zeros(len(tok), bool)
                 known, gain = np.zeros(len(tok), bool), np.zeros(len(tok))
                 known[order] = hit
-                gain[order[hit]] = logs[at[hit]]
+                gain[order[hit]] = logs[near[hit]]
+                value[other] += gain[other]
                 first = cuts[:-1]
                 add = lambda x: np.add.reduceat(x, first)
                 rare = np.flatnonzero(~known)
@@ -323,8 +423,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     row = _signed(mix(U(turn % 2**64) + np.arange(n, dtype=U)))
                 turn += n
                 zero, none = np.zeros(len(rare)), np.zeros(len(rare), np.int64)
+                doc = pa.concat_arrays([ids.slice(at, n), pa.nulls(len(rare), pa.int64())])
+                at += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[row, row[owner]]), pa.array(np.r_[row, _signed(tok[rare])]), pa.array(np.r_[np.zeros(n, np.int32), np.ones(len(rare), np.int32)]), pa.array(np.r_[keys, none]), pa.array(np.r_[np.diff(cuts), none]), pa.array(np.r_[add(known.astype(np.int64)), none]), pa.array(np.r_[add(gain), zero]), pa.array(np.r_[add(value), zero])],
+                    [pa.array(np.r_[row, row[owner]]), pa.array(np.r_[row, _signed(tok[rare])]), pa.array(np.r_[np.zeros(n, np.int32), np.ones(len(rare), np.int32)]), doc, pa.array(np.r_[np.diff(cuts), none]), pa.array(np.r_[add(known.astype(np.int64)), none]), pa.array(np.r_[add(gain), zero]), pa.array(np.r_[add(value), zero])],
                     names=["row", "h", "rare", "doc_id", "n_tokens", "n_known", "gain", "value"],
                 )
 
@@ -332,7 +434,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     rows = materialize(text_only(docs).mapInArrow(run, schema), "lookups")
     met = rows.join(counts.withColumnRenamed("n", "c"), "h", "left").withColumn("c", F.when(F.col("rare") == 1, F.col("c")))
     known = F.when(F.col("c").isNotNull(), 1).otherwise(0)
-    gained = F.when(F.col("c").isNotNull(), F.log10(F.col("c") + 1.0)).otherwise(0.0)
-    out = met.groupBy("row").agg(F.sum("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(known)).alias("n_known"), (F.sum("gain") + F.sum(gained)).alias("gain"), F.sum("value").alias("value"))
+    # rare tokens have no slot of their own, so what their counts add is the same for both scores
+    gained = F.sum(F.when(F.col("c").isNotNull(), F.log10(F.col("c") + 1.0)).otherwise(0.0))
+    out = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(known)).alias("n_known"), (F.sum("gain") + gained).alias("gain"), (F.sum("value") + gained).alias("value"))
     size = float(np.log10(model.n + model.v + 1))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("gain") + F.col("value")).alias("score"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.lit(size)).alias("base_score"), F.col("value").alias("score"))

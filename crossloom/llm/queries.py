@@ -26,8 +26,9 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("bloc
 BLOCK_SEEDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 
 
-def _remainder(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % n
+def _held(n: int, k: int) -> Column:
+    """Whether the id's remainder is k; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == k, F.lit(False))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,20 +38,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = quality_classifier.train(docs, labels.where(_remainder(5) != 0))
-    return quality_classifier.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+    model = quality_classifier.train(docs, labels.where(~_held(5, 0)))
+    return quality_classifier.score(docs, model).select("doc_id", _held(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model, counts = maxent_lm.train(docs.where(F.coalesce(_remainder(7) != 2, F.lit(True))))
-    return maxent_lm.score(docs, model, counts).select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, counts = maxent_lm.train(docs.where(~_held(7, 2)))
+    return maxent_lm.score(docs, model, counts).select("doc_id", _held(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.train(docs.where(_remainder(4) != 2))
-    return language_id.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    model = language_id.train(docs.where(~_held(4, 2)))
+    return language_id.predict(docs, model).select("doc_id", _held(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is set only where the session names none, as in tests."""
+    """The cluster's shared folder. One is set only where the session names none and runs on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="crossloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -253,13 +253,6 @@ def test_language_model(docs, texts):
         assert abs(got[i].base_score - base) < 1e-6 * max(1, -base) and got[i].score < 0
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    w, b = rng.normal(size=(int(maxent_lm._BASE[-1]), maxent_lm.CLASSES)).astype(np.float32), np.zeros(maxent_lm.CLASSES, np.float32)
-    z = maxent_lm.log_softmax(w, b, [rng.integers(0, n, 50) for n in maxent_lm._ROWS])
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
-
-
 def test_language_id(docs, spark):
     rng = random.Random(5)
     vocabulary = {"xx": ["schön", "über", "nicht", "und"], "yy": ["niño", "que", "para", "los"]}
