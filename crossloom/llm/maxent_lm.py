@@ -127,34 +127,67 @@ class Vocabulary:
     """Class of every token, and its slot in the class: that of its own, or the last for the class's other words."""
 
     def __init__(self, of_tail: np.ndarray, listed: np.ndarray, slots: np.ndarray):
-        order = np.argsort(listed)
-        self.of_tail, self.listed, self.slots = of_tail, listed[order], slots[order]
+        self.of_tail, self.listed, self.slots = of_tail, listed, slots
+        # direct tables by other bits of the hash each, until every listed token has a place of its own
+        self.tables, left, shift = [], np.arange(len(listed)), 48
+        while len(left) and shift >= 0:
+            key = (listed[left] >> U(shift)).astype(np.int64) & 0xFFFF
+            table = np.full(1 << 16, -1, np.int32)
+            table[key[::-1]] = left[::-1]
+            self.tables.append((U(shift), table))
+            left, shift = left[table[key] != left], shift - 12
+        if len(left):
+            raise ValueError("listed tokens repeat")
 
     def place(self, tok: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cls, slot = self.of_tail[tails], np.full(len(tok), SLOTS - 1)
-        if len(self.listed):
-            at = np.minimum(np.searchsorted(self.listed, tok), len(self.listed) - 1)
-            hit = self.listed[at] == tok
-            slot[hit] = self.slots[at[hit]]
+        cls, slot = self.of_tail.take(tails), np.full(len(tok), SLOTS - 1)
+        for shift, table in self.tables:
+            at = table.take((tok >> shift).astype(np.int64) & 0xFFFF)
+            some = np.flatnonzero(at >= 0)
+            at = at[some]
+            hit = self.listed[at] == tok[some]
+            slot[some[hit]] = self.slots[at[hit]]
         return cls, slot
 
 
-def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
+def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the weights of the rows and the bias; which: row of the bias of each, if it has several."""
+    if which is None:
+        z = weights.take(rows[0], axis=0)
+        z += bias
+    else:
+        z = bias.take(which, axis=0)
+        z += weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
+    if len(z) and z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def log_likelihood(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each y; bias: one row for all, or one for each."""
-    z = logits(weights, rows, bias)
+def log_likelihood(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of the probability of each y."""
+    z = logits(weights, rows, bias, which)
     own = z[np.arange(len(z)), y]
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
+def bucket_sums(p: np.ndarray, by: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of p's rows, taken in the order by, of each stretch from first on. Most stretches are short: those are added row by row."""
+    size = np.diff(np.r_[first, len(by)])
+    out = p.take(by[first], axis=0)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] += p.take(by[first[more] + k], axis=0)
+    long = np.flatnonzero(size > 4)
+    if len(long):
+        rest = size[long] - 4
+        starts = np.cumsum(rest) - rest
+        some = np.repeat(first[long] + 4 - starts, rest) + np.arange(rest.sum())
+        out[long] += np.add.reduceat(p.take(by[some], axis=0), starts, axis=0)
+    return out
+
+
 class Steps:
     """A task's copy of the weights of one softmax, stepped batch by batch."""
 
@@ -162,21 +195,22 @@ class Steps:
         self.start, self.weights = weights, weights.copy()
         self.squares, self.seen = np.ones_like(weights), np.zeros(len(weights), np.int64)
 
-    def step(self, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
-        p = logits(self.weights, rows, bias)
+    def step(self, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray, which: np.ndarray | None = None) -> None:
+        p = logits(self.weights, rows, bias, which)
         np.exp(p, out=p)
-        p /= -p.sum(axis=1, keepdims=True)
+        p *= (-1 / p.sum(axis=1))[:, None]
         p[np.arange(len(p)), y] += 1
-        for f in rows:
-            by = np.argsort(f)
+        for k, f in enumerate(rows):
+            by = np.argsort((f - _BASE[k]).astype(np.int16), kind="stable")
             f = f[by]
             first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            some, g = f[first], np.add.reduceat(p[by], first, axis=0)
+            some, g = f[first], bucket_sums(p, by, first)
             self.seen[some] += np.diff(np.r_[first, len(f)])
-            square = self.squares[some] + g * g
+            square = self.squares.take(some, axis=0)
+            square += g * g
             self.squares[some] = square
+            np.divide(g, np.sqrt(square, out=square), out=g)
             g *= RATE
-            g /= np.sqrt(square, out=square)
             self.weights[some] += g
 
     def moved(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -203,7 +237,7 @@ class _Rounds:
             inner = np.flatnonzero(c != _LAST)
             if len(inner):
                 c = c[inner]
-                self.words.step(rows_of([x[inner] for x in part], c), self.word_bias[c], slot[lo : lo + BATCH][inner])
+                self.words.step(rows_of([x[inner] for x in part], c), self.word_bias, slot[lo : lo + BATCH][inner], c)
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         yield from self.classes.moved()
@@ -264,9 +298,8 @@ def _gathered(docs: DataFrame, make: Callable, rows: int, width: int, kind: str)
                 total[at] += n[:, None] * value.astype(np.float64)
         yield from send(((k, np.arange(_BLOCK), w, t) for k, (w, t) in have.items()), "<f8")
 
-    spark = docs.sparkSession
     total, weight = np.zeros((rows, width)), np.zeros(rows, np.int64)
-    summed = docs.mapInArrow(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(add, schema)
+    summed = docs.mapInArrow(run, schema).repartition(-(-rows // _BLOCK), "block").mapInArrow(add, schema)
     for batch in summed.toArrow().to_batches():
         for k, at, n, value in read(batch, "<f8"):
             total[k * _BLOCK + at] += value
@@ -382,7 +415,7 @@ def log10_of(tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray, shared: tuple
         inner = np.flatnonzero(c != _LAST)
         if len(inner):
             c = c[inner]
-            value[lo + inner] += log_likelihood(word_weights, rows_of([x[inner] for x in part], c), word_bias[c], slot[lo : lo + BATCH][inner])
+            value[lo + inner] += log_likelihood(word_weights, rows_of([x[inner] for x in part], c), word_bias, slot[lo : lo + BATCH][inner], c)
     value /= np.log(10)
     other = (slot == SLOTS - 1) & (cls != _LAST)
     value[other] -= log_rest[cls[other]]
