@@ -10,7 +10,7 @@ Classes follow from the corpus: a token belongs to the class of its last three b
 buckets), and those are clustered by how often which endings stand beside them. The end token is a class.
 
 Training covers every training text: token counts, then counts of neighbours for the classes, then ROUNDS of
-distributed gradient updates. A round deals with its share of the documents (each is in one round, by hash). Each
+distributed gradient updates. A round deals with its share of the documents (each is in one round, by a hash of its id). Each
 task starts from the common weights, steps them batch by batch (AdaGrad over sparse rows of both softmaxes
 and all templates), and sends how far each row moved; the moves' means, weighted by the tokens that met the row, are
 added to the common weights. The model's size is fixed, so driver and tasks hold no more than it. Tasks are the
@@ -19,7 +19,7 @@ tasks send is a bounded share of the input. Counts of the HOT commonest tokens a
 number); all others meet their counts in a join, which has no hot keys then.
 
 Defined cases: null and empty texts are the end token alone; without training texts every token is
-unknown; tokens are known by 64-bit hashes; rows that repeat a doc_id are scored each on its own and
+unknown; tokens are known by 52 bits of a hash and the bucket of their ending; rows that repeat a doc_id are scored each on its own and
 count twice in training; a null doc_id stays null.
 """
 
@@ -49,33 +49,38 @@ HOT = 400_000
 ROUNDS = 3
 RATE = 0.3
 BATCH = 4096
-#: Distinct tokens a task holds before it hands on its counts.
+#: Tokens a task holds before it hands on their counts.
 FLUSH = 4_000_000
 #: Tokens that a task of a round has at least, unless the cluster would run fewer tasks than it can.
 TASK_TOKENS = 1_000_000
-END = 0x454E44
+END = 0x454E44000 + TAILS
 _SIZES = [1 << b for b in BITS]
 _BASE = np.cumsum([0, *_SIZES])
 _OPEN = U(0x0B05)
 _LAST = CLASSES - 1
+#: Low bits of a token's key, which hold its tail; the other bits are its hash's.
+_TAIL_BITS = U(0xFFF)
 _BLOCK = 512
 
 
-def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with an end after each document, where each document's begin and end, tail bucket; TAILS for ends)."""
+def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of tokens with an end after each document, where each document's begin and end)."""
     h, at, pos = words(flat, offsets)
     n = len(offsets) - 1
     place = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(at))
-    out = np.full(len(h) + n, END, U)
-    out[place] = h
     starts, ends = pos
     tail = np.zeros(len(h), U)
     for k in (1, 2, 3):
         has = ends - k >= starts
         tail = (tail << U(8)) | np.where(has, LOWER[flat[np.maximum(ends - k, 0)]], 0).astype(U)
-    tails = np.full(len(out), TAILS, np.int64)
-    tails[place] = (mix(tail) % U(TAILS)).astype(np.int64)
-    return out, at + np.arange(n + 1), tails
+    out = np.full(len(h) + n, END, U)
+    out[place] = (h & ~_TAIL_BITS) | (mix(tail) % U(TAILS))
+    return out, at + np.arange(n + 1)
+
+
+def tail_of(tok: np.ndarray) -> np.ndarray:
+    """Bucket of the last three bytes; TAILS for ends."""
+    return (tok & _TAIL_BITS).astype(np.int64)
 
 
 def contexts(tok: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -139,8 +144,8 @@ class Vocabulary:
         if len(left):
             raise ValueError("listed tokens repeat")
 
-    def place(self, tok: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cls, slot = self.of_tail.take(tails), np.full(len(tok), SLOTS - 1)
+    def place(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cls, slot = self.of_tail.take(tail_of(tok)), np.full(len(tok), SLOTS - 1)
         for shift, table in self.tables:
             at = table.take((tok >> shift).astype(np.int64) & 0xFFFF)
             some = np.flatnonzero(at >= 0)
@@ -228,8 +233,8 @@ class _Rounds:
         self.vocabulary, (first, self.bias), (second, self.word_bias) = shared.value
         self.classes, self.words = Steps(first), Steps(second)
 
-    def __call__(self, tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray) -> None:
-        cls, slot = self.vocabulary.place(tok, tails)
+    def __call__(self, tok: np.ndarray, cuts: np.ndarray) -> None:
+        cls, slot = self.vocabulary.place(tok)
         ctx = contexts(tok, cuts)
         for lo in range(0, len(tok), BATCH):
             part, c = [x[lo : lo + BATCH] for x in ctx], cls[lo : lo + BATCH]
@@ -252,7 +257,8 @@ class _Beside:
     def __init__(self):
         self.total = np.zeros((TAILS, 2 * BESIDE), np.int64)
 
-    def __call__(self, tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray) -> None:
+    def __call__(self, tok: np.ndarray, cuts: np.ndarray) -> None:
+        tails = tail_of(tok)
         inner = np.flatnonzero((tails[1:] < TAILS) & (tails[:-1] < TAILS))
         a, b = tails[inner], tails[inner + 1]
         for own, other in ((b, a % BESIDE), (a, BESIDE + b % BESIDE)):
@@ -312,35 +318,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """h, n, tail of every token in the texts."""
+    """h, n of every token in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, ends, size
+            nonlocal held
             if held:
-                u, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-                t = np.concatenate(ends)[first]
-                held, ends, size = [], [], 0
+                u, n = np.unique(np.concatenate(held), return_counts=True)
+                held = []
                 for lo in range(0, len(u), 100_000):
                     s = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s]), pa.array(t[s].astype(np.int32))], names=["h", "n", "tail"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s])], names=["h", "n"])
 
         for b in batches:
             for _, flat, off in chunks(b.column(0), b.column(1)):
-                tok, _, tails = tokens(flat, off)
-                held.append(tok)
-                ends.append(tails.astype(np.int16))
-                size += len(tok)
-                if size >= FLUSH:
+                held.append(tokens(flat, off)[0])
+                if sum(map(len, held)) >= FLUSH:
                     yield from flush()
         yield from flush()
 
-    # a token always has the same tail
-    return docs.mapInArrow(run, "h long, n long, tail int").groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -349,7 +348,7 @@ class Model:
     def __init__(self, counts: DataFrame, docs: DataFrame):
         spark = docs.sparkSession
         of_tail_n, of_tail_kinds = np.zeros(TAILS + 1), np.zeros(TAILS + 1)
-        for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(int(_TAIL_BITS))).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
             of_tail_n[r["tail"]], of_tail_kinds[r["tail"]] = r["n"], r["v"]
         self.n, self.v = int(of_tail_n.sum()), int(of_tail_kinds.sum())
         docs = docs.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(self.n / TASK_TOKENS)))
@@ -357,8 +356,8 @@ class Model:
         of_tail = np.r_[cluster(beside, CLASSES - 1), _LAST]
 
         hot = counts.orderBy(F.desc("n"), "h").limit(HOT).toArrow()
-        h, n, tail = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy().astype(np.int64), hot.column("tail").to_numpy()
-        listed, slots, cls = [], [], of_tail[tail]
+        h, n = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy().astype(np.int64)
+        listed, slots, cls = [], [], of_tail[tail_of(h)]
         in_slot = np.zeros((CLASSES, SLOTS))
         kinds = np.bincount(of_tail, of_tail_kinds, CLASSES)
         for c in range(CLASSES - 1):
@@ -378,7 +377,7 @@ class Model:
         with np.errstate(divide="ignore"):
             self.word_bias = np.maximum(np.log(odds / odds.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)
         self.weights, self.word_weights = (np.zeros((int(_BASE[-1]), k), np.float32) for k in (CLASSES, SLOTS))
-        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+        share = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"))), F.lit(ROUNDS))
         for turn in range(ROUNDS if self.n else 0):
             self._learn(docs.where(share == turn))
         order = np.argsort(h)
@@ -401,13 +400,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     ship(docs.sparkSession)
     docs = text_only(docs)
     counts = materialize(count_tokens(docs), "token-counts")
-    return Model(counts, docs), counts.select("h", "n")
+    return Model(counts, docs), counts
 
 
-def log10_of(tok: np.ndarray, cuts: np.ndarray, tails: np.ndarray, shared: tuple, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log10_of(tok: np.ndarray, cuts: np.ndarray, shared: tuple, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 probability of each token, less log10(count + 1) for those that have no slot of their own; which those are)."""
     vocabulary, (weights, bias), (word_weights, word_bias) = shared
-    cls, slot = vocabulary.place(tok, tails)
+    cls, slot = vocabulary.place(tok)
     ctx, value = contexts(tok, cuts), np.empty(len(tok))
     for lo in range(0, len(tok), BATCH):
         part, c = [x[lo : lo + BATCH] for x in ctx], cls[lo : lo + BATCH]
@@ -437,8 +436,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b in batches:
             at, ids = 0, b.column(0)
             for keys, flat, off in chunks(ids, b.column(1)):
-                tok, cuts, tails = tokens(flat, off)
-                value, other = log10_of(tok, cuts, tails, shared.value, log_rest)
+                tok, cuts = tokens(flat, off)
+                value, other = log10_of(tok, cuts, shared.value, log_rest)
                 order = np.argsort(tok)
                 ordered = tok[order]
                 near = np.minimum(np.searchsorted(top, ordered), max(0, len(top) - 1))
