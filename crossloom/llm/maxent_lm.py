@@ -9,8 +9,8 @@ one for all others; these share that output's probability by add-one counts, an
 Classes follow from the corpus: a token belongs to the class of its last three bytes (hashed into TAILS
 buckets), and those are clustered by how often which endings stand beside them. The end token is a class.
 
-Training covers every training text: token counts, then counts of neighbours for the classes, then ROUNDS of
-distributed gradient updates. A round deals with its share of the documents (each is in one round, by a hash of its id). Each
+Training covers every training text: counts of tokens and of neighbouring endings, then ROUNDS of distributed
+gradient updates. A round deals with its share of the documents (each is in one round, by a hash of its id). Each
 task starts from the common weights, steps them batch by batch (AdaGrad over sparse rows of both softmaxes
 and all templates), and sends how far each row moved; the moves' means, weighted by the tokens that met the row, are
 added to the common weights. The model's size is fixed, so driver and tasks hold no more than it. Tasks are the
@@ -60,6 +60,8 @@ _OPEN = U(0x0B05)
 _LAST = CLASSES - 1
 #: Low bits of a token's key, which hold its tail; the other bits are its hash's.
 _TAIL_BITS = U(0xFFF)
+#: In place of a tail: the key counts a pair of neighbours.
+_PAIR = 0xFFF
 _BLOCK = 512
 
 
@@ -251,29 +253,8 @@ class _Rounds:
             yield (k + blocks, *rest)
 
 
-class _Beside:
-    """Counts of the endings before and behind each tail."""
-
-    def __init__(self):
-        self.total = np.zeros((TAILS, 2 * BESIDE), np.int64)
-
-    def __call__(self, tok: np.ndarray, cuts: np.ndarray) -> None:
-        tails = tail_of(tok)
-        inner = np.flatnonzero((tails[1:] < TAILS) & (tails[:-1] < TAILS))
-        a, b = tails[inner], tails[inner + 1]
-        for own, other in ((b, a % BESIDE), (a, BESIDE + b % BESIDE)):
-            self.total += np.bincount(own * 2 * BESIDE + other, minlength=self.total.size).reshape(self.total.shape)
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        for k in range(0, TAILS, _BLOCK):
-            part = self.total[k : k + _BLOCK]
-            at = np.flatnonzero(part.any(axis=1))
-            if len(at):
-                yield k // _BLOCK, at, np.ones(len(at), np.int64), part[at]
-
-
 def _gathered(docs: DataFrame, make: Callable, rows: int, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over tasks, of weight * value and of weight, by row. make() takes a task's tokens and then has its parts."""
+    """Sums over tasks, of weight * value and of weight, by row. make() takes a task's tokens and then has its parts; kind: type of the values sent."""
     schema = "block int, at binary, n binary, value binary"
 
     def send(parts: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], kind: str) -> Iterator[pa.RecordBatch]:
@@ -317,11 +298,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def neighbours(tok: np.ndarray) -> np.ndarray:
+    """Counts (tail, its neighbours' buckets: before, then behind), flat."""
+    tails = tail_of(tok)
+    inner = np.flatnonzero((tails[1:] < TAILS) & (tails[:-1] < TAILS))
+    a, b = tails[inner], tails[inner + 1]
+    return np.bincount(np.r_[b * 2 * BESIDE + a % BESIDE, a * 2 * BESIDE + BESIDE + b % BESIDE], minlength=TAILS * 2 * BESIDE)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """h, n of every token in the texts."""
+    """h, n of every token in the texts; and of every pair of a tail and a bucket beside it, whose h ends in _PAIR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        pairs = np.zeros(TAILS * 2 * BESIDE, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -335,9 +325,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         for b in batches:
             for _, flat, off in chunks(b.column(0), b.column(1)):
                 held.append(tokens(flat, off)[0])
+                pairs += neighbours(held[-1])
                 if sum(map(len, held)) >= FLUSH:
                     yield from flush()
         yield from flush()
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array((some << 12) | _PAIR), pa.array(pairs[some])], names=["h", "n"])
 
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -345,15 +338,16 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 class Model:
     """vocabulary; weights and bias of classes and of words; log10 of the denominator of each class's other words."""
 
-    def __init__(self, counts: DataFrame, docs: DataFrame):
+    def __init__(self, counts: DataFrame, pairs: DataFrame, docs: DataFrame):
         spark = docs.sparkSession
         of_tail_n, of_tail_kinds = np.zeros(TAILS + 1), np.zeros(TAILS + 1)
         for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(int(_TAIL_BITS))).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
             of_tail_n[r["tail"]], of_tail_kinds[r["tail"]] = r["n"], r["v"]
         self.n, self.v = int(of_tail_n.sum()), int(of_tail_kinds.sum())
         docs = docs.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(self.n / TASK_TOKENS)))
-        beside, _ = _gathered(docs, _Beside, TAILS, 2 * BESIDE, "<u4")
-        of_tail = np.r_[cluster(beside, CLASSES - 1), _LAST]
+        beside, found = np.zeros(TAILS * 2 * BESIDE), pairs.toArrow()
+        beside[found.column("h").to_numpy() >> 12] = found.column("n").to_numpy()
+        of_tail = np.r_[cluster(beside.reshape(TAILS, -1), CLASSES - 1), _LAST]
 
         hot = counts.orderBy(F.desc("n"), "h").limit(HOT).toArrow()
         h, n = hot.column("h").to_numpy().view(U), hot.column("n").to_numpy().astype(np.int64)
@@ -399,8 +393,10 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the counts h, n of its tokens."""
     ship(docs.sparkSession)
     docs = text_only(docs)
-    counts = materialize(count_tokens(docs), "token-counts")
-    return Model(counts, docs), counts
+    found = materialize(count_tokens(docs), "token-counts")
+    is_pair = F.col("h").bitwiseAND(F.lit(int(_TAIL_BITS))) == _PAIR
+    counts = found.where(~is_pair)
+    return Model(counts, found.where(is_pair), docs), counts
 
 
 def log10_of(tok: np.ndarray, cuts: np.ndarray, shared: tuple, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
