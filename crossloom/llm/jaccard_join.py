@@ -8,13 +8,16 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
    many parts empty also reports its empty parts. Classes that share the content of a part are a run. Within
    a run, classes stay apart if their sizes or their counts of shingles in COUNTERS hash buckets prove more
    than d differences; what stays together is joined into a group. A long run within one task is joined
-   there and sent on as one node, so a content that very many documents share costs a row a task.
+   there and sent on as one node with the ranges of its members' sizes and counts, so a content that very many
+   documents share costs a few rows a task. Runs of more than CHUNK nodes are dealt over tasks in chunks;
+   what stays together in a chunk is one node of the next turn, until a run is one chunk.
 3. Token-group matrix. Members of a group are read in turn; each known component keeps the union of its
    tokens; the overlap of a member with that union bounds its overlap with every document of the
    component, and only components whose bound qualifies are opened and compared.
    Groups of more than MAX_TOKENS are cut into blocks; their components' first documents are
-   compared over the blocks again until one block holds them; what then is not yet in the group's largest
-   component is compared with every other block of its group.
+   compared over the blocks again until one block holds them. What then is not yet in the group's largest
+   component is compared with other blocks of its group: those whose token union has one of its rarest tokens, of
+   which it has one more than it may lack, so that no block that qualifies is left out.
 4. Links give components (alternating large-star and small-star steps over ids only).
 
 Sets are compared as 64-bit shingle hashes. Defined cases: null, empty and blank texts have an empty set
@@ -43,8 +46,10 @@ FLUSH = 1_500_000
 COUNTERS = (64, 4096)
 #: Longer runs within a task become a node for each part of them that stays together.
 LOCAL_RUN = 64
-#: A run is not told apart any further once so many classes of it have been compared.
-COMPARED = 8192
+#: Nodes of a run that one task tells apart at a time.
+CHUNK = 2048
+#: Documents in a block of components' first documents, at most.
+HEADS = 256
 
 
 class Bounds:
@@ -119,37 +124,39 @@ def counters(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s & U(k - 1)).astype(np.int64), minlength=k), 65535).astype(np.uint16)
 
 
-def folded(counts: list[np.ndarray]) -> np.ndarray:
-    """Counts of several sets in as many buckets as the fewest of them."""
-    k = min(len(c) for c in counts)
-    return np.array([c.astype(np.int32).reshape(-1, k).sum(axis=0) for c in counts])
+Box = tuple[int, int, np.ndarray, np.ndarray]
+"""Least and greatest size of some sets, and of their counts in each bucket."""
+ANY: Box = (1, 1 << 40, np.zeros(COUNTERS[0], np.uint16), np.full(COUNTERS[0], 65535, np.uint16))
 
 
-def together(sizes: np.ndarray, counts: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """A number for each row; rows differ in it only if sizes or counts prove that no chain of links joins them.
+def around(boxes: list[Box]) -> Box:
+    """The least box that holds all of these."""
+    lo, hi = folded(boxes)
+    return min(b[0] for b in boxes), max(b[1] for b in boxes), lo.min(axis=0).clip(0, 65535).astype(np.uint16), hi.max(axis=0).clip(0, 65535).astype(np.uint16)
 
-    sizes: of the sets, or 0 where unknown (such a row may link with any).
-    """
-    n, label = len(sizes), np.full(len(sizes), -1)
-    wide, p = counts.astype(np.int32), bounds.percent
-    if (sizes == 0).any():
-        return np.zeros(n, np.int64)
-    rest, compared, k = np.arange(n), 0, 0
+
+def folded(boxes: list[Box]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest counts of the boxes in as many buckets as the fewest of them."""
+    k = min(len(b[2]) for b in boxes)
+    lo, hi = (np.array([b[i].astype(np.int32).reshape(-1, k).sum(axis=0) for b in boxes]) for i in (2, 3))
+    return lo, hi
+
+
+def together(boxes: list[Box], bounds: Bounds) -> np.ndarray:
+    """A number for each box; boxes differ in it only if sizes or counts prove that no chain of links joins their sets."""
+    n, p = len(boxes), bounds.percent
+    least, most = np.array([b[0] for b in boxes], np.int64), np.array([b[1] for b in boxes], np.int64)
+    lo, hi = folded(boxes)
+    label, rest, k = np.full(n, -1), np.arange(n), 0
     while len(rest):
         todo, rest = [int(rest[0])], rest[1:]
         label[todo[0]] = k
         while todo and len(rest):
             i = todo.pop()
-            compared += 1
-            if compared > COMPARED:
-                label[rest] = label[i]
-                return np.where(label > 0, 0, label) if k else label
-            low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            near = 100 * low >= p * high
-            at = np.flatnonzero(near)
+            at = np.flatnonzero(100 * np.minimum(most[rest], most[i]) >= p * np.maximum(least[rest], least[i]))
             if len(at):
-                apart = np.abs(wide[rest[at]] - wide[i]).sum(axis=1)
-                at = at[apart * (100 + p) <= (sizes[rest[at]] + sizes[i]) * (100 - p)]
+                gap = np.maximum(lo[rest[at]] - hi[i], lo[i] - hi[rest[at]]).clip(0).sum(axis=1)
+                at = at[gap * (100 + p) <= (most[rest[at]] + most[i]) * (100 - p)]
                 found = rest[at]
                 label[found] = k
                 todo += found.tolist()
@@ -174,7 +181,7 @@ _SCAN = "kind byte, doc_id long, n_shingles long, class_a long, class_b long, ra
 
 
 def _scan(docs: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
-    """Rows of kind 0: a document and its class; 1: an edge class_a -> class_b; 2: signatures of a range."""
+    """Rows of kind 0: a document and its class; 1: an edge class_a -> class_b; 2: signatures of a range; 4: a node (class_a) for several classes, its least and greatest size (n_shingles, class_b) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(percent)
@@ -182,6 +189,10 @@ def _scan(docs: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
         owners: list[np.ndarray] = []
         sizes: dict[int, tuple[int, np.ndarray]] = {}
         held = 0
+        # nodes of different tasks are different
+        import uuid
+
+        salt = uuid.uuid4().int >> 64
 
         def row_batch(kind: int, **cols: list) -> pa.RecordBatch:
             n = len(next(iter(cols.values())))
@@ -199,16 +210,18 @@ def _scan(docs: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
             keep, extra, a, b = np.ones(len(sig), bool), [], [], []
             for at, n in zip(first[length > LOCAL_RUN], length[length > LOCAL_RUN], strict=True):
                 own = cls[at : at + n]
-                have = [sizes[int(c)] for c in own.view(np.int64)]
-                label = together(np.array([h[0] for h in have]), folded([h[1] for h in have]), bounds)
+                have = [(size, size, c, c) for size, c in (sizes[int(c)] for c in own.view(np.int64))]
+                label = together(have, bounds)
                 for k in np.flatnonzero(np.bincount(label) > 1):
                     members = np.flatnonzero(label == k)
-                    node = mix(own[members[:1]] ^ sig[at])
+                    node = mix(own[members[:1]] ^ sig[at] ^ U(salt))
                     keep[at + members] = False
-                    extra.append((sig[at], node[0]))
+                    extra.append((sig[at], node[0], around([have[i] for i in members])))
                     a.append(own[members])
                     b.append(np.full(len(members), node[0], U))
             if extra:
+                nodes = np.array([e[1] for e in extra], U).view(np.int64)
+                yield row_batch(4, doc_id=(nodes & 0xFFFFF), class_a=nodes, n_shingles=[e[2][0] for e in extra], class_b=[e[2][1] for e in extra], counts=[pack(np.r_[e[2][2], e[2][3]]) for e in extra])
                 yield row_batch(1, doc_id=(np.concatenate(a).view(np.int64) & 0xFFFFF), class_a=np.concatenate(a).view(np.int64), class_b=np.concatenate(b).view(np.int64))
                 sig, cls = np.r_[sig[keep], np.array([e[0] for e in extra], U)], np.r_[cls[keep], np.array([e[1] for e in extra], U)]
                 order = np.argsort(sig, kind="stable")
@@ -252,7 +265,7 @@ _FOUND = "kind byte, doc_id long, n_shingles long, class_a long, class_b long, c
 
 
 def _met(scan: DataFrame) -> DataFrame:
-    """Kinds 0 and 1 of the scan, and of kind 3 the members (class_a) of runs (class_b), each distinct run once a range."""
+    """Kinds 0, 1 and 4 of the scan, and of kind 3 the members (class_a) of runs (class_b) with their lengths (doc_id), each distinct run once a range."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
@@ -268,42 +281,86 @@ def _met(scan: DataFrame) -> DataFrame:
         n = length[once]
         at = np.repeat(first[once] - np.cumsum(n) + n, n) + np.arange(n.sum())
         none = pa.nulls(len(at), pa.int64())
-        runs = pa.table({"kind": pa.array(np.full(len(at), 3, np.int8)), "doc_id": none, "n_shingles": none, "class_a": cls[at].view(np.int64), "class_b": np.repeat(name[once], n).view(np.int64), "counts": pa.nulls(len(at), pa.binary())})
+        runs = pa.table({"kind": pa.array(np.full(len(at), 3, np.int8)), "doc_id": np.repeat(n, n), "n_shingles": none, "class_a": cls[at].view(np.int64), "class_b": np.repeat(name[once], n).view(np.int64), "counts": pa.nulls(len(at), pa.binary())})
         return pa.concat_tables([rest, runs])
 
     return scan.groupBy("range").applyInArrow(run, _FOUND)
 
 
-def _told_apart(runs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Edges a -> b that join what stays together of each run; runs: run, cls, size (null: unknown), counts."""
+def _boxed(size_lo: int | None, size_hi: int | None, counts: bytes | None) -> Box:
+    if size_lo is None or counts is None:
+        return ANY
+    c = np.frombuffer(counts, np.uint16)
+    return (size_lo, size_hi, c[: len(c) // 2], c[len(c) // 2 :])
+
+
+_TOLD = "a long, b long, run long, lo long, hi long, counts binary"
+
+
+def _chunks_told(nodes: DataFrame, percent: int, n: int) -> DataFrame:
+    """Of every chunk (run, chunk, parts, cls, lo, hi, counts): edges a -> b that join what stays together, and where a run has several parts, one row (a: null) for each such component b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, at, rows = Bounds(percent), None, []
 
-        def close(out: list[tuple[int, int]]) -> None:
-            if len(rows) > 1:
-                sizes = np.array([r[2] or 0 for r in rows], np.int64)
-                counts = folded([np.frombuffer(r[3], np.uint16) if r[3] else np.zeros(COUNTERS[0], np.uint16) for r in rows])
-                lead: dict[int, int] = {}
-                for r, k in zip(rows, together(sizes, counts, bounds).tolist(), strict=True):
-                    if lead.setdefault(k, r[1]) != r[1]:
-                        out.append((r[1], lead[k]))
+        def close(out: list[tuple]) -> None:
+            if not rows or at is None:
+                return
+            boxes = [_boxed(*r[4:]) for r in rows]
+            label = together(boxes, bounds) if len(rows) > 1 else np.zeros(1, np.int64)
+            lead: dict[int, int] = {}
+            for r, k in zip(rows, label.tolist(), strict=True):
+                if lead.setdefault(k, r[3]) != r[3]:
+                    out.append((r[3], lead[k], None, None, None, None))
+            if rows[0][2] > 1:
+                for k, node in lead.items():
+                    box = around([boxes[i] for i in np.flatnonzero(label == k)])
+                    out.append((None, node, at[0], box[0], box[1], pack(np.r_[box[2], box[3]])))
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["a", "b", "run", "lo", "hi", "counts"])
 
         for b in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[0] != at:
+                if r[:2] != at:
                     close(out)
-                    at, rows = r[0], []
+                    at, rows = r[:2], []
                 rows.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield batch(out)
         out = []
         close(out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield batch(out)
 
-    return runs.repartition(n, "run").sortWithinPartitions("run", "cls").select("run", "cls", "size", "counts").mapInArrow(run, "a long, b long")
+    return nodes.repartition(n, "run", "chunk").sortWithinPartitions("run", "chunk", "cls").select("run", "chunk", "parts", "cls", "lo", "hi", "counts").mapInArrow(run, _TOLD)
+
+
+def _told_apart(runs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Edges a -> b that join what stays together of each run; runs: run, length, cls, lo, hi (sizes; null: unknown), counts.
+
+    A long run goes through turns of chunks. Where a turn leaves most of what it had, its nodes are joined: they
+    are then told apart by their tokens, in the group's blocks.
+    """
+    edges, turn = None, 0
+    while True:
+        parts = F.ceil(F.col("length") / CHUNK).cast("int")
+        dealt = runs.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts")).cast("int"))
+        told = materialize(_chunks_told(dealt, percent, n), "told-apart")
+        new = told.where("a IS NOT NULL").select("a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        left = told.where("a IS NULL").select("run", F.col("b").alias("cls"), "lo", "hi", "counts")
+        length = materialize(left.groupBy("run").agg(F.count(F.lit(1)).alias("length"), F.min("cls").alias("first")), "run-lengths")
+        if length.isEmpty():
+            return edges
+        before = runs.groupBy("run").agg(F.max("length").alias("_before")) if turn else runs.where(f"length > {CHUNK}").groupBy("run").agg(F.max("length").alias("_before"))
+        length = length.join(before, "run").withColumn("_stuck", F.col("length") * 2 > F.col("_before"))
+        runs = materialize(left.join(length.drop("_before"), "run"), "run-nodes")
+        edges = edges.unionByName(runs.where("_stuck AND cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")))
+        runs = runs.where("NOT _stuck").drop("_stuck", "first")
+        turn += 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -462,17 +519,19 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(_met(scan), "met")
     rows = found.where("kind = 0").select("doc_id", "n_shingles", "class_a", "class_b")
     classes = materialize(found.where("kind = 0 AND n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("counts").alias("counts")), "classes")
-    runs = found.where("kind = 3").select(F.col("class_b").alias("run"), F.col("class_a").alias("cls")).distinct()
+    runs = found.where("kind = 3").select(F.col("class_b").alias("run"), F.col("doc_id").alias("length"), F.col("class_a").alias("cls")).distinct()
     # should two sets share a first hash, their sizes and counts are unknown
-    known = classes.groupBy(F.col("class_a").alias("cls")).agg(F.when(F.count(F.lit(1)) == 1, F.max("n")).alias("size"), F.max("counts").alias("counts"))
+    size = F.when(F.count(F.lit(1)) == 1, F.max("n"))
+    known = classes.groupBy(F.col("class_a").alias("cls")).agg(size.alias("lo"), size.alias("hi"), F.max(F.concat("counts", "counts")).alias("counts"))
+    known = known.unionByName(found.where("kind = 4").select(F.col("class_a").alias("cls"), F.col("n_shingles").alias("lo"), F.col("class_b").alias("hi"), "counts"))
     near = _told_apart(runs.join(known, "cls", "left"), percent, width(spark, 2))
     reach = components(near.unionByName(found.where("kind = 1").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))))
     # groups of two classes and more, cut into blocks by their number of shingles
     grouped = classes.join(reach.withColumnsRenamed({"node": "class_a", "component": "grp"}), "class_a")
     blocks = grouped.groupBy("grp").agg(F.ceil(F.sum("n") / MAX_TOKENS).cast("int").alias("blocks"))
-    wanted = grouped.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("class_a", "class_b"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("doc_id"), "class_a", "class_b", "blocks")
+    wanted = grouped.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("class_a", "class_b"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("doc_id"), "class_a", "class_b", "blocks", "n")
     wanted = materialize(wanted, "wanted")
-    sets = materialize(_sets(docs, wanted.drop("blocks"), shingle).dropDuplicates(["node", "class_a", "class_b"]), "sets")
+    sets = materialize(_sets(docs, wanted.drop("blocks", "n"), shingle).dropDuplicates(["node", "class_a", "class_b"]), "sets")
     links = _link(sets, wanted, percent)
     # an id with several texts joins their classes
     several = rows.groupBy("doc_id").agg(F.min(F.struct("class_a", "class_b")).alias("x"), F.max(F.struct("class_a", "class_b")).alias("y")).where("x <> y").select("doc_id")
@@ -502,39 +561,64 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(kept, "_key", "left_semi").drop("_key")
 
 
+def _tokens_of(sets: DataFrame, keys: str) -> DataFrame:
+    """keys (longs, or int for block) and token: a row for each distinct token of the sets of a task's batch with equal keys."""
+    names = [k.split()[0] for k in keys.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                rows: dict[tuple, list[np.ndarray]] = {}
+                for *k, t in zip(*[c.to_pylist() for c in b.slice(lo, 256).columns], strict=True):
+                    rows.setdefault(tuple(k), []).append(np.frombuffer(t, np.int64))
+                found = {k: np.unique(np.concatenate(v)) for k, v in rows.items()}
+                sizes = [len(v) for v in found.values()]
+                cols = [pa.array(np.repeat(np.array(c), sizes), pa.int32() if n == "block" else pa.int64()) for n, c in zip(names, zip(*found, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(list(found.values())))], names=[*names, "token"])
+
+    return sets.select(*names, "tokens").mapInArrow(run, f"{keys}, token long")
+
+
 def _link(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Edges between nodes that make the exact components of every group."""
     spark = sets.sparkSession
     n = width(spark, 2)
     plain = sets.withColumn("query", F.lit(False)).select("grp", "block", "query", "node", "tokens")
     inner = materialize(_by_block(plain, ["grp", "block"], _inside(percent), n), "inner")
-    split = wanted.where("blocks > 1").select("grp", F.col("doc_id").alias("node"), "blocks")
+    split = wanted.where("blocks > 1").select("grp", F.col("doc_id").alias("node"), F.col("block").alias("home"), "n")
     if split.isEmpty():
         return inner
     # first documents of the components of each block meet in fewer blocks, until a group has one
     edges, heads, shrink = inner, inner.select(F.col("b").alias("node")).distinct().join(split, "node"), 1
     while True:
         heads = materialize(heads, "heads")
-        size = heads.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
-        per_block = 256
-        blocks = size.select("grp", F.ceil(F.col("k") / per_block).cast("int").alias("parts"))
-        again = heads.join(blocks, "grp").select("grp", "node", F.pmod(F.xxhash64("node", F.lit(shrink)), F.col("parts")).cast("int").alias("block"), "parts")
+        size = heads.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / HEADS), F.ceil(F.sum("n") / MAX_TOKENS)).cast("int").alias("parts"))
+        again = heads.join(size, "grp").select("grp", "node", F.pmod(F.xxhash64("node", F.lit(shrink)), F.col("parts")).cast("int").alias("block"), "parts")
         more = materialize(_by_block(sets.select("node", "tokens").join(again, "node").withColumn("query", F.lit(False)), ["grp", "block"], _inside(percent), n), "heads-linked")
         edges = edges.unionByName(more)
-        left = more.select(F.col("b").alias("node")).distinct().join(heads, "node").select("node", "grp", "blocks")
-        left = materialize(left, "heads-left")
+        left = materialize(more.select(F.col("b").alias("node")).distinct().join(heads, "node").select("node", "grp", "home", "n"), "heads-left")
         # a group that hardly shrinks has few links left; what follows finds them
         if again.where("parts > 1").isEmpty() or left.count() > 0.8 * heads.count():
             break
         heads, shrink = left, shrink + 1
-    # all but the largest component of a group: each document against every block of its group
+    # all but the largest component of a group
     comp = components(edges)
-    placed = split.join(comp, "node", "left").select("grp", "node", "blocks", F.coalesce("component", "node").alias("component"))
+    placed = split.join(comp, "node", "left").select("grp", "node", "home", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("grp").agg(F.max_by("component", F.struct("k", F.col("component"))).alias("main"))
-    minor = materialize(placed.join(largest, "grp").where("component <> main").select("grp", "node", "blocks"), "minor")
+    minor = materialize(placed.join(largest, "grp").where("component <> main").select("grp", "node", "home"), "minor")
     if minor.isEmpty():
         return edges
-    asked = minor.join(sets.select("node", "tokens"), "node").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "node", "tokens")
     own = plain.join(minor.select("grp").distinct(), "grp", "left_semi")
+    unions = materialize(_tokens_of(own, "grp long, block int").distinct(), "unions")
+    spread = unions.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("blocks"))
+    asking = minor.join(sets.select("node", "tokens"), "node")
+    rare = _tokens_of(asking, "grp long, node long").join(spread, ["grp", "token"])
+    ranked = rare.groupBy("grp", "node").agg(F.sort_array(F.collect_list(F.struct("blocks", "token"))).alias("t"))
+    size = F.size("t")
+    # it shares at least percent of its tokens with a block that qualifies, so one of these at least
+    first = F.slice("t", F.lit(1), size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1)
+    candidates = ranked.select("grp", "node", F.explode(first).alias("t")).select("grp", "node", "t.token").join(unions, ["grp", "token"]).select("grp", "node", "block").distinct()
+    # within its own block all links are known
+    asked = candidates.join(asking.select("node", "home", "tokens"), "node").where("block <> home").select("grp", "block", F.lit(True).alias("query"), "node", "tokens")
     return edges.unionByName(_by_block(own.unionByName(asked), ["grp", "block"], _across(percent), n))

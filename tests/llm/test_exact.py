@@ -77,7 +77,7 @@ def linked(texts, k, percent):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(docs, texts, small, monkeypatch):
     if small:
-        for name, value in (("MAX_TOKENS", 200), ("LOCAL_RUN", 2), ("FLUSH", 2000)):
+        for name, value in (("MAX_TOKENS", 200), ("LOCAL_RUN", 2), ("FLUSH", 2000), ("CHUNK", 3), ("HEADS", 3)):
             monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, 4, 85).collect()}
     assert got == dict(enumerate(linked(texts, 4, 85)))
