@@ -9,12 +9,13 @@ document). Strings are judged on the input; matches never cross documents.
 2. If an anchor's whole context occurs earlier, all its windows do: they go at once (in each task first, so that
    a text with very many copies costs a row a task). Anchors whose bytes have one context only are done.
 3. What remains is contested: equal anchors in different contexts. Their contexts (one for each content)
-   meet in shards, each of which builds a run-length index: suffix array, Burrows-Wheeler
-   transform cut into runs, and for each run's head the exact length of the match with its neighbour. These
-   sampled lengths, streamed in text order, give the matching statistic of every other place (it falls by
-   one from place to place within a run). Suffixes that share LENGTH bytes lie side by side; all
-   but the earliest window among them go. An anchor with more than HOT contexts is
-   not indexed; its windows are dealt by the hash of all their bytes instead.
+   meet in shards, each of which builds a run-length index: the Burrows-Wheeler transform as runs, the text
+   places at both ends of each run, and the length of the match between a run's head and the suffix before it.
+   The suffix array serves to build it and is not kept. From these samples the index streams, in text order,
+   every place's matching statistic: the suffix before it in suffix order, and how long the two match (within a
+   run both follow from the sample before). Windows that match in LENGTH bytes form chains; all but the
+   earliest window of a chain go. Contexts of an anchor with more than HOT of them do not fit a shard: their
+   windows are dealt one by one, by the hash of all their bytes, over all tasks.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than LENGTH stay whole; rows that
 repeat a doc_id are ordered by text, and equal ones are as any copies; a null doc_id comes first; other
@@ -41,6 +42,8 @@ SEED = 32
 HOT = 5_000
 #: Bytes of contexts in one index, unless one anchor has more.
 INDEX_BYTES = 1 << 19
+#: Bytes of text whose anchors are one hash range, on average.
+RANGE_BYTES = 1 << 22
 #: Anchors a task holds before it deals them out.
 FLUSH = 200_000
 #: Bytes of one document that are scanned at a time.
@@ -195,7 +198,7 @@ def _meet(scan: DataFrame, length: int, ranges: int) -> DataFrame:
                     out.append(pa.Table.from_batches([_rows(kind, int(at.sum()), doc=e["doc"][at], start=e["at"][at], stop=e["n"][at], h=e["h"][at].view(np.int64), range=(e["doc"][at] % ranges).astype(np.int32))]))
         return pa.concat_tables(out)
 
-    return scan.groupBy("range").applyInArrow(run, _OUT)
+    return scan.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
 
 
 def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> DataFrame:
@@ -244,15 +247,25 @@ def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> Data
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a text, with match lengths sampled at run heads."""
+    """Run-compressed Burrows-Wheeler transform of a text with samples at the ends of its runs.
+
+    run_byte, run_start: byte (-1: before the text's begin) and first row of each run. sample: text places of the
+    run heads, rising; sample_before and sample_match: the suffix in the row before the head (the end of the run
+    before; -1: none) and the length of its match with the head's.
+    """
 
     def __init__(self, text: np.ndarray):
-        self.text = text
-        self.sa = self._suffixes(text)
-        before = np.where(self.sa > 0, text[self.sa - 1].astype(np.int64), -1)
-        self.heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-        """Places of run heads; between them the transform repeats a byte."""
-        self.samples = self.sa[self.heads]
+        self.length = n = len(text)
+        sa = self._suffixes(text)
+        before = np.where(sa > 0, text[sa - 1].astype(np.int16), -1)
+        heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if n else np.empty(0, np.int64)
+        self.run_byte, self.run_start, self.last_byte = before[heads], heads, int(text[-1]) if n else -1
+        first, last = sa[heads], sa[np.r_[heads[1:], n] - 1] if n else heads
+        neighbour = np.r_[-1, last[:-1]] if n else first
+        match = np.zeros(len(first), np.int64)
+        match[1:] = self._match(text, first[1:], neighbour[1:])
+        order = np.argsort(first)
+        self.sample, self.sample_before, self.sample_match = first[order], neighbour[order], match[order]
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
@@ -269,41 +282,54 @@ class RunLengthIndex:
             ordered = key[order]
             new = np.zeros(n, np.int64)
             new[1:] = ordered[1:] != ordered[:-1]
-            rank = np.empty(n, np.int64)
             ranks = np.cumsum(new)
-            rank[order] = ranks
             if not n or ranks[-1] == n - 1 or have >= n:
                 return order
+            rank = np.empty(n, np.int64)
+            rank[order] = ranks
             follow = np.zeros(n, np.int64)
             follow[: n - have] = rank[have:] + 1
             key = rank.astype(U) * U(n + 1) + follow.astype(U)
             have *= 2
 
-    def statistics(self, step: int = 128) -> np.ndarray:
-        """Length of the match of each place's suffix with the one before it in suffix order."""
-        n = len(self.text)
+    @staticmethod
+    def _match(text: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 128) -> np.ndarray:
+        """How many bytes the suffixes at a and b share."""
+        n, out = len(text), np.zeros(len(a), np.int64)
         padded = np.zeros(n + step, np.uint8)
-        padded[:n] = self.text
+        padded[:n] = text
         rows = np.lib.stride_tricks.sliding_window_view(padded, step)
-        value = np.zeros(n, np.int64)
-        heads = self.heads[self.heads > 0]
-        for lo in range(0, len(heads), 1 << 15):
-            j = heads[lo : lo + (1 << 15)]
-            a, b = self.sa[j], self.sa[j - 1]
-            far, going, left = np.zeros(len(j), np.int64), np.arange(len(j)), n - np.maximum(a, b)
+        for lo in range(0, len(a), 1 << 15):
+            x, y = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
+            far, going, left = np.zeros(len(x), np.int64), np.arange(len(x)), n - np.maximum(x, y)
             while len(going):
-                differ = rows[a[going] + far[going]] != rows[b[going] + far[going]]
+                differ = rows[x[going] + far[going]] != rows[y[going] + far[going]]
                 ends = differ.any(axis=1)
                 far[going] += np.where(ends, differ.argmax(axis=1), step)
                 going = going[~ends & (far[going] < left[going])]
-            value[a] = np.minimum(far, left)
-        sampled = np.zeros(n, bool)
-        sampled[self.samples] = True
-        place = np.arange(n)
-        return np.maximum(np.maximum.accumulate(np.where(sampled, value + place, 0)) - place, 0)
-
-
-def later_windows(parts: list[bytes], length: int) -> np.ndarray:
+            out[lo : lo + (1 << 15)] = np.minimum(far, left)
+        return out
+
+    def statistics(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the text places lo to hi - 1: the suffix before each in suffix order, and the length of their match."""
+        place = np.arange(lo, hi)
+        k = np.searchsorted(self.sample, place, "right") - 1
+        past = place - self.sample[k]
+        none = self.sample_before[k] < 0
+        return np.where(none, -1, self.sample_before[k] + past), np.where(none, 0, np.maximum(self.sample_match[k] - past, 0))
+
+    def back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte before each row's suffix, or -1; row of the suffix that begins with it): the index walked backwards."""
+        size = np.diff(np.r_[self.run_start, self.length])
+        by = np.lexsort([self.run_start, self.run_byte])
+        target = np.empty(len(by), np.int64)
+        # the rows lack the empty suffix, before which the last byte stands
+        target[by] = np.cumsum(size[by]) - size[by] - (self.run_byte[by] < self.last_byte)
+        k = np.searchsorted(self.run_start, rows, "right") - 1
+        return self.run_byte[k], target[k] + rows - self.run_start[k]
+
+
+def later_windows(parts: list[bytes], length: int, piece: int = 1 << 16) -> np.ndarray:
     """Which windows of the parts (in their order, all of each) equal an earlier one."""
     sizes = np.array([len(p) for p in parts], np.int64)
     text = np.full(int(sizes.sum()) + len(parts), 0xFF, np.uint8)
@@ -312,21 +338,23 @@ def later_windows(parts: list[bytes], length: int) -> np.ndarray:
     inside[starts + sizes] = False
     text[inside] = np.frombuffer(b"".join(parts), np.uint8)
     index = RunLengthIndex(text)
-    match = index.statistics()[index.sa]
-    full = np.zeros(len(text), bool)
+    # each place points to the equal window before it in suffix order, the first of them to itself
+    lead = np.arange(len(text))
+    for lo in range(0, len(text), piece):
+        before, match = index.statistics(lo, min(len(text), lo + piece))
+        some = np.flatnonzero(match >= length)
+        lead[lo + some] = before[some]
+    while True:
+        far = lead[lead]
+        if (far == lead).all():
+            break
+        lead = far
     n = np.maximum(sizes - length + 1, 0)
     windows = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-    full[windows] = True
-    # windows that share `length` bytes are neighbours in suffix order
-    group = np.cumsum(match < length)
-    ok = full[index.sa]
-    place, group = index.sa[ok], group[ok]
-    later = np.zeros(len(text), bool)
-    if len(place):
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        least = np.repeat(np.minimum.reduceat(place, first), np.diff(np.r_[first, len(place)]))
-        later[place[place != least]] = True
-    return later[windows]
+    lead = lead[windows]
+    least = np.full(len(text), len(text))
+    np.minimum.at(least, lead, windows)
+    return windows > least[lead]
 
 
 def _settle(fetched: DataFrame, length: int, ranges: int) -> DataFrame:
@@ -363,7 +391,7 @@ def _settle(fetched: DataFrame, length: int, ranges: int) -> DataFrame:
                     out.append(pa.Table.from_batches([m]))
         return pa.concat_tables(out)
 
-    return fetched.groupBy("range").applyInArrow(run, _OUT)
+    return fetched.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -378,7 +406,9 @@ def _removed(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """doc and z (compressed text) of every row, with its spans to remove (list of start, stop; null: none)."""
     spark = docs.sparkSession
     ship(spark)
-    ranges = width(spark)
+    # tasks and their shares stay of one size as the corpus grows
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    ranges = max(width(spark, 2), int(size) // RANGE_BYTES)
     met = materialize(_meet(_scan(docs.select("doc", "text"), length, seed, ranges), length, ranges), "met")
 
     texts = compressed(docs.select("doc", "text"))

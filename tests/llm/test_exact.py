@@ -127,6 +127,36 @@ def test_run_length_index():
             expected.append(p[j : j + 8] in seen)
             seen.add(p[j : j + 8])
     assert repeats.later_windows(parts, 8).tolist() == expected
+    assert repeats.later_windows([], 8).tolist() == [] and repeats.later_windows([b"abc"], 8).tolist() == []
+
+
+@pytest.mark.parametrize("text", [b"a", b"banana", b"abab" * 50, bytes(range(200)) * 3, b"mississippi" * 7 + b"x"])
+def test_run_length_index_holds_its_text(text):
+    index = repeats.RunLengthIndex(np.frombuffer(text, np.uint8))
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    before, match = index.statistics(0, len(text))
+    for k, i in enumerate(order):
+        j = order[k - 1] if k else -1
+        common = next((d for d in range(len(text) - max(i, j)) if text[i + d] != text[j + d]), len(text) - max(i, j)) if k else 0
+        assert (before[i], match[i]) == (j, common)
+    # the runs alone give the text back
+    row, got = np.array([order.index(len(text) - 1)]), [text[-1]]
+    while True:
+        byte, row = index.back(row)
+        if byte[0] < 0:
+            break
+        got.append(int(byte[0]))
+    assert bytes(reversed(got)) == text
+    assert len(index.run_byte) == 1 + sum(a != b for a, b in zip([text[i - 1] if i else -1 for i in order][1:], [text[i - 1] if i else -1 for i in order], strict=False))
+
+
+def test_long_repeats_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(3000)) + passage, passage * 5, "é" * 900, None, "x" + passage + "é" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.spans(docs).collect()} == dict(enumerate(repeats_of(texts, 100)))
 
 
 def test_pieces(docs, texts):
