@@ -47,7 +47,7 @@ COUNTERS = (64, 4096)
 #: Longer runs within a task become a node for each part of them that stays together.
 LOCAL_RUN = 64
 #: Nodes of a run that one task tells apart at a time.
-CHUNK = 2048
+CHUNK = 512
 #: Documents in a block of components' first documents, at most.
 HEADS = 256
 

@@ -43,7 +43,7 @@ HOT = 5_000
 #: Bytes of contexts in one index, unless one anchor has more.
 INDEX_BYTES = 1 << 19
 #: Bytes of text whose anchors are one hash range, on average.
-RANGE_BYTES = 1 << 22
+RANGE_BYTES = 1 << 21
 #: Anchors a task holds before it deals them out.
 FLUSH = 200_000
 #: Bytes of one document that are scanned at a time.
@@ -191,11 +191,13 @@ def _meet(scan: DataFrame, length: int, ranges: int) -> DataFrame:
             if again.any() and (m := _marks(e["doc"][again], e["at"][again], e["n"][again], length, ranges)):
                 out.append(pa.Table.from_batches([m]))
             e = {k: v[~again] for k, v in e.items()}
+            del mine
             first = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
             size = np.repeat(np.diff(np.r_[first, len(e["h"])]), np.diff(np.r_[first, len(e["h"])]))
             for kind, at in ((1, (size > 1) & (size <= HOT)), (4, size > HOT)):
                 if at.any():
                     out.append(pa.Table.from_batches([_rows(kind, int(at.sum()), doc=e["doc"][at], start=e["at"][at], stop=e["n"][at], h=e["h"][at].view(np.int64), range=(e["doc"][at] % ranges).astype(np.int32))]))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return scan.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
