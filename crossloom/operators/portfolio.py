@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 HEDGED = 1e-9
 
 
-def legs(matches: DataFrame) -> DataFrame:
-    """slug, match_seq, book_time, venue, side, size, yes, no: two rows a match."""
-    book = F.greatest("poly_time", "kalshi_time").alias("book_time")
-    one = lambda v: matches.select("slug", "match_seq", book, F.lit(v).alias("venue"), F.col(f"{v}_side").alias("side"), F.col("arb_size").alias("size"), F.col(f"{v}_yes").alias("yes"), F.col(f"{v}_no").alias("no"))
-    return one("poly").unionByName(one("kalshi"))
+def legs(matches: DataFrame, *keep: str) -> DataFrame:
+    """slug, match_seq, book_time, venue, side, size, yes, no: two rows a match; and what else to keep of it."""
+    both = F.array(*[F.struct(F.lit(v).alias("venue"), F.col(f"{v}_side").alias("side"), F.col("arb_size").alias("size"), F.col(f"{v}_yes").alias("yes"), F.col(f"{v}_no").alias("no")) for v in ("poly", "kalshi")])
+    rows = matches.select("slug", "match_seq", F.greatest("poly_time", "kalshi_time").alias("book_time"), *keep, F.explode(both).alias("_leg"))
+    return rows.select("slug", "match_seq", "book_time", *keep, "_leg.*")
 
 
 def cash(side: Column, size: Column, yes: Column, no: Column) -> Column:
@@ -46,7 +46,7 @@ def portfolio(matches: DataFrame) -> DataFrame:
 def settlement(matches: DataFrame, resolution: Column) -> DataFrame:
     """slug, venue, tokens, expense, payback, earnings, net; resolution: YES or NO for a row of matches."""
     args = [F.col(c) for c in ("side", "size", "yes", "no")]
-    rows = legs(matches).join(matches.select("slug", F.upper(F.coalesce(resolution, F.lit("YES"))).alias("_res")).distinct(), "slug")
+    rows = legs(matches.withColumn("_res", F.upper(F.coalesce(resolution, F.lit("YES")))), "_res")
     price = F.when(F.col("side") == "YES", F.col("yes")).otherwise(F.col("no"))
     yes = F.when(F.col("_res") == "YES", 1.0).otherwise(0.0)
     out = rows.groupBy("slug", "venue").agg(

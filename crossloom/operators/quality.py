@@ -22,13 +22,22 @@ def structure(tape: DataFrame, sequence: str | None = None) -> DataFrame:
     }
     rows = tape.groupBy("slug", "venue").agg(*[v.cast("long").alias(k) for k, v in checks.items()])
     if sequence is not None:
-        w = Window.partitionBy("slug", "venue").orderBy(sequence)
-        falls = tape.withColumn("_fall", F.col("unix_ts") < F.lag("unix_ts").over(w)).groupBy("slug", "venue").agg(F.count_if("_fall").cast("long").alias("time_order"))
-        rows = rows.join(falls, ["slug", "venue"])
+        rows = rows.join(falls(tape, sequence), ["slug", "venue"])
     names = [c for c in rows.columns if c not in ("slug", "venue")]
     return rows.unpivot(["slug", "venue"], names, "check", "violations").withColumn("ok", F.col("violations") == 0)
 
 
+def falls(tape: DataFrame, sequence: str) -> DataFrame:
+    """slug, venue, time_order: how often time falls in the stored order. Ranges of that order count by themselves and then compare their ends."""
+    ranges = tape.select("slug", "venue", F.col(sequence).alias("_seq"), "unix_ts").repartitionByRange("slug", "venue", "_seq").withColumn("_range", F.spark_partition_id())
+    w = Window.partitionBy("_range", "slug", "venue").orderBy("_seq")
+    inside = ranges.withColumn("_fall", F.col("unix_ts") < F.lag("unix_ts").over(w)).groupBy("slug", "venue", "_range")
+    ends = inside.agg(F.count_if("_fall").alias("_n"), F.min_by("unix_ts", "_seq").alias("_first"), F.max_by("unix_ts", "_seq").alias("_last"), F.min("_seq").alias("_seq"))
+    before = Window.partitionBy("slug", "venue").orderBy("_seq")
+    ends = ends.withColumn("_n", F.col("_n") + F.coalesce(F.col("_first") < F.lag("_last").over(before), F.lit(False)).cast("long"))
+    return ends.groupBy("slug", "venue").agg(F.sum("_n").alias("time_order"))
+
+
 def only_buys(tape: DataFrame) -> DataFrame:
     """slug, ok: whether all of the exchange's rows are buys."""
     return tape.where("venue = 'kalshi'").groupBy("slug").agg(F.bool_and(F.col("side") == "BUY").alias("ok"))
@@ -47,7 +56,7 @@ def complete(raw: DataFrame, counters: DataFrame) -> DataFrame:
 
 def daily_gap(tape: DataFrame) -> DataFrame:
     """slug, day, kalshi, polymarket, gap: daily mean prices within the overlap, on days that both have."""
-    clipped = tape.join(F.broadcast(overlap(tape)), "slug").where(F.col("unix_ts").between(F.col("lo"), F.col("hi")))
+    clipped = tape.join(overlap(tape), "slug").where(F.col("unix_ts").between(F.col("lo"), F.col("hi")))
     of = lambda v: F.avg(F.when(F.col("venue") == v, F.col("yes_price"))).alias(v)
     day = F.to_date(F.timestamp_seconds("unix_ts")).alias("day")
     return clipped.groupBy("slug", day).agg(of("kalshi"), of("polymarket")).where("kalshi IS NOT NULL AND polymarket IS NOT NULL").withColumn("gap", F.col("kalshi") - F.col("polymarket"))

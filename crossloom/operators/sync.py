@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time_bin
@@ -113,9 +113,10 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
     spread = _wide(grid).select("slug", "ts", (F.col("kalshi") - F.col("polymarket")).alias("b"))
     first = spread.groupBy("slug").agg(F.min("ts").alias("_first"))
     r = regimes.join(first, "slug").select("slug", "regime", F.greatest("from_ts", "_first").alias("_lo"), F.col("to_ts").alias("_hi"))
-    s = spread.join(F.broadcast(r), "slug").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
-    w = Window.partitionBy("slug", "regime").orderBy("ts")
-    pairs = s.withColumn("_prev", F.lag("b").over(w))
+    s = spread.join(r, "slug").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
+    # the sample before is an equi-join away, so that no window spans a tape
+    prior = s.select("slug", "regime", (F.col("ts") + step).alias("ts"), F.col("b").alias("_prev"))
+    pairs = s.join(prior, ["slug", "regime", "ts"], "left")
     fit = pairs.groupBy("slug", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("mean"), F.stddev_pop("b").alias("sd"), F.regr_slope("b", "_prev").alias("phi"))
     enough = F.col("n") >= LEAST
     life = F.when(enough & (F.col("phi") > 0) & (F.col("phi") < 1), -F.lit(0.6931471805599453) / F.ln("phi"))
