@@ -3,9 +3,10 @@
 Normalisation puts one escaped space before a non-empty text and escapes every space. A word is a
 run of escaped spaces with what follows up to the next one; no piece holds an escaped space behind
 another character, so words are encoded by themselves. Distinct words of a batch lie in flat numpy
-arrays. Each round finds, per word, the smallest pair rank (the leftmost of equal ones), merges that
-pair in all words at once and compacts; words without a mergeable pair leave. Words longer than
-LONG_WORD symbols go through a heap instead, which makes the same merges in the same order.
+arrays. Each round finds, per word, the smallest pair rank and merges its pairs from the left wherever they do not
+overlap, in all words at once, and compacts; words without a mergeable pair leave. That is what merging one
+pair at a time gives, unless a merge makes a pair of the same or a smaller rank: in such a word only the leftmost
+pair is merged in that round. So a long word takes about a round for each rank in it.
 
 Defined cases: null and empty texts give no ids and an empty decoded text; characters without a
 piece become byte pieces; very long texts are handled whole.
@@ -14,7 +15,6 @@ piece become byte pieces; very long texts are handled whole.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from .runtime import ship, text_only
 
 SPACE = "▁"
-LONG_WORD = 96
 #: Words a worker remembers between batches; beyond that it forgets all.
 REMEMBER = 300_000
 NO_RANK = np.iinfo(np.int64).max
@@ -98,23 +97,15 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word (already escaped)."""
-        out: list[list[int] | None] = [None] * len(words)
-        short = []
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self._ids(self._heap(self._symbols(w)))
-            else:
-                short.append(k)
-        joined = "".join([words[k] for k in short])
-        flat = self._char_symbols()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        symbols, ends = self._rounds(flat, np.array([len(words[k]) for k in short], np.int64))
-        listed, at = symbols.tolist(), 0
-        pieceless = np.zeros(len(short), bool)
+        flat = self._char_symbols()[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        symbols, ends = self._rounds(flat, np.array([len(w) for w in words], np.int64))
+        listed, at, out = symbols.tolist(), 0, []
+        pieceless = np.zeros(len(words), bool)
         pieceless[np.searchsorted(ends, np.flatnonzero(symbols >= self.n), "right")] = True
-        for k, end, some in zip(short, ends.tolist(), pieceless.tolist(), strict=True):
-            out[k] = self._ids(listed[at:end]) if some else listed[at:end]
+        for end, some in zip(ends.tolist(), pieceless.tolist(), strict=True):
+            out.append(self._ids(listed[at:end]) if some else listed[at:end])
             at = end
-        return out  # type: ignore[return-value]
+        return out
 
     def _char_symbols(self) -> np.ndarray:
         """Symbol of each code point."""
@@ -142,11 +133,14 @@ class PieceModel:
             if over.any():
                 out_sym.append(sym[over])
                 out_word.append(word[over])
-            # the leftmost pair of the least rank in each remaining word
+            # pairs of the least rank in each remaining word, every other one where they overlap
             hit = np.flatnonzero((rank == least_of) & ~over)
             if not len(hit):
                 break
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]
+            head = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
+            place = np.arange(len(hit))
+            hit = hit[(place - np.repeat(head, np.diff(np.r_[head, len(hit)]))) % 2 == 0]
+            hit = self._safe(sym, word, to, hit, least_of[hit])
             sym[hit] = to[hit]
             stay = ~over
             stay[hit + 1] = False
@@ -165,36 +159,22 @@ class PieceModel:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.cumsum(np.bincount(owner, minlength=len(lengths)))
 
-    def _heap(self, sym: list[int]) -> list[int]:
-        n = len(sym)
-        prev, nxt, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        table = self._table()
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j >= 0 and (found := table.get((sym[i], sym[j]))):
-                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b, to = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], alive[j], nxt[i] = to, False, nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            push(i)
-            if prev[i] >= 0:
-                push(prev[i])
-        return [s for s, live in zip(sym, alive, strict=True) if live]
-
-    def _table(self) -> dict[tuple[int, int], tuple[int, int]]:
-        if not hasattr(self, "_pair_table"):
-            self._pair_table = {divmod(k, self.n): (r, t) for k, r, t in zip(self.pair_key.tolist(), self.pair_rank.tolist(), self.pair_to.tolist(), strict=True)}
-        return self._pair_table
+    def _safe(self, sym: np.ndarray, word: np.ndarray, to: np.ndarray, hit: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """hit, but only the first of words in which a merge makes a pair of its own rank or a smaller one."""
+        first = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
+        if first.all():
+            return hit
+        made = to[hit]
+        # to the left stands what the merge before has made, if that is next to this one
+        joins = np.r_[False, hit[1:] == hit[:-1] + 2]
+        left = np.where(joins, np.r_[0, made[:-1]], sym[np.maximum(hit - 1, 0)])
+        has_left = (hit > 0) & (word[np.maximum(hit - 1, 0)] == word[hit])
+        after = np.minimum(hit + 2, len(sym) - 1)
+        has_right = (hit + 2 < len(sym)) & (word[after] == word[hit])
+        bad = (has_left & (self._pairs(left, made)[0] <= least)) | (has_right & (self._pairs(made, sym[after])[0] <= least))
+        if not bad.any():
+            return hit
+        return hit[first | ~np.isin(word[hit], word[hit[bad]])]
 
     def surface(self, ids: list[int]) -> str:
         """Text of pieces without the rule for the leading space; runs of byte pieces are read as UTF-8."""

@@ -165,7 +165,7 @@ def test_pieces(docs, texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
     model = pieces.coder(str(public_tokenizers.path("piece_bpe_32k.model")))
     rng = random.Random(2)
-    odd = ["▁a▁ ▁", "  lead", "😀 e😀", "<s> <0x0A>", "ab" * 300, " " * 90, *["".join(rng.choice(" ab\n▁theinñ漢😀<>0x") for _ in range(60)) for _ in range(200)]]
+    odd = ["▁a▁ ▁", "  lead", "😀 e😀", "<s> <0x0A>", "ab" * 300, " " * 90, "aaaaaaa", "ha" * 2001, "the" * 900, "x" * 20_001, "漢字かな" * 700, "".join(rng.choice("eanrtil") for _ in range(30_000)), "".join(rng.choice("ab") for _ in range(3000)), *["".join(rng.choice("theinrgsa") for _ in range(rng.randint(100, 400))) for _ in range(150)], *["".join(rng.choice(" ab\n▁theinñ漢😀<>0x") for _ in range(60)) for _ in range(200)]]
     for t, (n, ids, decoded) in zip(odd, model.digest(odd), strict=True):
         assert ids == ",".join(map(str, sp.encode(t))) and decoded == sp.decode(sp.encode(t)) and n == len(sp.encode(t))
         assert model.model.decode(sp.encode(t)) == decoded
