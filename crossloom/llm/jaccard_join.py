@@ -622,3 +622,18 @@ def _link(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     # within its own block all links are known
     asked = candidates.join(asking.select("node", "home", "tokens"), "node").where("block <> home").select("grp", "block", F.lit(True).alias("query"), "node", "tokens")
     return edges.unionByName(_by_block(own.unionByName(asked), ["grp", "block"], _across(percent), n))
+
+
+def oracle(shingle: int, percent: int) -> str:
+    """The same in DuckDB SQL: sets of shingles as text, all pairs that share one, closure of the links."""
+    whole = "[array_to_string(ws, ' ')]"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN {whole}
+  ELSE list_distinct(list_transform(range(1, len(ws) - {shingle - 2}), lambda i: array_to_string(list_slice(ws, i, i + {shingle - 1}), ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = other)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""

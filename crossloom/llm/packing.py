@@ -28,7 +28,9 @@ from .runtime import materialize, ship, text_only
 
 CAPACITY = 1024
 END_ID = 2
+#: Salts of a length, at least; beyond that a salt has about SALT_ROWS pieces, should all have one length.
 SALTS = 64
+SALT_ROWS = 250_000
 #: Words a worker remembers between batches; beyond that it forgets all.
 REMEMBER = 400_000
 SPECIAL = "<|endoftext|>"
@@ -218,7 +220,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset (long) to rows with doc_id, piece and length."""
     spark = pieces.sparkSession
     ship(spark)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, pieces.count() // SALT_ROWS)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "length-counts")

@@ -2,8 +2,11 @@
 
 Statistics of each text feed mergeable KLL quantile sketches per (language, source). Sketches of a
 language and of the corpus are merges of those, and serve groups with few documents. A document is
-rejected when a statistic lies beyond its group's upper fence, median + SPREAD * (upper quartile -
-median) + margin, where the margin is the statistic's resolution.
+rejected when a statistic lies beyond its group's upper fence: the greater of median + SPREAD * (upper quartile -
+median) and the WIDE quantile, plus a margin, which is the statistic's resolution. So a group in which an eighth
+of the documents repeat lines has a higher fence than one in which none does, while a few odd ones do not move it.
+Sketches are exact up to SKETCH_K documents; beyond that their merges are randomised, and a fence may differ a
+little from run to run. Within a run there is one table of fences.
 
 Defined cases: null text counts as empty; empty texts and texts under MIN_WORDS words fail the base
 rule; a null language or source is a group of its own; repeated rows stay repeated rows; an empty
@@ -27,8 +30,9 @@ MAX_REPEAT_PERCENT = 30
 SKETCH_K = 4096
 MIN_GROUP = 30
 SPREAD = 6.0
-#: Statistic -> margin of its fence.
-MARGINS = {"symbol_ratio": 0.02, "upper_ratio": 0.15, "dup_line_ratio": 0.5, "repeat_ratio": 0.3}
+WIDE = 0.875
+#: Statistic -> margin of its fence: one line repeated in three, two windows of eight words repeated in a text of a hundred words.
+MARGINS = {"symbol_ratio": 0.02, "upper_ratio": 0.05, "dup_line_ratio": 0.35, "repeat_ratio": 0.16}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -85,7 +89,7 @@ def thresholds(stats: DataFrame) -> DataFrame:
 
     def fences(df: DataFrame, *keys: str, level: str) -> DataFrame:
         q = lambda m, r: F.kll_sketch_get_quantile_double(m, F.lit(r))
-        fence = lambda m: q(m, 0.5) + F.lit(SPREAD) * (q(m, 0.75) - q(m, 0.5)) + F.lit(MARGINS[m])
+        fence = lambda m: F.greatest(q(m, 0.5) + F.lit(SPREAD) * (q(m, 0.75) - q(m, 0.5)), q(m, WIDE)) + F.lit(MARGINS[m])
         return df.where("n > 0").select(*keys, F.when(F.col("n") >= (MIN_GROUP if level != "all" else 1), F.struct(*[fence(m).alias(m) for m in names])).alias(level))
 
     by_lang = merged(fine, "lang")
@@ -127,14 +131,14 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB SQL, exact quantiles in place of sketches (which are exact up to SKETCH_K items)."""
-    fences = {m: f"q50_{m} + {SPREAD} * (q75_{m} - q50_{m}) + {MARGINS[m]}" for m in MARGINS}
+    fences = {m: f"greatest(q50_{m} + {SPREAD} * (q75_{m} - q50_{m}), q87_{m}) + {MARGINS[m]}" for m in MARGINS}
     levels, ranked = [], []
     for level, keys in (("own", ["lang", "source"]), ("language", ["lang"]), ("all_", [])):
         part = f"PARTITION BY {', '.join(keys)} " if keys else ""
         over = f"OVER ({part.strip()})"
         cols = ", ".join(f"row_number() OVER ({part}ORDER BY {m}) AS r_{m}" for m in MARGINS)
         sel = "".join(f"{k}, " for k in keys)
-        picks = ", ".join(f"min({m}) FILTER (r_{m} >= ceil({r} * n)) AS q{int(r * 100)}_{m}" for m in MARGINS for r in (0.5, 0.75))
+        picks = ", ".join(f"min({m}) FILTER (r_{m} >= ceil({r} * n)) AS q{int(r * 100)}_{m}" for m in MARGINS for r in (0.5, 0.75, WIDE))
         by = f"GROUP BY {sel}n" if keys else "GROUP BY n"
         ranked.append(f"r_{level} AS (SELECT {sel}{', '.join(MARGINS)}, count(*) {over} AS n, {cols} FROM good)")
         levels.append(f"l_{level} AS (SELECT {sel}n, {', '.join(f'{fences[m]} AS f_{m}' for m in MARGINS)} FROM (SELECT {sel}n, {picks} FROM r_{level} {by}))")

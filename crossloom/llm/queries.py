@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.oracle()}
+    return {"op5_jaccard_join": jaccard_join.oracle(4, 85), "op6_long_repeats": repeats.oracle(), "op8_quality_rules": quality_rules.oracle()}

@@ -467,3 +467,15 @@ def clean(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     out = keyed.select("doc", *keep).join(left, "doc")
     cols = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same in DuckDB SQL, over every window of every text as hexadecimal digits."""
+    return f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM t WHERE length(h) >= {2 * length})),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {length}, true)::INT AS new FROM later)) GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, list({{a: a, b: b}} ORDER BY a) AS c FROM runs GROUP BY doc_id),
+kept AS (SELECT t.doc_id, h, c, CASE WHEN c IS NULL THEN h ELSE array_to_string(list_concat([substr(h, 1, 2 * c[1].a)], list_transform(range(1, len(c) + 1), lambda k: substr(h, 2 * c[k].b + 1, 2 * (coalesce(c[k + 1].a, length(h) // 2) - c[k].b)))), '') END AS rest FROM t LEFT JOIN cuts USING (doc_id))
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, ((length(h) - length(rest)) // 2)::BIGINT AS n_removed, coalesce(len(c), 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""

@@ -91,8 +91,8 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
     return tree
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, min_rows: int = 10, share: float = 0.7, seed: int = 1) -> tuple[float, list[Tree]]:
-    """Logistic gradient boosting: (start, trees); the log odds are start + rate * sum of the trees' values."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, min_rows: int = 10, share: float = 0.7, seed: int = 1, columns: float = 1.0) -> tuple[float, list[Tree]]:
+    """Logistic gradient boosting: (start, trees); the log odds are start + rate * sum of the trees' values. Each tree sees a share of the rows and of the columns."""
     rng = np.random.Generator(np.random.PCG64(seed))
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     start = float(np.log(p / (1 - p)))
@@ -102,7 +102,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, min
     for _ in range(trees):
         q = 1 / (1 + np.exp(-z))
         rows = np.sort(rng.choice(len(y), max(1, int(share * len(y))), replace=False))
-        t = grow(binned, edges, q - y, q * (1 - q), rows, depth, min_rows)
+        seen = edges if columns >= 1 else [e if j in some else e[:0] for some in [set(rng.choice(len(edges), max(1, int(columns * len(edges))), replace=False).tolist())] for j, e in enumerate(edges)]
+        t = grow(binned, seen, q - y, q * (1 - q), rows, depth, min_rows)
         z += rate * t.predict(x)
         out.append(t)
     return start, out

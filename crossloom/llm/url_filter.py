@@ -28,6 +28,8 @@ TREES = 60
 DEPTH = 4
 RATE = 0.2
 FOLDS = 5
+#: Share of the features that a tree may use, so that no single one decides.
+COLUMNS = 0.4
 #: Labelled URLs weigh as many more at the common rate in a suffix's share.
 PRIOR = 5.0
 FEATURES = ["length", "host_length", "path_length", "depth", "digit_share", "host_digits", "hyphens", "host_hyphens", "entropy", "host_entropy", "params", "query_length", "labels", "longest_label", "suffix_rate", "suffix_labels", "top_rate"]
@@ -148,7 +150,7 @@ def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray) -> M
     for k in range(FOLDS):
         rows = np.flatnonzero(fold == k)
         x[rows, -3:] = suffix_features([hosts[i] for i in rows], table(np.flatnonzero(fold != k)), rate)
-    start, grown = trees.boost(x, y.astype(float), TREES, DEPTH, RATE, min_rows=max(1, min(10, len(y) // 100)))
+    start, grown = trees.boost(x, y.astype(float), TREES, DEPTH, RATE, min_rows=max(1, min(10, len(y) // 100)), columns=COLUMNS)
     return Model(start, grown, table(np.arange(len(y))), rate)
 
 

@@ -340,16 +340,171 @@ def test_url_filter(spark):
             assert r.verdict == "allow"
 
 
+def test_url_trees_reach_hosts_they_have_not_seen():
+    rng = random.Random(3)
+    odd = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(16, 30)))
+    plain = lambda: "".join(rng.choice(["the", "ran", "sto", "lin"]) for _ in range(3))
+    hosts = [(f"{odd()}-{rng.randint(1, 99)}.{rng.choice(['xyz', 'com'])}", 1) for _ in range(40)] + [(f"{plain()}.{rng.choice(['org', 'com'])}", 0) for _ in range(80)]
+    rows = [(f"http://{h}{p}", h, p, y) for h, y in hosts for p in (f"/{plain()}/{rng.randint(1, 9)}" for _ in range(20))]
+    held = {h for h, _ in hosts[::4]}
+    learn, check = [r for r in rows if r[1] not in held], [r for r in rows if r[1] in held]
+    model = url_filter.fit(*[[r[i] for r in learn] for i in range(3)], np.array([r[3] for r in learn], float))
+    x = model.features(*[[r[i] for r in check] for i in range(3)])
+    y, z = np.array([r[3] for r in check]), model.score(x)
+    assert (z[y == 1][:, None] > z[y == 0][None, :]).mean() > 0.95
+    assert len({f for t in model.grown for f in t.feature if f >= 0}) >= 5
+    # the score is the logistic of the trees' sum, node by node
+    for i in (0, 5, len(check) - 1):
+        total = model.start
+        for t in model.grown:
+            n = 0
+            while t.feature[n] >= 0:
+                n = t.left[n] if x[i, t.feature[n]] <= t.threshold[n] else t.right[n]
+            total += url_filter.RATE * t.value[n]
+        assert abs(z[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def plain_likeness(a, b):
+    """From the fingerprints' text alone."""
+    import base64
+
+    chains = [[[int(c) for byte in base64.b64decode(f.split(":")[1]) for c in f"{byte:08b}"] for f in x.split(".")] if x else [] for x in (a, b)]
+    few, many = sorted(chains, key=len)
+    if not many:
+        return 1.0
+    if not few:
+        return 0.0
+    if few == many:
+        return 1.0
+    best = []
+    for p in few:
+        scores = []
+        for q in many:
+            same, m, k = sum(x & y for x, y in zip(p, q, strict=True)), min(sum(p), sum(q)), sum(p) * sum(q) / fingerprints.FILTER_BITS
+            floor = k + max(fingerprints.CUT * (m - k), 2 * k**0.5)
+            scores.append(min(1.0, max(0.0, (same - floor) / max(m - floor, 1e-9))))
+        best.append(max(scores))
+    return sum(best) / len(best)
+
+
+def test_fingerprint_against_brute_force(docs, texts):
+    """Popularity by its definition, window by window; filters bit by bit; likeness from the printed bits."""
+    ranks = fingerprints.corpus_ranks(docs)
+    counts = Counter(int(v) for t in texts for v in fingerprints.levels(np.frombuffer((t or "").encode(), np.uint8)))
+    by_rarity = sorted(range(fingerprints.LEVELS + 1), key=lambda v: (counts[v], v))
+    assert [int(ranks[v]) for v in by_rarity] == list(range(fingerprints.LEVELS + 1))
+    got = {r.doc_id: r for r in fingerprints.edits(docs).collect()}
+    w = fingerprints.WINDOW
+    for i, t in enumerate(texts):
+        x = (t or "").encode()
+        n = len(x) - w + 1
+        if not w <= len(x) <= 1500:
+            continue
+        rank = [int(ranks[v]) for v in fingerprints.levels(np.frombuffer(x, np.uint8))]
+        span = min(fingerprints.SPAN, n)
+        wins = Counter(min(range(s, s + span), key=lambda p: (rank[p], p)) for s in range(n - span + 1))
+        chosen = [p for p in range(n) if wins[p] >= min(fingerprints.POPULAR, n - span + 1)] or [max(range(n), key=lambda p: (wins[p], -p))]
+        hashes = list(dict.fromkeys(int(fingerprints._window_hash(np.frombuffer(x[p : p + w], np.uint8)[None, :])[0]) for p in chosen))
+        filters = []
+        for lo in range(0, len(hashes), fingerprints.FILTER_ITEMS):
+            some = hashes[lo : lo + fingerprints.FILTER_ITEMS]
+            on = {(h >> 11 * k) % fingerprints.FILTER_BITS for h in some for k in range(fingerprints.PROBES)}
+            value = int("".join("01"[b in on] for b in range(fingerprints.FILTER_BITS)), 2).to_bytes(fingerprints.FILTER_BITS // 8)
+            filters.append((len(some), value))
+        import base64
+
+        assert got[i].fingerprint == ".".join(f"{k}:{base64.b64encode(v).decode()}" for k, v in filters)
+    order = sorted(range(len(texts)), reverse=True)
+    for k, i in enumerate(order[:40]):
+        assert abs(got[i].near_edited - plain_likeness(got[i].fingerprint, got[i].edited_fingerprint)) < 1e-9
+        assert abs(got[i].near_next - plain_likeness(got[i].fingerprint, got[order[k + 1]].fingerprint)) < 1e-9
+
+
+def test_language_scores_against_plain_sums(spark):
+    """A score is the softmax of the mean of the subwords' rows, term by term."""
+    rng = random.Random(5)
+    vocabulary = {"xx": ["schön", "über", "nicht", "und"], "yy": ["niño", "que", "para", "los"], "zz": ["the", "of", "and"]}
+    rows = [(" ".join(rng.choices(vocabulary[v], k=rng.randint(3, 30))), v) for i in range(300) for v in (["xx", "yy", "zz"][i % 3],)]
+    model = language_id.fit([t for t, _ in rows], [v for _, v in rows])
+    got = language_id.predict(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows[:30])], "doc_id long, text string"), model).collect()
+    for r in got:
+        x = np.frombuffer(rows[r.doc_id][0].encode(), np.uint8)
+        buckets = [int(b) for part, _ in language_id.subwords(x, np.array([0, len(x)])) for b in part]
+        z = [(sum(model.table[b][j] for b in buckets) / len(buckets) + model.bias[j]) / model.temperature for j in range(3)]
+        p = [np.exp(v - max(z)) for v in z]
+        assert r.lang_pred == model.languages[int(np.argmax(z))] and abs(r.score - max(p) / sum(p)) < 1e-6
+        assert r.rejected == (r.score < model.threshold)
+
+
+def test_quality_score_against_plain_rules(spark):
+    """A score is the logistic of the rules that hold, condition by condition."""
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choices(["the", "of", "reading", "matter", "plain"], k=40))
+    table = spark.createDataFrame([(i, good() if i % 3 else " ".join(w + "###" for w in good().split())) for i in range(300)], "doc_id long, text string")
+    model = quality_classifier.train(table, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int"))
+    x = {r.doc_id: [r[f] for f in quality_classifier.FEATURES] for r in quality_classifier.features(table, ["doc_id"]).collect()}
+    for r in quality_classifier.score(table, model).collect():
+        z = model.bias + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[r.doc_id][f] <= t) == low for f, low, t in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_quality_fences_beyond_exact_sketches(spark, monkeypatch):
+    """With small sketches, fences come near those of exact quantiles: within the rank error."""
+    monkeypatch.setattr(quality_rules, "SKETCH_K", 200)
+    rng = np.random.default_rng(2)
+    rows = [("en", f"s{i % 2}", 100, 0, *map(float, rng.random(4) * [0.1, 0.2, 0.5, 0.2])) for i in range(20_000)]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"{m} double" for m in quality_rules.MARGINS)).repartition(7)
+    for r in quality_rules.thresholds(stats).collect():
+        for k, (m, margin) in enumerate(quality_rules.MARGINS.items()):
+            v = np.sort([x[4 + k] for x in rows if x[1] == r.source])
+            at = lambda q: v[int(min(max(q, 0), 0.9999) * len(v))]
+            fence = lambda e: max(at(0.5 - e) + quality_rules.SPREAD * (at(0.75 + e) - at(0.5 - e)), at(quality_rules.WIDE + e)) + margin
+            assert fence(-0.03) <= r[f"max_{m}"] <= fence(0.03)
+
+
+def test_wide_groups_get_wider_fences(spark):
+    """An eighth of the documents with repeated lines moves a group's fence; one odd document does not."""
+    rows = [("en", s, 100, 0, 0.0, 0.0, 0.4 if s == "poems" and i % 4 == 0 or i == 1 else 0.0, 0.0) for s in ("poems", "prose") for i in range(200)]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"{m} double" for m in quality_rules.MARGINS))
+    got = {r.source: r.max_dup_line_ratio for r in quality_rules.thresholds(stats).collect()}
+    margin = quality_rules.MARGINS["dup_line_ratio"]
+    assert abs(got["prose"] - margin) < 1e-9 and got["poems"] >= 0.4 + margin
+
+
 def test_empty_tables(nothing, spark):
+    from crossloom.llm.queries import BLOCK_SEEDS, URL_RULES
+
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     model, counts = maxent_lm.train(nothing)
+    pages = spark.createDataFrame([], "page_id long, url string")
+    no_labels = spark.createDataFrame([], "doc_id long, quality int")
     for out in (
         jaccard_join.join(nothing), repeats.spans(nothing), quality_rules.flag(nothing), fingerprints.edits(nothing), packing.pack(nothing, path), pieces.digests(nothing, str(public_tokenizers.path("piece_bpe_32k.model"))),
         maxent_lm.score(nothing, model, counts), quality_rules.keep_good(nothing), jaccard_join.keep_one(nothing), repeats.clean(nothing),
+        url_filter.judge(pages, URL_RULES, url_filter.train(url_filter.seed_labels(pages, BLOCK_SEEDS))), quality_classifier.score(nothing, quality_classifier.train(nothing, no_labels)), language_id.predict(nothing, language_id.train(nothing)),
     ):
         assert out.count() == 0
 
 
+def test_odd_ids(spark):
+    """Null ids, and ids with several texts: a row comes out for each row in; ids stay as they are."""
+    texts = ["a b c d e f g h " * 8, "a b c d e f g h " * 8 + "z", "one two three " * 20, None, ""]
+    rows = [(None, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 5, "k", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, piece double")
+    ids = Counter(i for i, _ in rows)
+    as_minus_one = Counter(-1 if i is None else i for i, _ in rows)
+    got = lambda df: Counter(r.doc_id for r in df.collect())
+    assert got(fingerprints.edits(docs)) == ids
+    assert got(pieces.digests(docs, str(public_tokenizers.path("piece_bpe_32k.model")))) == ids
+    assert got(quality_rules.flag(docs)) == ids
+    assert got(repeats.spans(docs)) == ids
+    assert got(jaccard_join.join(docs)) == as_minus_one
+    assert got(language_id.predict(docs, language_id.train(docs))) == ids
+    assert Counter(r.doc_id for r in packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).collect() if r.piece == 0) == ids
+    removed = sorted((r.n_bytes, r.n_removed) for r in repeats.spans(docs).collect())
+    assert [n for n, _ in removed] == sorted(len((t or "").encode()) for _, t in rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in jaccard_join.components(edges).collect()}
