@@ -41,3 +41,15 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows of a are not in b, and the reverse, with multiplicity."""
     missing, extra = a.exceptAll(b).agg(F.count(F.lit(1)).alias("missing")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("extra"))
     return missing.join(F.broadcast(extra))
+
+
+class Incomplete(ValueError):
+    """A market has other than its expected number of rows."""
+
+
+def gate(counts: DataFrame, allow_partial: bool = False) -> list[str]:
+    """A line for each market of `reconcile` that is not complete; an error if there is one, unless allowed. Markets are few."""
+    bad = [f"{r['market']}: {r['got']} of {r['expected']}" for r in counts.where("NOT coalesce(complete, false)").orderBy(counts.columns[0]).collect()]
+    if bad and not allow_partial:
+        raise Incomplete("; ".join(bad))
+    return bad

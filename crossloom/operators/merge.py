@@ -28,6 +28,11 @@ def merge(clean: DataFrame) -> DataFrame:
     return both.select(*[F.col(f.name).cast(f.dataType) for f in MERGED])
 
 
+def party_key(tx_hash: Column, maker: Column, taker: Column) -> Column:
+    """The older sort key of chain trades: transaction without 0x, maker and taker."""
+    return F.concat_ws("-", F.regexp_replace(tx_hash, "^0x", ""), maker, taker)
+
+
 def ordered(merged: DataFrame) -> DataFrame:
     """In the tape's order: time, then id as text."""
     return merged.orderBy("slug", "timestamp", "id")

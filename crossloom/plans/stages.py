@@ -1,15 +1,14 @@
-"""An event's way from raw files to results: python -m crossloom.plans.stages EVENTS_DIR SLUG [--force]."""
+"""An event's way from raw files to results: python -m crossloom.plans.stages EVENTS_DIR [SLUG] [--stage run|validate|sync] [--all] [--force]."""
 
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Event, load_event
-from ..operators import clean, match, merge, portfolio
+from ..config import Event, load_all, load_event
+from ..operators import clean, combine, match, merge, portfolio, quality, series, sync
 from ..sources import files
 from . import report
 
@@ -28,30 +27,82 @@ def clean_tape(spark: SparkSession, event: Event) -> DataFrame:
 
 def run(spark: SparkSession, event: Event, force: bool = False) -> str:
     """Writes clean, merged, matches, matched trades, results and charts; returns the results' text."""
-    files.write(clean_tape(spark, event), event.path("clean_exchange"), force)
+    files.write(clean_tape(spark, event).orderBy("unix_ts", "trade_id"), event.path("clean_exchange"), force)
     tape = spark.read.parquet(event.path("clean_exchange"))
-    files.write(merge.merge(tape).sortWithinPartitions("timestamp", "id"), event.path("merged"), force)
+    files.write(merge.ordered(merge.merge(tape)), event.path("merged"), force)
     bounds = spark.createDataFrame([(event.slug, event.start_ts, event.end_ts)], "slug string, start_ts long, end_ts long")
     rows = match.aligned(spark.read.parquet(event.path("merged")), bounds)
     files.write(match.match(rows, F.lit(event.window_seconds)), event.path("matches"), force)
     matches = spark.read.parquet(event.path("matches"))
-    files.write(match.matched_trades(rows, matches), event.path("matched_trades"), force)
+    files.write(match.matched_trades(rows, matches).orderBy("timestamp", "trade_id"), event.path("matched_trades"), force)
     text = report.results_text(portfolio.settlement(matches, F.lit(event.resolution)), event.slug)
-    Path(event.path("results")).write_text(text, encoding="utf-8")
+    files.write_text(spark, text, event.path("results"), force)
     page = report.chart_page(report.chart_points(tape, matches), event.slug, event.chart_title, matches.count())
-    Path(event.path("charts")).write_text(page, encoding="utf-8")
-    return text
+    files.write_text(spark, page, event.path("charts"), force)
+    return "\n".join([_lines(clean.summary(tape).orderBy("venue")), text])
 
 
-def main() -> None:
+def _lines(rows: DataFrame) -> str:
+    """A line for each row of a small report."""
+    return "\n".join(", ".join(f"{k} {v}" for k, v in r.asDict().items()) for r in rows.collect())
+
+
+def validate(spark: SparkSession, event: Event, heads: DataFrame | None = None, counters: DataFrame | None = None, allow_partial: bool = False) -> tuple[bool, str]:
+    """Structure of both venues' clean tapes, the exchange's buys, their newest trade and their counts against the feeds' own, and the overlap.
+
+    heads: slug, venue, trade_id of the feed's newest trade; counters: market, expected rows of raw fills.
+    """
+    tape = spark.read.parquet(event.path("clean_exchange"))
+    checks = quality.structure(tape).orderBy("venue", "check").collect()
+    ok = all(r["ok"] for r in checks)
+    out = [f"{r['venue']} {r['check']}: {'ok' if r['ok'] else str(r['violations']) + ' violations'}" for r in checks]
+    for r in quality.only_buys(tape).collect():
+        ok &= r["ok"]
+        out.append(f"kalshi only buys: {'ok' if r['ok'] else 'no'}")
+    for r in quality.newest(tape, heads).collect() if heads is not None else []:
+        ok &= r["ok"]
+        out.append(f"{r['venue']} newest trade {r['newest_id']}: {'ok' if r['ok'] else 'not the feed head'}")
+    if counters is not None:
+        bad = combine.gate(quality.complete(files.read_raw(spark, "fills", event.path("raw_fills")), counters), allow_partial)
+        ok &= not bad
+        out += [f"incomplete {x}" for x in bad]
+    out.append(_lines(quality.overlap_stats(tape)))
+    return ok, "\n".join(out)
+
+
+def synchronised(spark: SparkSession, event: Event, shock_start: int | None = None) -> str:
+    """How the venues move together: correlation by bin, lead and lag, half-life with the window's verdict, drift."""
+    tape = spark.read.parquet(event.path("clean_exchange"))
+    bounds = series.overlap(tape)
+    grid = series.second_grid(tape, bounds)
+    peaks = sync.peak_lag(sync.dense_lead_lag(grid))
+    regimes = sync.regimes(bounds, shock_start) if shock_start is not None else bounds.select("slug", F.lit("full").alias("regime"), F.col("lo").alias("from_ts"), (F.col("hi") + 1).alias("to_ts"))
+    life = sync.verdict(sync.half_life(grid, regimes), event.window_seconds)
+    parts = [sync.epps_curve(tape).orderBy("width"), peaks.orderBy("horizon"), life.orderBy("regime"), sync.drift(grid).orderBy("venue", "horizon")]
+    return "\n\n".join(map(_lines, parts))
+
+
+def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("events_dir")
     p.add_argument("slug", nargs="?")
+    p.add_argument("--stage", choices=["run", "validate", "sync"], default="run")
+    p.add_argument("--all", action="store_true", help="all events under the folder")
+    p.add_argument("--shock", type=int, help="start of the day that the half-life sets apart")
     p.add_argument("--force", action="store_true")
-    a = p.parse_args()
+    a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(run(spark, load_event(a.events_dir, a.slug), a.force))
+    failed = 0
+    for event in load_all(a.events_dir) if a.all else [load_event(a.events_dir, a.slug)]:
+        print(event.slug)
+        if a.stage == "validate":
+            ok, text = validate(spark, event)
+            failed += not ok
+        else:
+            text = run(spark, event, a.force) if a.stage == "run" else synchronised(spark, event, a.shock)
+        print(text)
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":
-    main()
+    raise SystemExit(main())

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import importlib
 import json
+import os
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -15,6 +17,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.chain import token_hex
@@ -61,6 +64,11 @@ def call(transport: Transport, url: str, payload: dict | None = None, tries: int
     raise AssertionError("unreachable")
 
 
+def _url(options: dict, feed: str) -> str:
+    """The option url; CROSSLOOM_TRADES_URL, CROSSLOOM_FILLS_URL or CROSSLOOM_LOGS_URL in the environment goes before it."""
+    return os.environ.get(f"CROSSLOOM_{feed.upper()}_URL") or options["url"]
+
+
 def _pause(options: dict) -> float:
     return float(options.get("pause", 1.5))
 
@@ -134,7 +142,7 @@ class FillPages:
             asked = self.size
             payload = {"query": _FILL_QUERY % order, "variables": {"market": shard.token, "from": str(start), "to": str(end), "after": after, "first": asked}}
             try:
-                answer = call(self.transport, self.o["url"], payload, tries=8, pause=_pause(self.o))
+                answer = call(self.transport, _url(self.o, "fills"), payload, tries=8, pause=_pause(self.o))
             except FeedError as e:
                 if not e.slow or asked <= LEAST_PAGE:
                     raise
@@ -145,8 +153,23 @@ class FillPages:
                 self.size, self.good = min(self.most, self.size * 2), 0
             return answer["data"]["fills"], asked
 
+    def _first(self, shard: Shard) -> int | None:
+        """Time of the token's first fill; None if it has none."""
+        variables = {"market": shard.token, "from": "0", "to": str(shard.end), "after": "", "first": 1}
+        found = call(self.transport, _url(self.o, "fills"), {"query": _FILL_QUERY % "timestamp", "variables": variables}, tries=3, pause=_pause(self.o))["data"]["fills"]
+        return int(found[0]["timestamp"]) if found else None
+
     def read(self, shard: Shard) -> Iterator[dict]:
         at, span, seen = shard.start, None, set()
+        if at <= 0:
+            # the first fill of all is one cheap answer; windows of years before it are not
+            try:
+                first = self._first(shard)
+            except FeedError:
+                first = at
+            if first is None:
+                return
+            at = max(at, first)
         while at < shard.end:
             end = shard.end if span is None else min(shard.end, at + span)
             try:
@@ -240,6 +263,11 @@ class ChainFills(DataSource):
         return _FillsStream(self.options)
 
 
+# Fixed by the services: how a block range is written in an error, and the fields of a token's order book.
+RANGE_FORMAT = r"\[0x[0-9a-fA-F]+,\s*0x([0-9a-fA-F]+)\]"
+_BOOK_QUERY = "query($token: ID!) { orderbook(id: $token) { id tradesQuantity buysQuantity sellsQuantity scaledCollateralVolume } }"
+
+
 @dataclass
 class Blocks(InputPartition):
     lo: int
@@ -258,6 +286,13 @@ class _LogsReader(DataSourceReader):
         cuts = [lo + (hi + 1 - lo) * i // n for i in range(n + 1)]
         return [Blocks(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
+    @staticmethod
+    def suggested(error: str, at: int, to: int) -> int | None:
+        """Last block of the range that an answer names as one that works, if it is a part of what was asked."""
+        found = re.search(RANGE_FORMAT, error)
+        last = int(found.group(1), 16) if found else -1
+        return last if at <= last < to else None
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Blocks)
         o, transport = self.options, _transport(self.options)
@@ -266,11 +301,11 @@ class _LogsReader(DataSourceReader):
         while at <= partition.hi:
             to = min(partition.hi, at + span - 1)
             params = [{"address": o["address"], "topics": [o["topic"]], "fromBlock": hex(at), "toBlock": hex(to)}]
-            answer = call(transport, o["url"], {"jsonrpc": "2.0", "id": 1, "method": "eth_getLogs", "params": params}, tries=8, pause=_pause(o))
+            answer = call(transport, _url(o, "logs"), {"jsonrpc": "2.0", "id": 1, "method": "eth_getLogs", "params": params}, tries=8, pause=_pause(o))
             if "error" in answer:
                 if to == at:
                     raise FeedError(str(answer["error"]))
-                span = max(1, (to - at + 1) // 2)
+                span = (self.suggested(str(answer["error"]), at, to) or at + (to - at + 1) // 2 - 1) - at + 1
                 continue
             for log in answer["result"]:
                 if any(w in log["data"] for w in wanted):
@@ -280,8 +315,25 @@ class _LogsReader(DataSourceReader):
                 span = min(self.WIDEST, span * 2)
 
 
+class _LogsStream(SimpleDataSourceStreamReader):
+    """Blocks in order; a checkpoint holds the next one. Options as for the batch; each batch takes up to `batch` blocks."""
+
+    def __init__(self, options: dict):
+        self.options, self.reader = dict(options), _LogsReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"at": int(self.options["startBlock"])}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        stop = min(int(self.options["endBlock"]) + 1, start["at"] + int(self.options.get("batch", 100_000)))
+        return self.readBetweenOffsets(start, {"at": stop}), {"at": max(stop, start["at"])}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(list(self.reader.read(Blocks(start["at"], end["at"] - 1))))
+
+
 class ChainLogs(DataSource):
-    """Logs of a contract in a range of blocks that name one of the tokens. Options: url, address, topic, tokens, startBlock, endBlock, shards, span."""
+    """Logs of a contract in a range of blocks that name one of the tokens. Options: url, address, topic, tokens, startBlock, endBlock, shards, span; batch for streams, which resume from their checkpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -293,6 +345,25 @@ class ChainLogs(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _LogsReader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _LogsStream(self.options)
+
+
+def book_counters(spark: SparkSession, options: dict, tokens: list[str]) -> DataFrame:
+    """market, expected, buys, sells: the index's own counts of a few tokens' fills, to compare a tape with."""
+    rows = []
+    for token in tokens:
+        book = call(_transport(options), _url(options, "fills"), {"query": _BOOK_QUERY, "variables": {"token": token}}, pause=_pause(options))["data"]["orderbook"]
+        rows.append((token, *[int(book[c]) for c in ("tradesQuantity", "buysQuantity", "sellsQuantity")]))
+    return spark.createDataFrame(rows, "market string, expected long, buys long, sells long")
+
+
+def newest_trade(spark: SparkSession, options: dict) -> DataFrame:
+    """venue, trade_id of the newest trade that the exchange lists; trades come newest first."""
+    query = urllib.parse.urlencode({"ticker": options["ticker"], "limit": 1})
+    found = call(_transport(options), f"{_url(options, 'trades')}?{query}", pause=_pause(options))["trades"]
+    return spark.createDataFrame([("kalshi", t["trade_id"]) for t in found[:1]], "venue string, trade_id string")
+
 
 def register(spark) -> None:
     for source in (ExchangeTrades, ChainFills, ChainLogs):

@@ -54,3 +54,11 @@ def write(df: DataFrame, path: str, force: bool = False, kind: str = "parquet",
 def write_lines(lines: DataFrame, path: str, force: bool = False, gzip: bool = False) -> None:
     """Verbatim lines (column value)."""
     write(lines.select("value"), path, force, "text") if not gzip else lines.select("value").write.mode("overwrite" if force else "errorifexists").option("compression", "gzip").text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str, force: bool = False) -> None:
+    """A small text as one file, by whatever file system the path names; an existing one is an error unless force."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, force)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()

@@ -72,6 +72,8 @@ def test_combine(spark, tmp_path):
     assert files.read_lines(spark, str(tmp_path / "x")).count() == 1
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_lines(out, str(tmp_path / "x"))
+    keys = spark.createDataFrame([("0xab", "m", "t")], "h string, m string, t string").select(merge.party_key(F.col("h"), F.col("m"), F.col("t")))
+    assert keys.collect()[0][0] == "ab-m-t"
     r = combine.reconcile(a, spark.createDataFrame([("11", 2), ("22", 1)], "market string, expected long")).collect()
     assert {x.market: x.complete for x in r} == {"11": True, "22": False, "99": None}
 
@@ -173,6 +175,76 @@ def test_feeds(monkeypatch):
     assert len(list(rows)) == 8 and offset == {"at": 4}
 
 
+def fake_logs(url, payload):
+    (q,) = payload["params"]
+    lo, hi = int(q["fromBlock"], 16), int(q["toBlock"], 16)
+    asked.append((lo, hi))
+    if hi - lo > 3:
+        hint = f" this range should work: [{hex(lo)}, {hex(lo + 2)}]" if lo % 2 else ""
+        return {"error": {"message": "response too large" + hint}}
+    return {"result": [{"topics": [], "data": "0x" + format(11, "064x"), "transactionHash": f"0x{b:x}", "logIndex": "0x0", "blockTimestamp": "0x1"} for b in range(lo, hi + 1)]}
+
+
+asked = []
+
+
+def test_log_ranges_and_stream():
+    asked.clear()
+    options = {"transport": "tests.test_tape:fake_logs", "url": "u", "address": "a", "topic": "t", "tokens": "11", "startBlock": 1, "endBlock": 30, "span": 8, "batch": 12}
+    got = [r[2] for r in feeds._LogsReader(options).read(feeds.Blocks(1, 30))]
+    assert got == [f"0x{b:x}" for b in range(1, 31)] and asked[:2] == [(1, 8), (1, 3)]
+    s, at, rows = feeds._LogsStream(options), {"at": 1}, []
+    while at["at"] <= 30:
+        part, at = s.read(at)
+        rows += [r[2] for r in part]
+    assert rows == got and s.initialOffset() == {"at": 1}
+    assert feeds._LogsReader.suggested("x [0x1, 0x5]", 1, 9) == 5 and feeds._LogsReader.suggested("x [0x1, 0x9]", 1, 9) is None and feeds._LogsReader.suggested("x", 1, 9) is None
+
+
+def fake_book(url, payload):
+    return {"data": {"orderbook": {"id": payload["variables"]["token"], "tradesQuantity": "3", "buysQuantity": "2", "sellsQuantity": "1", "scaledCollateralVolume": "9"}}}
+
+
+def test_lookups(spark, monkeypatch):
+    r = feeds.book_counters(spark, {"transport": "tests.test_tape:fake_book", "url": "u"}, ["11"]).collect()[0]
+    assert (r.market, r.expected, r.buys, r.sells) == ("11", 3, 2, 1)
+    assert feeds.newest_trade(spark, {"transport": "tests.test_tape:fake_trades", "url": "u", "ticker": "T"}).collect()[0].trade_id == "a"
+    late = [dict(f, timestamp=str(int(f["timestamp"]) + 1_000_000)) for f in FILLS]
+    monkeypatch.setitem(globals(), "FILLS", late)
+    seen = []
+    monkeypatch.setattr(feeds, "_transport", lambda o: lambda url, payload: seen.append(int(payload["variables"]["from"])) or fake_fills(url, payload))
+    got = list(feeds.FillPages({"url": "u", "limit": 3}).read(feeds.Shard("11", 0, 2_000_000)))
+    assert len(got) == len(FILLS) and seen[:2] == [0, 1_000_001]
+    monkeypatch.setenv("CROSSLOOM_FILLS_URL", "other")
+    assert feeds._url({"url": "u"}, "fills") == "other" and feeds._url({"url": "u"}, "logs") == "u"
+
+
+def test_stages(spark, tmp_path, capsys):
+    from crossloom.plans import stages
+
+    folder = tmp_path / "a"
+    (folder / "raw").mkdir(parents=True)
+    (folder / "event.json").write_text(json.dumps({"slug": "a", "kalshi_ticker": "T", "polymarket_condition_id": "0x1", "polymarket_token_ids": ["11", "22"], "polymarket_exchange": EXCHANGE}))
+    trade = lambda i: {"trade_id": f"k{i:03d}", "ticker": "T", "created_time": f"2024-01-{1 + i // 24:02d}T{i % 24:02d}:00:05Z", "yes_price_dollars": f"0.{40 + i % 7}00", "no_price_dollars": f"0.{60 - i % 7}00", "count_fp": "5.00", "taker_outcome_side": "yes", "is_block_trade": False}
+    fill = lambda i: {"id": f"p{i:03d}", "transactionHash": "0xh", "timestamp": str(1704067200 + 3600 * i), "price": f"0.{50 + i % 5}", "size": "5000000", "side": "BUY", "maker": {"id": "m"}, "taker": {"id": "t"}, "market": "11"}
+    (folder / "raw/exchange.jsonl").write_text("".join(json.dumps(trade(i)) + "\n" for i in range(60)))
+    (folder / "raw/fills.jsonl").write_text("".join(json.dumps(fill(i)) + "\n" for i in range(60)))
+    assert stages.main([str(tmp_path), "--all"]) == 0 and (folder / "results/results.txt").read_text() in capsys.readouterr().out
+    with pytest.raises(Exception, match="(?i)exist"):
+        stages.run(spark, config.load_event(str(tmp_path)))
+    event = config.load_event(str(tmp_path))
+    assert [r.unix_ts for r in spark.read.parquet(event.path("clean_exchange")).collect()] == sorted(r.unix_ts for r in spark.read.parquet(event.path("clean_exchange")).collect())
+    heads = spark.createDataFrame([("a", "kalshi", "k059"), ("a", "polymarket", "p000")], "slug string, venue string, trade_id string")
+    counters = spark.createDataFrame([("11", 61)], "market string, expected long")
+    ok, text = stages.validate(spark, event, heads, counters, allow_partial=True)
+    assert not ok and "newest trade k059: ok" in text and "newest trade p059: not" in text and "incomplete 11: 60 of 61" in text
+    with pytest.raises(combine.Incomplete):
+        stages.validate(spark, event, counters=counters)
+    assert stages.main([str(tmp_path), "a", "--stage", "validate"]) == 0
+    assert stages.main([str(tmp_path), "a", "--stage", "sync", "--shock", "1704150000"]) == 0
+    assert "horizon 300" in capsys.readouterr().out
+
+
 def test_streams(spark, tmp_path):
     t = clean_rows(spark, [("kalshi", 5, "a", 0.4, 10.0), ("kalshi", 5, "a", 0.4, 10.0), ("kalshi", 7, "b", 0.6, 10.0)])
     t.write.parquet(str(tmp_path / "in"))
