@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from .runtime import blobs, chunks, compressed, expanded, materialize, pack, ship, text_only, width
 from .words import U, mix, shingle_hashes, words
 
-#: Shingles in a block of a group.
+#: Shingles and sets in a block of a group, at most (but for one set with more).
 MAX_TOKENS = 400_000
+BLOCK_SETS = 512
 #: Signatures a task holds before it deals them out.
 FLUSH = 1_500_000
 #: Least and most buckets in which a set's shingles are counted; about one for every eight shingles.
@@ -528,7 +529,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     reach = components(near.unionByName(found.where("kind = 1").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))))
     # groups of two classes and more, cut into blocks by their number of shingles
     grouped = classes.join(reach.withColumnsRenamed({"node": "class_a", "component": "grp"}), "class_a")
-    blocks = grouped.groupBy("grp").agg(F.ceil(F.sum("n") / MAX_TOKENS).cast("int").alias("blocks"))
+    blocks = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / MAX_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     wanted = grouped.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("class_a", "class_b"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("doc_id"), "class_a", "class_b", "blocks", "n")
     wanted = materialize(wanted, "wanted")
     sets = materialize(_sets(docs, wanted.drop("blocks", "n"), shingle).dropDuplicates(["node", "class_a", "class_b"]), "sets")
