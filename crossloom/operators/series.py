@@ -36,12 +36,14 @@ def overlap(tape: DataFrame) -> DataFrame:
     return b.where(both).select("slug", F.greatest("lo_kalshi", "lo_polymarket").alias("lo"), F.least("hi_kalshi", "hi_polymarket").alias("hi")).where("lo < hi")
 
 
-def second_grid(tape: DataFrame, bounds: DataFrame, step: int = 1) -> DataFrame:
-    """slug, venue, ts, yes_price for every step-th second of bounds (slug, lo, hi) from lo, filled forward; null before the first trade."""
+def second_grid(tape: DataFrame, bounds: DataFrame, step: int = 1, distinct: bool = False) -> DataFrame:
+    """slug, venue, ts, yes_price for every step-th second of bounds (slug, lo, hi) from lo, filled forward; null before the first trade. distinct: each second once, should a slug have several bounds."""
     day = BUCKET - BUCKET % step
-    days = bounds.select("slug", "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / day))).alias("_day"))
+    days = bounds.where("lo <= hi").select("slug", "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / day))).alias("_day"))
     start = F.col("lo") + F.col("_day") * day
     seconds = days.select("slug", F.explode(F.sequence(start, F.least(F.col("hi"), start + day - 1), F.lit(step).cast("long"))).alias("ts"))
+    # bounds of one slug may overlap
+    seconds = seconds.distinct() if distinct else seconds
     venues = tape.sparkSession.createDataFrame([("kalshi",), ("polymarket",)], "venue string")
     grid = seconds.join(F.broadcast(venues)).withColumn("i", F.lit(0))
     seen = last_per_second(tape).withColumn("_seq", F.lit(""))

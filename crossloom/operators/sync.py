@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time_bin
+from .series import second_grid
 
 EPPS_BINS = [5, 10, 30, 60, 120, 300, 600, 900, 1800]
 DRIFT_HORIZONS = [10, 30, 60, 120, 300, 600]
@@ -124,6 +125,11 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
     return fit.select("slug", "regime", "n", null("mean"), null("sd"), null("phi"), life.alias("half_life"), (life * 4.32).alias("resync_95"))
 
 
+def samples(tape: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
+    """slug, venue, ts, yes_price at the seconds that half_life takes of each regime, so that no second between is made."""
+    return second_grid(tape, regimes.select("slug", F.col("from_ts").alias("lo"), (F.col("to_ts") - 1).alias("hi")), step, distinct=True)
+
+
 def verdict(life: DataFrame, window: int, step: int = 60) -> DataFrame:
     """Adds how many half-lives the matching window spans."""
     return life.withColumn("window_half_lives", F.lit(float(window)) / (F.col("half_life") * step))

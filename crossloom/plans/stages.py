@@ -77,7 +77,7 @@ def synchronised(spark: SparkSession, event: Event, shock_start: int | None = No
     grid = series.second_grid(tape, bounds)
     peaks = sync.peak_lag(sync.dense_lead_lag(grid))
     regimes = sync.regimes(bounds, shock_start) if shock_start is not None else bounds.select("slug", F.lit("full").alias("regime"), F.col("lo").alias("from_ts"), (F.col("hi") + 1).alias("to_ts"))
-    life = sync.verdict(sync.half_life(grid, regimes), event.window_seconds)
+    life = sync.verdict(sync.half_life(sync.samples(tape, regimes), regimes), event.window_seconds)
     parts = [sync.epps_curve(tape).orderBy("width"), peaks.orderBy("horizon"), life.orderBy("regime"), sync.drift(grid).orderBy("venue", "horizon")]
     return "\n\n".join(map(_lines, parts))
 

@@ -296,26 +296,31 @@ def peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.peak_lag(sync.lead_lag(_grid(spark, sf_dir))).select("slug", "horizon", "lag", "leader")
 
 
-_LIFE = _GRID + f""", b AS (SELECT slug, ts, k - p AS b FROM pr),
+def _life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tape(spark, sf_dir)
+    regimes = sync.regimes(series.overlap(t), SHOCK)
+    return sync.half_life(sync.samples(t, regimes), regimes)
+
+
+_LIFE = f""", days AS (SELECT * FROM bounds WHERE lo < hi),
 reg AS (SELECT slug, 'full' AS regime, lo AS f, hi + 1 AS t FROM days UNION ALL SELECT slug, 'pre_shock', lo, least(hi + 1, {SHOCK}) FROM days UNION ALL SELECT slug, 'shock', greatest(lo, {SHOCK}), least(hi + 1, {SHOCK + 86400}) FROM days),
+points AS (SELECT DISTINCT slug, unnest(range(f, t, 60)) AS ts FROM reg),
+grid AS (SELECT g.slug, g.venue, g.ts, o.yes_price FROM (SELECT * FROM points CROSS JOIN (VALUES ('kalshi'), ('polymarket')) v(venue)) g ASOF LEFT JOIN seconds o ON g.slug = o.slug AND g.venue = o.venue AND g.ts >= o.ts),
+b AS (SELECT slug, ts, max(yes_price) FILTER (venue = 'kalshi') - max(yes_price) FILTER (venue = 'polymarket') AS b FROM grid GROUP BY ALL),
 s AS (SELECT slug, regime, b, lag(b) OVER (PARTITION BY slug, regime ORDER BY ts) AS q FROM b JOIN reg USING (slug) WHERE ts >= f AND ts < t AND (ts - f) % 60 = 0 AND b IS NOT NULL),
 fit AS (SELECT slug, regime, count(*) AS n, avg(b) AS mean, stddev_pop(b) AS sd, regr_slope(b, q) AS phi FROM s GROUP BY ALL)"""
 
 
 @_register(_LIFE + "\nSELECT slug, regime, n, CASE WHEN n >= 50 THEN round(mean, 5) END AS mean, CASE WHEN n >= 50 THEN round(sd, 5) END AS sd, CASE WHEN n >= 50 THEN round(phi, 5) END AS phi, CASE WHEN n >= 50 AND phi > 0 AND phi < 1 THEN round(-ln(2) / ln(phi), 3) END AS half_life FROM fit")
 def half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tape(spark, sf_dir)
-    bounds = series.overlap(t)
-    life = sync.half_life(series.second_grid(t, bounds, STEP), sync.regimes(bounds, SHOCK))
-    return sync.verdict(life, WINDOW).select("slug", "regime", "n", _r("mean", 5), _r("sd", 5), _r("phi", 5), _r("half_life", 3))
+    """Sampled every minute from the begin of each regime, as the measure is defined."""
+    return sync.verdict(_life(spark, sf_dir), WINDOW).select("slug", "regime", "n", _r("mean", 5), _r("sd", 5), _r("phi", 5), _r("half_life", 3))
 
 
 @_register(_LIFE + f"SELECT slug, regime, round({WINDOW} / (-ln(2) / ln(phi) * 60), 3) AS window_half_lives, round(-ln(2) / ln(phi) * 4.32, 3) AS resync_95 FROM fit WHERE n >= 50 AND phi > 0 AND phi < 1")
 def window_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many half-lives of the spread the matching window spans."""
-    t = _tape(spark, sf_dir)
-    bounds = series.overlap(t)
-    life = sync.verdict(sync.half_life(series.second_grid(t, bounds, STEP), sync.regimes(bounds, SHOCK)), WINDOW)
+    life = sync.verdict(_life(spark, sf_dir), WINDOW)
     return life.where("half_life IS NOT NULL").select("slug", "regime", _r("window_half_lives", 3), _r("resync_95", 3))
 
 
