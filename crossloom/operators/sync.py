@@ -14,6 +14,8 @@ EPPS_BINS = [5, 10, 30, 60, 120, 300, 600, 900, 1800]
 DRIFT_HORIZONS = [10, 30, 60, 120, 300, 600]
 LEAD_LAG_HORIZONS = [300, 900]
 LEAST = 50
+#: Regimes that are broadcast, at most.
+FEW = 100_000
 
 
 def vwap_bins(tape: DataFrame, bins: list[int]) -> DataFrame:
@@ -114,7 +116,9 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
     spread = _wide(grid).select("slug", "ts", (F.col("kalshi") - F.col("polymarket")).alias("b"))
     first = spread.groupBy("slug").agg(F.min("ts").alias("_first"))
     r = regimes.join(first, "slug").select("slug", "regime", F.greatest("from_ts", "_first").alias("_lo"), F.col("to_ts").alias("_hi"))
-    s = spread.join(r, "slug").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
+    # few events are sent to every task, so that long tapes do not meet by slug alone
+    few = regimes.limit(FEW + 1).count() <= FEW
+    s = spread.join(F.broadcast(r) if few else r, "slug").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
     # the sample before is an equi-join away, so that no window spans a tape
     prior = s.select("slug", "regime", (F.col("ts") + step).alias("ts"), F.col("b").alias("_prev"))
     pairs = s.join(prior, ["slug", "regime", "ts"], "left")
