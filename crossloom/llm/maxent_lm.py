@@ -63,6 +63,7 @@ _TAIL_BITS = U(0xFFF)
 #: In place of a tail: the key counts a pair of neighbours.
 _PAIR = 0xFFF
 _BLOCK = 512
+_ONES = np.ones(SLOTS, np.float32)
 
 
 def tokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,25 +177,30 @@ def log_likelihood(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray
     """Natural logarithm of the probability of each y."""
     z = logits(weights, rows, bias, which)
     own = z[np.arange(len(z)), y]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
-def bucket_sums(p: np.ndarray, by: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of p's rows, taken in the order by, of each stretch from first on. Most stretches are short: those are added row by row."""
-    size = np.diff(np.r_[first, len(by)])
+def bucket_sums(p: np.ndarray, by: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of p's rows, taken in the order by, of stretches of by: first places and sizes, which fall. Most are short: those are added row by row."""
     out = p.take(by[first], axis=0)
+    longer = np.searchsorted(-size, -np.arange(5), "left")
     for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        out[more] += p.take(by[first[more] + k], axis=0)
-    long = np.flatnonzero(size > 4)
-    if len(long):
-        rest = size[long] - 4
+        more = longer[k]
+        out[:more] += p.take(by[first[:more] + k], axis=0)
+    long = longer[4]
+    if long:
+        rest = size[:long] - 4
         starts = np.cumsum(rest) - rest
-        some = np.repeat(first[long] + 4 - starts, rest) + np.arange(rest.sum())
-        out[long] += np.add.reduceat(p.take(by[some], axis=0), starts, axis=0)
+        some = np.repeat(first[:long] + 4 - starts, rest) + np.arange(rest.sum())
+        out[:long] += np.add.reduceat(p.take(by[some], axis=0), starts, axis=0)
     return out
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Rows as single items, which numpy writes faster by index."""
+    return x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0]
+
+
 class Steps:
     """A task's copy of the weights of one softmax, stepped batch by batch."""
 
@@ -205,20 +211,25 @@ class Steps:
     def step(self, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray, which: np.ndarray | None = None) -> None:
         p = logits(self.weights, rows, bias, which)
         np.exp(p, out=p)
-        p *= (-1 / p.sum(axis=1))[:, None]
+        p *= (-1 / (p @ _ONES))[:, None]
         p[np.arange(len(p)), y] += 1
+        weights, squares = _whole(self.weights), _whole(self.squares)
         for k, f in enumerate(rows):
             by = np.argsort((f - _BASE[k]).astype(np.int16), kind="stable")
             f = f[by]
-            first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            some, g = f[first], bucket_sums(p, by, first)
-            self.seen[some] += np.diff(np.r_[first, len(f)])
+            first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+            size = np.diff(first, append=len(f))
+            falling = np.argsort((-size).astype(np.int16), kind="stable")
+            first, size = first[falling], size[falling]
+            some, g = f[first], bucket_sums(p, by, first, size)
+            self.seen[some] += size
             square = self.squares.take(some, axis=0)
             square += g * g
-            self.squares[some] = square
-            np.divide(g, np.sqrt(square, out=square), out=g)
+            squares[some] = _whole(square)
+            g /= np.sqrt(square, out=square)
             g *= RATE
-            self.weights[some] += g
+            g += self.weights.take(some, axis=0, out=square, mode="clip")
+            weights[some] = _whole(g)
 
     def moved(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(block, rows in it, tokens that met them, how far they moved)."""
