@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, maxent_lm, packing, pieces, quality_classifier, quality_rules, repeats, url_filter
+from . import alignment, fingerprints, jaccard_join, language_id, maxent_lm, packing, pieces, quality_classifier, quality_rules, repeats, token_counts, url_filter, whitening
 
 
 def _tokenizer(name: str) -> str:
@@ -78,8 +78,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.flag(_table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op6_long_repeats, op7_sentencepiece, op8_quality_rules, op9_maxent_lm, op10_language_id]
+    ops = [op1_url_filter, op2_fingerprints, op3_quality_classifier, op4_best_fit_packing, op5_jaccard_join, op6_long_repeats, op7_sentencepiece, op8_quality_rules, op9_maxent_lm, op10_language_id, op11_token_counts, op12_embedding_whitening, op13_tokenizer_alignment]
     return {f.__name__: f for f in ops}
 
 
