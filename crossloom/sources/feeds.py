@@ -1,5 +1,9 @@
 """Python data sources over paged HTTP feeds: exchange trades, indexed chain fills, chain logs.
 
+Fills and logs can be read at once or as a stream. Either way the driver only plans: it asks how far the feed has come,
+probes how dense stretches of it are, and cuts them into shards of about equal work, which tasks read. A stream's offset
+has the next second of each token, or the next block, so its checkpoint says what has been read, token by token.
+
 The transport is the option `transport`, "module:function": a function (url, payload or None) that returns the
 parsed answer or raises FeedError. Tests give their own; ``http_json`` is the one for live use.
 """
@@ -14,14 +18,15 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.chain import token_hex
 from ..schemas import RAW_EXCHANGE, RAW_FILLS, RAW_LOGS
+from .balance import balanced
 
 Transport = Callable[[str, dict | None], dict]
 
@@ -47,7 +52,7 @@ def http_json(url: str, payload: dict | None = None) -> dict:
         raise FeedError(str(e), slow=isinstance(e, TimeoutError)) from e
 
 
-def _transport(options: dict) -> Transport:
+def _transport(options: Mapping) -> Transport:
     module, _, name = options.get("transport", "crossloom.sources.feeds:http_json").partition(":")
     return getattr(importlib.import_module(module), name)
 
@@ -64,18 +69,18 @@ def call(transport: Transport, url: str, payload: dict | None = None, tries: int
     raise AssertionError("unreachable")
 
 
-def _url(options: dict, feed: str) -> str:
+def _url(options: Mapping, feed: str) -> str:
     """The option url; CROSSLOOM_TRADES_URL, CROSSLOOM_FILLS_URL or CROSSLOOM_LOGS_URL in the environment goes before it."""
     return os.environ.get(f"CROSSLOOM_{feed.upper()}_URL") or options["url"]
 
 
-def _pause(options: dict) -> float:
+def _pause(options: Mapping) -> float:
     return float(options.get("pause", 1.5))
 
 
 class _TradesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = CaseInsensitiveDict(options)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o, transport = self.options, _transport(self.options)
@@ -211,43 +216,68 @@ def fill_row(f: dict, token: str) -> tuple:
     return (f["id"], f["transactionHash"], str(f["timestamp"]), str(f["price"]), str(f["size"]), f["side"], node(f["maker"]), node(f["taker"]), market or token)
 
 
-class _FillsReader(DataSourceReader):
+#: Fills that a probe asks for.
+PROBE = 100
+# Fixed by the index: how far it has come.
+_HEAD_QUERY = "{ _meta { block { timestamp } } }"
+
+
+def _names(options: Mapping) -> list[str]:
+    return [t.strip() for t in options["tokens"].split(",")]
+
+
+class _FillShards:
+    """Plans shards of fills and reads them."""
+
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = CaseInsensitiveDict(options)
 
-    def partitions(self) -> list[InputPartition]:
+    def shards(self, token: str, start: int, end: int) -> list[InputPartition]:
+        """Shards of a token's seconds [start, end) that hold about equal numbers of fills; of equal times if the option balance is false."""
         o = self.options
-        start, end, n = int(o["start"]), int(o["end"]), int(o.get("shards", 1))
-        cuts = [start + (end - start) * i // n for i in range(n + 1)]
-        return [Shard(t.strip(), a, b) for t in o["tokens"].split(",") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        n = max(1, int(o.get("shards", 1)))
+        if str(o.get("balance", "true")).lower() == "false" or n == 1:
+            cuts = [start + (end - start) * i // n for i in range(n + 1)]
+        else:
+            cuts = balanced(start, end, n, lambda a, b: self._about(token, a, b))
+        return [Shard(token, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+    def _about(self, token: str, start: int, end: int) -> float:
+        """Number of fills: exact if a probe holds them all, else as if they went on as the probe's do."""
+        variables = {"market": token, "from": str(start), "to": str(end), "after": "", "first": PROBE}
+        page = call(_transport(self.options), _url(self.options, "fills"), {"query": _FILL_QUERY % "timestamp", "variables": variables}, tries=3, pause=_pause(self.options))["data"]["fills"]
+        if len(page) < PROBE:
+            return float(len(page))
+        return len(page) * (end - start) / (int(page[-1]["timestamp"]) - start + 1)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Shard)
         return (fill_row(f, partition.token) for f in FillPages(self.options).read(partition))
 
 
-class _FillsStream(SimpleDataSourceStreamReader):
-    """Fills after the last offset; the offset is the next second to read of every token."""
+class _FillsReader(_FillShards, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [p for t in _names(self.options) for p in self.shards(t, int(self.options["start"]), int(self.options["end"]))]
 
-    def __init__(self, options: dict):
-        self.options = dict(options)
 
-    def initialOffset(self) -> dict:
-        return {"at": int(self.options["start"])}
+class _FillsStream(_FillShards, DataSourceStreamReader):
+    """Fills from the checkpoint's offset on; the offset is the next second to read of each token. A token that is new to the checkpoint begins at the option start."""
 
-    def _between(self, start: int, end: int) -> list[tuple]:
-        return [fill_row(f, t) for t in (x.strip() for x in self.options["tokens"].split(",")) for f in FillPages(self.options).read(Shard(t, start, end))]
+    def initialOffset(self) -> dict:
+        return {t: int(self.options["start"]) for t in _names(self.options)}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        stop = min(int(self.options["end"]), start["at"] + int(self.options.get("span", 86_400)))
-        return iter(self._between(start["at"], stop)), {"at": max(stop, start["at"])}
+    def latestOffset(self) -> dict:
+        """The second that the index is in may still grow: it is read once the index is past it."""
+        head = call(_transport(self.options), _url(self.options, "fills"), {"query": _HEAD_QUERY}, pause=_pause(self.options))["data"]["_meta"]["block"]["timestamp"]
+        to = max(int(self.options["start"]), min(int(head), int(self.options.get("end", head))))
+        return {t: to for t in _names(self.options)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._between(start["at"], end["at"]))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [p for t, to in end.items() if (at := start.get(t, int(self.options["start"]))) < to for p in self.shards(t, at, to)]
 
 
 class ChainFills(DataSource):
-    """Indexed fills of tokens (comma-separated) in [start, end), dealt to shards of time. Options: url, tokens, start, end, shards, limit; span for streams, which resume from their checkpoint."""
+    """Indexed fills of tokens (comma-separated) in [start, end), dealt to shards. Options: url, tokens, start, end, shards (of each token), balance, limit. A stream may have no end; it resumes from its checkpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -259,7 +289,7 @@ class ChainFills(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FillsReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _FillsStream(self.options)
 
 
@@ -274,18 +304,41 @@ class Blocks(InputPartition):
     hi: int
 
 
-class _LogsReader(DataSourceReader):
+class _LogShards:
+    """Plans shards of blocks and reads them."""
+
     FEW, WIDEST = 2000, 100_000
+    #: Blocks that a probe looks at.
+    PROBE = 25
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = CaseInsensitiveDict(options)
 
-    def partitions(self) -> list[InputPartition]:
+    def shards(self, lo: int, hi: int) -> list[InputPartition]:
+        """Shards of the blocks [lo, hi) that hold about equal numbers of logs; of equal numbers of blocks if the option balance is false."""
         o = self.options
-        lo, hi, n = int(o["startBlock"]), int(o["endBlock"]), int(o.get("shards", 10))
-        cuts = [lo + (hi + 1 - lo) * i // n for i in range(n + 1)]
+        n = max(1, int(o.get("shards", 10)))
+        if str(o.get("balance", "true")).lower() == "false" or n == 1:
+            cuts = [lo + (hi - lo) * i // n for i in range(n + 1)]
+        else:
+            cuts = balanced(lo, hi, n, self._about, 6, 12)
         return [Blocks(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
+    def _about(self, lo: int, hi: int) -> float:
+        """Number of logs, as if all blocks were like the few at both ends and in the middle; a range that the service finds too large to answer counts as full."""
+        few = min(self.PROBE, hi - lo)
+        places, found = {lo, lo + (hi - lo - few) // 2, hi - few}, 0
+        for at in places:
+            answer = self._ask(at, at + few - 1, 3)
+            found += self.FEW if "error" in answer else len(answer["result"])
+        # a block without logs is still a block to scan
+        return (found / (few * len(places)) + 1 / self.WIDEST) * (hi - lo)
+
+    def _ask(self, lo: int, hi: int, tries: int) -> dict:
+        o = self.options
+        params = [{"address": o["address"], "topics": [o["topic"]], "fromBlock": hex(lo), "toBlock": hex(hi)}]
+        return call(_transport(o), _url(o, "logs"), {"jsonrpc": "2.0", "id": 1, "method": "eth_getLogs", "params": params}, tries=tries, pause=_pause(o))
+
     @staticmethod
     def suggested(error: str, at: int, to: int) -> int | None:
         """Last block of the range that an answer names as one that works, if it is a part of what was asked."""
@@ -295,13 +348,12 @@ class _LogsReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Blocks)
-        o, transport = self.options, _transport(self.options)
-        wanted = [token_hex(t.strip()) for t in o["tokens"].split(",")]
+        o = self.options
+        wanted = [token_hex(t) for t in _names(o)]
         at, span = partition.lo, int(o.get("span", 10_000))
         while at <= partition.hi:
             to = min(partition.hi, at + span - 1)
-            params = [{"address": o["address"], "topics": [o["topic"]], "fromBlock": hex(at), "toBlock": hex(to)}]
-            answer = call(transport, _url(o, "logs"), {"jsonrpc": "2.0", "id": 1, "method": "eth_getLogs", "params": params}, tries=8, pause=_pause(o))
+            answer = self._ask(at, to, 8)
             if "error" in answer:
                 if to == at:
                     raise FeedError(str(answer["error"]))
@@ -315,25 +367,29 @@ class _LogsReader(DataSourceReader):
                 span = min(self.WIDEST, span * 2)
 
 
-class _LogsStream(SimpleDataSourceStreamReader):
-    """Blocks in order; a checkpoint holds the next one. Options as for the batch; each batch takes up to `batch` blocks."""
+class _LogsReader(_LogShards, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.shards(int(self.options["startBlock"]), int(self.options["endBlock"]) + 1)
 
-    def __init__(self, options: dict):
-        self.options, self.reader = dict(options), _LogsReader(options)
+
+class _LogsStream(_LogShards, DataSourceStreamReader):
+    """Logs from the checkpoint's block on, up to the chain's newest block less `confirmations`, which may still be replaced."""
 
     def initialOffset(self) -> dict:
-        return {"at": int(self.options["startBlock"])}
+        return {"block": int(self.options["startBlock"])}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        stop = min(int(self.options["endBlock"]) + 1, start["at"] + int(self.options.get("batch", 100_000)))
-        return self.readBetweenOffsets(start, {"at": stop}), {"at": max(stop, start["at"])}
+    def latestOffset(self) -> dict:
+        o = self.options
+        newest = int(call(_transport(o), _url(o, "logs"), {"jsonrpc": "2.0", "id": 1, "method": "eth_blockNumber", "params": []}, pause=_pause(o))["result"], 16)
+        last = min(newest - int(o.get("confirmations", 64)), int(o.get("endBlock", newest)))
+        return {"block": max(int(o["startBlock"]), last + 1)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(self.reader.read(Blocks(start["at"], end["at"] - 1))))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.shards(start["block"], end["block"]) if start["block"] < end["block"] else []
 
 
 class ChainLogs(DataSource):
-    """Logs of a contract in a range of blocks that name one of the tokens. Options: url, address, topic, tokens, startBlock, endBlock, shards, span; batch for streams, which resume from their checkpoint."""
+    """Logs of a contract in a range of blocks that name one of the tokens. Options: url, address, topic, tokens, startBlock, endBlock, shards, balance, span. A stream may have no endBlock, stays `confirmations` blocks behind the chain, and resumes from its checkpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -345,7 +401,7 @@ class ChainLogs(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _LogsReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _LogsStream(self.options)
 
 

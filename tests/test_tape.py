@@ -170,9 +170,6 @@ def test_feeds(monkeypatch):
     reader = feeds._FillsReader(options)
     got = [x[0] for p in reader.partitions() for x in reader.read(p)]
     assert sorted(got) == [f["id"] for f in FILLS] and len(set(got)) == len(got)
-    s = feeds._FillsStream(options | {"span": 4})
-    rows, offset = s.read(s.initialOffset())
-    assert len(list(rows)) == 8 and offset == {"at": 4}
 
 
 def fake_logs(url, payload):
@@ -188,16 +185,11 @@ def fake_logs(url, payload):
 asked = []
 
 
-def test_log_ranges_and_stream():
+def test_log_ranges():
     asked.clear()
-    options = {"transport": "tests.test_tape:fake_logs", "url": "u", "address": "a", "topic": "t", "tokens": "11", "startBlock": 1, "endBlock": 30, "span": 8, "batch": 12}
+    options = {"transport": "tests.test_tape:fake_logs", "url": "u", "address": "a", "topic": "t", "tokens": "11", "startBlock": 1, "endBlock": 30, "span": 8}
     got = [r[2] for r in feeds._LogsReader(options).read(feeds.Blocks(1, 30))]
     assert got == [f"0x{b:x}" for b in range(1, 31)] and asked[:2] == [(1, 8), (1, 3)]
-    s, at, rows = feeds._LogsStream(options), {"at": 1}, []
-    while at["at"] <= 30:
-        part, at = s.read(at)
-        rows += [r[2] for r in part]
-    assert rows == got and s.initialOffset() == {"at": 1}
     assert feeds._LogsReader.suggested("x [0x1, 0x5]", 1, 9) == 5 and feeds._LogsReader.suggested("x [0x1, 0x9]", 1, 9) is None and feeds._LogsReader.suggested("x", 1, 9) is None
 
 
