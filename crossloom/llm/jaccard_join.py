@@ -552,14 +552,19 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns as they are, that have the least doc_id of their component; one row of each doc_id."""
-    found = join(docs, shingle, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    kept = kept.withColumnRenamed("doc_id", "_key")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["_key"])
-    return rows.join(kept, "_key", "left_semi").drop("_key")
+    """The rows of docs, all columns as they are, that come first in their component: least doc_id.
+
+    Every row is a document of its own, also where it has no doc_id or that of another row. Rows of a component with
+    equal ids come in no set order, and those without one come last.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count()
+    if ids.where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.join(join(docs, shingle, percent).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # numbers take the place of the ids; written down, so that they stay the same
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
+    place = rows.select("doc_id", F.struct(F.col("_doc.doc_id").isNull().alias("none"), F.col("_doc.doc_id").cast("long").alias("own"), "doc_id").alias("place"))
+    first = join(rows.select("doc_id", "text"), shingle, percent).join(place, "doc_id").groupBy("component_id").agg(F.min("place")["doc_id"].alias("doc_id"))
+    return rows.join(first.select("doc_id"), "doc_id", "left_semi").select("_doc.*")
 
 
 def _tokens_of(sets: DataFrame, keys: str) -> DataFrame:

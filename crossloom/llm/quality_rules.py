@@ -3,8 +3,10 @@
 Statistics of each text feed mergeable KLL quantile sketches per (language, source). Sketches of a
 language and of the corpus are merges of those, and serve groups with few documents. A document is
 rejected when a statistic lies beyond its group's upper fence: the greater of median + SPREAD * (upper quartile -
-median) and the WIDE quantile, plus a margin, which is the statistic's resolution. So a group in which an eighth
-of the documents repeat lines has a higher fence than one in which none does, while a few odd ones do not move it.
+median) and the WIDE quantile, plus what a few characters, a line or a window weigh in a text of the group's median size
+(STEPS). Repeated lines and words occur in few documents, good ones among them (SELDOM); their fence is also no less
+than that of the documents in which they occur, upper quartile + SELDOM_SPREAD * (upper quartile - median) of these.
+All these follow from the group, so fences differ from group to group.
 Sketches are exact up to SKETCH_K documents; beyond that their merges are randomised, and a fence may differ a
 little from run to run. Within a run there is one table of fences.
 
@@ -31,8 +33,12 @@ SKETCH_K = 4096
 MIN_GROUP = 30
 SPREAD = 6.0
 WIDE = 0.875
-#: Statistic -> margin of its fence: one line repeated in three, two windows of eight words repeated in a text of a hundred words.
-MARGINS = {"symbol_ratio": 0.02, "upper_ratio": 0.05, "dup_line_ratio": 0.35, "repeat_ratio": 0.16}
+#: Statistic -> of what it is a share, and how many of these a text of the group's median size may have beyond the quantiles.
+STEPS = {"symbol_ratio": ("word_chars", 24), "upper_ratio": ("word_chars", 64), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", WINDOW)}
+#: Statistics that most documents have none of.
+SELDOM = ["dup_line_ratio", "repeat_ratio"]
+SELDOM_SPREAD = 3.0
+_SIZES = sorted({of for of, _ in STEPS.values()})
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -44,8 +50,8 @@ def _nth_hashes(words: str) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios of MARGINS."""
-    keep = [c for c in docs.columns if c not in {"text", *BASE, *MARGINS}]
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios of STEPS."""
+    keep = [c for c in docs.columns if c not in {"text", *BASE, *STEPS}]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text"))
     a = a.withColumn("_words", F.filter(F.split("_text", SPACES), lambda x: x != ""))
@@ -81,27 +87,39 @@ def base_failed() -> Column:
 
 def thresholds(stats: DataFrame) -> DataFrame:
     """One row per (lang, source): the fence of each statistic, from sketches over its documents that pass the base rule."""
-    names = list(MARGINS)
-    fine = stats.where(~base_failed()).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in names])
+    names = list(STEPS)
+    sketch = lambda c, name: F.kll_sketch_agg_double(c.cast("double"), SKETCH_K).alias(name)
+    some = {m: F.when(F.col(m) > 0, F.col(m)) for m in SELDOM}
+    sketches = [*names, *_SIZES, *[f"some_{m}" for m in SELDOM]]
+    sums = ["n", *[f"n_{m}" for m in SELDOM]]
+    fine = stats.where(~base_failed()).groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{m}") for m, c in some.items()], *[sketch(F.col(c), c) for c in (*names, *_SIZES)], *[sketch(c, f"some_{m}") for m, c in some.items()]
+    )
 
     def merged(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in names])
+        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.kll_merge_agg_double(c).alias(c) for c in sketches])
 
     def fences(df: DataFrame, *keys: str, level: str) -> DataFrame:
-        q = lambda m, r: F.kll_sketch_get_quantile_double(m, F.lit(r))
-        fence = lambda m: F.greatest(q(m, 0.5) + F.lit(SPREAD) * (q(m, 0.75) - q(m, 0.5)), q(m, WIDE)) + F.lit(MARGINS[m])
-        return df.where("n > 0").select(*keys, F.when(F.col("n") >= (MIN_GROUP if level != "all" else 1), F.struct(*[fence(m).alias(m) for m in names])).alias(level))
+        """keys; level: fences and steps of all statistics; level_m: the fence among the documents in which m occurs."""
+        q = lambda c, r: F.kll_sketch_get_quantile_double(c, F.lit(r))
+        least = MIN_GROUP if level != "all" else 1
+        fence = lambda m: F.greatest(q(m, 0.5) + F.lit(SPREAD) * (q(m, 0.75) - q(m, 0.5)), q(m, WIDE))
+        step = lambda m: F.lit(float(STEPS[m][1])) / F.greatest(q(STEPS[m][0], 0.5), F.lit(1.0))
+        own = F.struct(*[fence(m).alias(m) for m in names], *[step(m).alias(f"step_{m}") for m in names])
+        seldom = lambda m: q(f"some_{m}", 0.75) + F.lit(SELDOM_SPREAD) * (q(f"some_{m}", 0.75) - q(f"some_{m}", 0.5))
+        return df.where("n > 0").select(*keys, F.when(F.col("n") >= least, own).alias(level), *[F.when(F.col(f"n_{m}") >= least, seldom(m)).alias(f"{level}_{m}") for m in SELDOM])
 
     by_lang = merged(fine, "lang")
     a, b, c = fences(fine, "lang", "source", level="own"), fences(by_lang, "lang", level="language"), fences(merged(by_lang), level="all")
     a = a.join(b.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").join(F.broadcast(c), how="left")
     best = F.coalesce("own", "language", "all")
-    return a.select("lang", "source", *[best[m].alias(f"max_{m}") for m in names])
+    seldom = {m: F.coalesce(f"own_{m}", f"language_{m}", f"all_{m}", F.lit(0.0)) for m in SELDOM}
+    return a.select("lang", "source", *[(F.greatest(best[m], seldom.get(m, best[m])) + best[f"step_{m}"]).alias(f"max_{m}") for m in names])
 
 
 def _within() -> Column:
     within = F.lit(True)
-    for m in MARGINS:
+    for m in STEPS:
         within &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
     return within
 
@@ -111,7 +129,7 @@ def flag(docs: DataFrame) -> DataFrame:
     for c in ("lang", "source"):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast("string"))
-    drop = [f"max_{m}" for m in MARGINS] + ["base_failed", "kept", "n_lines", "n_upper"]
+    drop = [f"max_{m}" for m in STEPS] + ["base_failed", "kept", "n_lines", "n_upper"]
     stats = materialize(statistics(docs.drop(*drop)), "quality-statistics")
     t = thresholds(stats).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = stats.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
@@ -131,19 +149,21 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB SQL, exact quantiles in place of sketches (which are exact up to SKETCH_K items)."""
-    fences = {m: f"greatest(q50_{m} + {SPREAD} * (q75_{m} - q50_{m}), q87_{m}) + {MARGINS[m]}" for m in MARGINS}
-    levels, ranked = [], []
-    for level, keys in (("own", ["lang", "source"]), ("language", ["lang"]), ("all_", [])):
-        part = f"PARTITION BY {', '.join(keys)} " if keys else ""
-        over = f"OVER ({part.strip()})"
-        cols = ", ".join(f"row_number() OVER ({part}ORDER BY {m}) AS r_{m}" for m in MARGINS)
-        sel = "".join(f"{k}, " for k in keys)
-        picks = ", ".join(f"min({m}) FILTER (r_{m} >= ceil({r} * n)) AS q{int(r * 100)}_{m}" for m in MARGINS for r in (0.5, 0.75, WIDE))
-        by = f"GROUP BY {sel}n" if keys else "GROUP BY n"
-        ranked.append(f"r_{level} AS (SELECT {sel}{', '.join(MARGINS)}, count(*) {over} AS n, {cols} FROM good)")
-        levels.append(f"l_{level} AS (SELECT {sel}n, {', '.join(f'{fences[m]} AS f_{m}' for m in MARGINS)} FROM (SELECT {sel}n, {picks} FROM r_{level} {by}))")
-    pick = lambda m: f"coalesce(CASE WHEN o.n >= {MIN_GROUP} THEN o.f_{m} END, CASE WHEN g.n >= {MIN_GROUP} THEN g.f_{m} END, a.f_{m})"
-    inside = " AND ".join(f"coalesce(s.{m} <= {pick(m)}, true)" for m in MARGINS)
+    at = lambda x, r: f"{x}[greatest(1, ceil({r} * len({x})))::BIGINT]"
+    fence = lambda m: f"greatest({at(f'v_{m}', 0.5)} + {SPREAD} * ({at(f'v_{m}', 0.75)} - {at(f'v_{m}', 0.5)}), {at(f'v_{m}', WIDE)})"
+    step = lambda m: f"{STEPS[m][1]}::DOUBLE / greatest({at(f's_{STEPS[m][0]}', 0.5)}, 1)::DOUBLE"
+    some = lambda m: f"{at(f'o_{m}', 0.75)} + {SELDOM_SPREAD} * ({at(f'o_{m}', 0.75)} - {at(f'o_{m}', 0.5)})"
+    levels = []
+    for level, keys in (("own", "lang, source"), ("language", "lang"), ("all_", "")):
+        least = MIN_GROUP if keys else 1
+        lists = [f"list_sort(list({m})) AS v_{m}" for m in STEPS] + [f"list_sort(list({c})) AS s_{c}" for c in _SIZES] + [f"list_sort(coalesce(list({m}) FILTER ({m} > 0), [])) AS o_{m}" for m in SELDOM]
+        sel = f"{keys}, " if keys else ""
+        cols = [f"CASE WHEN n >= {least} THEN {fence(m)} END AS f_{m}, CASE WHEN n >= {least} THEN {step(m)} END AS g_{m}" for m in STEPS] + [f"CASE WHEN len(o_{m}) >= {least} THEN {some(m)} END AS o_{m}" for m in SELDOM]
+        levels.append(f"l_{level} AS (SELECT {sel}n, {', '.join(cols)} FROM (SELECT {sel}count(*) AS n, {', '.join(lists)} FROM good{' GROUP BY ' + keys if keys else ''}) WHERE n > 0)")
+    # a group without one good document has no row of its own and so no fence
+    best = lambda c: f"CASE WHEN o.n IS NOT NULL THEN coalesce(o.{c}, g.{c}, a.{c}) END"
+    pick = lambda m: f"greatest({best(f'f_{m}')}, coalesce({f'o.o_{m}, g.o_{m}, a.o_{m}, 0' if m in SELDOM else f'{best(f"f_{m}")}'})) + {best(f'g_{m}')}"
+    inside = " AND ".join(f"coalesce(s.{m} <= {pick(m)}, true)" for m in STEPS)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
@@ -159,7 +179,7 @@ s AS (SELECT *, n_symbols::DOUBLE / greatest(word_chars, 1)::DOUBLE AS symbol_ra
   n_dup_lines::DOUBLE / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio, n_repeat_words::DOUBLE / greatest(n_words, 1)::DOUBLE AS repeat_ratio,
   (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM s0),
 good AS (SELECT * FROM s WHERE NOT base_failed),
-{', '.join(ranked)}, {', '.join(levels)}
+{', '.join(levels)}
 SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed,
   (NOT s.base_failed AND {inside}) AS kept
 FROM s LEFT JOIN l_own o ON s.lang IS NOT DISTINCT FROM o.lang AND s.source IS NOT DISTINCT FROM o.source

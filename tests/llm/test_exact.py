@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from crossloom.llm import fingerprints, jaccard_join, language_id, maxent_lm, packing, pieces, quality_classifier, quality_rules, repeats, url_filter
+from crossloom.llm.runtime import materialize
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -448,27 +449,42 @@ def test_quality_score_against_plain_rules(spark):
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
 
 
+STATS = "lang string, source string, n_words long, word_chars long, n_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in quality_rules.STEPS)
+
+
 def test_quality_fences_beyond_exact_sketches(spark, monkeypatch):
     """With small sketches, fences come near those of exact quantiles: within the rank error."""
     monkeypatch.setattr(quality_rules, "SKETCH_K", 200)
     rng = np.random.default_rng(2)
-    rows = [("en", f"s{i % 2}", 100, 0, *map(float, rng.random(4) * [0.1, 0.2, 0.5, 0.2])) for i in range(20_000)]
-    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"{m} double" for m in quality_rules.MARGINS)).repartition(7)
+    rows = [("en", f"s{i % 2}", 100, 500, 10, 0, *map(float, rng.random(4) * [0.1, 0.2, 0.5, 0.2])) for i in range(20_000)]
+    size = {"n_words": 100, "word_chars": 500, "n_lines": 10}
+    stats = spark.createDataFrame(rows, STATS).repartition(7)
     for r in quality_rules.thresholds(stats).collect():
-        for k, (m, margin) in enumerate(quality_rules.MARGINS.items()):
-            v = np.sort([x[4 + k] for x in rows if x[1] == r.source])
+        for k, (m, (of, steps)) in enumerate(quality_rules.STEPS.items()):
+            v = np.sort([x[6 + k] for x in rows if x[1] == r.source])
             at = lambda q: v[int(min(max(q, 0), 0.9999) * len(v))]
-            fence = lambda e: max(at(0.5 - e) + quality_rules.SPREAD * (at(0.75 + e) - at(0.5 - e)), at(quality_rules.WIDE + e)) + margin
+            fence = lambda e: max(at(0.5 - e) + quality_rules.SPREAD * (at(0.75 + e) - at(0.5 - e)), at(quality_rules.WIDE + e), (at(0.75 + e) + quality_rules.SELDOM_SPREAD * (at(0.75 + e) - at(0.5 - e))) if m in quality_rules.SELDOM else 0) + steps / size[of]
             assert fence(-0.03) <= r[f"max_{m}"] <= fence(0.03)
 
 
-def test_wide_groups_get_wider_fences(spark):
-    """An eighth of the documents with repeated lines moves a group's fence; one odd document does not."""
-    rows = [("en", s, 100, 0, 0.0, 0.0, 0.4 if s == "poems" and i % 4 == 0 or i == 1 else 0.0, 0.0) for s in ("poems", "prose") for i in range(200)]
-    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"{m} double" for m in quality_rules.MARGINS))
-    got = {r.source: r.max_dup_line_ratio for r in quality_rules.thresholds(stats).collect()}
-    margin = quality_rules.MARGINS["dup_line_ratio"]
-    assert abs(got["prose"] - margin) < 1e-9 and got["poems"] >= 0.4 + margin
+def test_groups_have_fences_of_their_own(spark):
+    """A fence follows from the documents in which the statistic occurs, from how many those are, and from the texts' size."""
+    rows = [("en", s, 100, 500, 20 if s == "long" else 4, 0, 0.0, 0.0, (0.4 if s == "poems" else 0.1) * (i % 4 == 0), 0.0) for s in ("poems", "prose", "long") for i in range(200)]
+    rows += [("de", "prose", 100, 500, 4, 0, 0.0, 0.0, 0.9 * (i == 1), 0.0) for i in range(200)]
+    got = {(r.lang, r.source): r.max_dup_line_ratio for r in quality_rules.thresholds(spark.createDataFrame(rows, STATS)).collect()}
+    want = {("en", "poems"): 0.4 + 1 / 4, ("en", "prose"): 0.1 + 1 / 4, ("en", "long"): 0.1 + 1 / 20}
+    # one odd document does not make a fence: the group takes that of all in which it occurs
+    seen = sorted([0.4] * 50 + [0.1] * 100 + [0.9])
+    at = lambda q: seen[int(np.ceil(q * len(seen))) - 1]
+    want["de", "prose"] = at(0.75) + quality_rules.SELDOM_SPREAD * (at(0.75) - at(0.5)) + 1 / 4
+    assert got == pytest.approx(want)
+
+
+def test_fences_of_given_tables_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = quality_rules.thresholds(materialize(quality_rules.statistics(docs), "statistics")).toPandas()
+    for m in quality_rules.STEPS:
+        assert got[f"max_{m}"].round(4).nunique() >= 8
 
 
 def test_empty_tables(nothing, spark):

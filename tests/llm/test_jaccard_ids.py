@@ -30,5 +30,19 @@ def test_null_ids_and_ids_with_two_texts(spark):
     for part in (docs.coalesce(1), docs.repartition(4)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(part, 5, 80).collect())
         assert got == brute(rows, 5, 80)
-    kept = jaccard_join.keep_one(docs).collect()
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == sorted({i for i, _, c in brute(rows, 5, 80) if i == c})
+
+
+def test_keep_one_takes_every_row_as_a_document(spark):
+    """Null ids, -1, ids of several texts and repeated rows: one row of each component stays, and no other text is lost."""
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(50))
+    own = [text() for _ in range(8)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[2]), (-1, own[3]), (7, own[4]), (7, own[5]), (8, own[6]), (8, own[6]), (None, own[0] + " more"), (3, own[1] + " more"), (9, own[7]), (None, None), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, place string, n_shingles long").repartition(3)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    first = [r for r in got if r[0] is None and r[1] and r[1].startswith(own[0])]
+    # of two rows without an id that are near each other, either may stay
+    assert len(first) == 1
+    assert sorted([r for r in got if r not in first], key=repr) == sorted([(None, own[2]), (-1, own[3]), (7, own[4]), (7, own[5]), (8, own[6]), (3, own[1] + " more"), (9, own[7]), (None, None), (None, ""), (5, None)], key=repr)

@@ -37,7 +37,8 @@ def _stats(t):
     covered = {p for j in range(len(w) - 7) if seen[tuple(w[j : j + 8])] > 1 for p in range(j, j + 8)}
     chars = max(1, sum(map(len, w)))
     ratios = {"symbol_ratio": len(re.findall(r"[#*$%&|<>]", t or "")) / chars, "upper_ratio": sum(map(str.isupper, t or "")) / chars, "dup_line_ratio": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeat_ratio": len(covered) / max(1, len(w))}
-    return len(w) < 20 or 100 * len(covered) > 30 * len(w), ratios
+    sizes = {"word_chars": sum(map(len, w)), "n_lines": len(lines), "n_words": len(w)}
+    return len(w) < 20 or 100 * len(covered) > 30 * len(w), ratios | sizes
 
 
 def _by_rules(rows):
@@ -49,17 +50,25 @@ def _by_rules(rows):
             for level, key in enumerate(((r[2], r[3]), r[2], None)):
                 groups[level, key].append(ratios)
 
-    def fence(values):
+    def at(values, q):
         v = sorted(values)
-        at = lambda q: v[int(np.ceil(q * len(v))) - 1]
-        return max(at(0.5) + quality_rules.SPREAD * (at(0.75) - at(0.5)), at(quality_rules.WIDE))
+        return v[max(0, int(np.ceil(q * len(v))) - 1)]
+
+    def fence(levels, m):
+        own = [x[m] for x in next((g for g in levels[:2] if len(g) >= quality_rules.MIN_GROUP), levels[2])]
+        size = at([x[quality_rules.STEPS[m][0]] for x in next((g for g in levels[:2] if len(g) >= quality_rules.MIN_GROUP), levels[2])], 0.5)
+        high = max(at(own, 0.5) + quality_rules.SPREAD * (at(own, 0.75) - at(own, 0.5)), at(own, quality_rules.WIDE))
+        if m in quality_rules.SELDOM:
+            seen = [[x[m] for x in g if x[m] > 0] for g in levels]
+            some = next((v for v, least in zip(seen, (quality_rules.MIN_GROUP, quality_rules.MIN_GROUP, 1), strict=True) if len(v) >= least), [0])
+            high = max(high, at(some, 0.75) + quality_rules.SELDOM_SPREAD * (at(some, 0.75) - at(some, 0.5)))
+        return high + quality_rules.STEPS[m][1] / max(1, size)
 
     kept = []
     for r, (failed, ratios) in zip(rows, stats, strict=True):
         levels = [groups[0, (r[2], r[3])], groups[1, r[2]], groups[2, None]]
-        own = next((g for g in levels[:2] if len(g) >= quality_rules.MIN_GROUP), levels[2])
         # a group without one good document has no row of its own and so no fence
-        if not failed and all(ratios[m] <= fence([x[m] for x in own]) + margin for m, margin in quality_rules.MARGINS.items()):
+        if not failed and all(ratios[m] <= fence(levels, m) for m in quality_rules.STEPS):
             kept.append(r)
     return kept
 
