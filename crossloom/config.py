@@ -6,9 +6,12 @@ import json
 import sys
 from dataclasses import dataclass, field
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.chain import token_hex
+
 
 @dataclass(frozen=True)
 class Event:
@@ -45,9 +48,9 @@ class Event:
         return cls(**own, base=base, other={k: v for k, v in cfg.items() if k not in names})
 
     def path(self, kind: str) -> str:
-        """Place of one of the event's tables: raw_exchange, raw_fills, raw_logs, clean_exchange, clean_fills, clean_logs, merged, matches, matched_trades, results, charts."""
+        """Place of one of the event's tables: raw_exchange, raw_fills, raw_logs, raw_fill_shards, clean_exchange, clean_fills, clean_logs, merged, matches, matched_trades, results, charts."""
         places = {
-            "raw_exchange": "raw/exchange.jsonl", "raw_fills": "raw/fills.jsonl" + ".gz" * self.poly_raw_gzip, "raw_logs": "raw/logs.jsonl",
+            "raw_exchange": "raw/exchange.jsonl", "raw_fills": "raw/fills.jsonl" + ".gz" * self.poly_raw_gzip, "raw_logs": "raw/logs.jsonl", "raw_fill_shards": "raw/fills.part*.jsonl*",
             "clean_exchange": "clean/exchange", "clean_fills": "clean/fills", "clean_logs": "clean/logs",
             "merged": "results/merged", "matches": "results/matches", "matched_trades": "results/matched_trades", "results": "results/results.txt", "charts": "results/charts.html",
         }
@@ -78,6 +81,11 @@ def event_from_argv(events_dir: str, argv: list[str] | None = None) -> Event:
 
 
 def events_frame(spark: SparkSession, events: list[Event]) -> DataFrame:
-    """One row per event, to join tapes with by slug."""
-    rows = [(e.slug, e.kalshi_ticker, list(e.polymarket_token_ids), (e.polymarket_exchange or ""), e.window_seconds, (e.resolution or "YES").upper(), e.start_ts, e.end_ts) for e in events]
-    return spark.createDataFrame(rows, "slug string, kalshi_ticker string, token_ids array<string>, exchange string, window_seconds int, resolution string, start_ts long, end_ts long")
+    """One row per event, to join records and tapes with: by folder (its name, as in paths of files), ticker or slug."""
+    token = lambda e, i: e.polymarket_token_ids[i] if len(e.polymarket_token_ids) > i else None
+    rows = []
+    for e in events:
+        ids = [token(e, 0), token(e, 1)]
+        hexes = [token_hex(i) if i and i.isdigit() else None for i in ids]
+        rows.append((quote(Path(e.base).name), e.slug, e.kalshi_ticker, list(e.polymarket_token_ids), *ids, *hexes, e.polymarket_exchange or "", e.window_seconds, (e.resolution or "YES").upper(), e.start_ts, e.end_ts))
+    return spark.createDataFrame(rows, "folder string, slug string, kalshi_ticker string, token_ids array<string>, yes_token string, no_token string, yes_hex string, no_hex string, exchange string, window_seconds int, resolution string, start_ts long, end_ts long")

@@ -10,6 +10,15 @@ from ..functions.chain import token_hex, word_amount
 from ..schemas import CLEAN
 
 
+def _lit(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def _hex(token: Column | str) -> Column:
+    """A token as a chain word; columns have it so already."""
+    return F.lit(token_hex(token)) if isinstance(token, str) else token
+
+
 def _conform(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CLEAN])
@@ -42,11 +51,11 @@ def clean_exchange(raw: DataFrame, slug: Column | str) -> DataFrame:
     return _conform(rows)
 
 
-def clean_fills(raw: DataFrame, slug: Column | str, exchange: str, tokens: tuple[str, str]) -> DataFrame:
+def clean_fills(raw: DataFrame, slug: Column | str, exchange: Column | str, tokens: tuple[Column | str, Column | str]) -> DataFrame:
     """Indexed fills: size is the collateral leg in millionths, side the maker's; aggregate rows and zero prices go. Columns: schemas.RAW_FILLS."""
     price = round6(F.col("price").cast("double"))
     notional = F.col("size").cast("decimal(20,0)").cast("double") / 1e6
-    outcome = outcome_of(F.col("market"), F.lit(tokens[0]), F.lit(tokens[1]))
+    outcome = outcome_of(F.col("market"), _lit(tokens[0]), _lit(tokens[1]))
     at = F.col("timestamp").cast("long")
     rows = raw.where(fill_kind(exchange) == "trade").select(
         _slug(slug), F.lit("polymarket").alias("venue"), F.timestamp_seconds(at).alias("timestamp"), at.alias("unix_ts"), F.col("id").alias("trade_id"), outcome.alias("outcome"), flip_side(F.col("side")).alias("side"),
@@ -56,25 +65,25 @@ def clean_fills(raw: DataFrame, slug: Column | str, exchange: str, tokens: tuple
     return _conform(rows)
 
 
-def fill_kind(exchange: str) -> Column:
+def fill_kind(exchange: Column | str) -> Column:
     """aggregate (the exchange itself is the taker), unpriced, or trade."""
-    return F.when(F.col("taker.id") == exchange, "aggregate").when(round6(F.col("price").cast("double")) <= 0, "unpriced").otherwise("trade")
+    return F.when(F.col("taker.id") == _lit(exchange), "aggregate").when(round6(F.col("price").cast("double")) <= 0, "unpriced").otherwise("trade")
 
 
-def log_kind(exchange: str) -> Column:
+def log_kind(exchange: Column | str) -> Column:
     """aggregate, anomaly (neither asset is the collateral), or trade."""
     zero = "0" * 64
-    return F.when(address(F.col("topics")[3]) == exchange, "aggregate").when((abi_word(F.col("data"), 0) != zero) & (abi_word(F.col("data"), 1) != zero), "anomaly").otherwise("trade")
+    return F.when(address(F.col("topics")[3]) == _lit(exchange), "aggregate").when((abi_word(F.col("data"), 0) != zero) & (abi_word(F.col("data"), 1) != zero), "anomaly").otherwise("trade")
 
 
-def clean_logs(raw: DataFrame, slug: Column | str, exchange: str, tokens: tuple[str, str]) -> DataFrame:
-    """Chain logs: the asset that is zero is the collateral; the maker's is tested first. Columns: schemas.RAW_LOGS."""
+def clean_logs(raw: DataFrame, slug: Column | str, exchange: Column | str, tokens: tuple[Column | str, Column | str]) -> DataFrame:
+    """Chain logs: the asset that is zero is the collateral; the maker's is tested first. Tokens are decimal ids, or columns of chain words. Columns: schemas.RAW_LOGS."""
     words = raw.where(log_kind(exchange) == "trade").select("*", *[abi_word(F.col("data"), i).alias(f"_w{i}") for i in range(4)])
     paid = F.col("_w0") == "0" * 64
     a, b = word_amount(F.col("_w2")), word_amount(F.col("_w3"))
     usdc, token = F.when(paid, a).otherwise(b), F.when(paid, b).otherwise(a)
     asset = F.when(paid, F.col("_w1")).otherwise(F.col("_w0"))
-    outcome = outcome_of(asset, F.lit(token_hex(tokens[0])), F.lit(token_hex(tokens[1])))
+    outcome = outcome_of(asset, _hex(tokens[0]), _hex(tokens[1]))
     amounts = words.select("*", usdc.cast("double").alias("_usdc"), token.cast("double").alias("_token"), outcome.alias("_outcome"))
     price = F.when(F.col("_token") != 0, round6(F.col("_usdc") / F.col("_token")))
     at = hex_long(F.col("blockTimestamp"))

@@ -55,16 +55,31 @@ def settlement(matches: DataFrame, resolution: Column) -> DataFrame:
     return out.select("slug", "venue", "tokens", "expense", "payback", (F.col("payback") - F.col("expense")).alias("earnings"), value(F.col("_y"), F.col("tokens"), F.col("_yes")).alias("net"))
 
 
-def path(matches: DataFrame) -> DataFrame:
-    """Running z by venue and locked-in cash in the order of execution, with the time both legs were filled.
+#: Bits of an order's lowest stretches; each level above takes as many more.
+BITS = 16
+LEVELS = 4
+
+
+def running_sums(rows: DataFrame, key: str, order: str, sums: list[str], level: int = 1, whole: bool = True) -> DataFrame:
+    """rows (key, order: a long from 0 on) with their running sums in that order within key; whole: the row's own value included.
 
-    Running sums are by day-long stretches of match_seq with the totals of earlier stretches added.
+    Orders that are equal but for their low bits are a stretch, so no window has more than 2 ** BITS orders. What lies before a
+    stretch is a running sum over the stretches' totals, found the same way, with stretches of stretches, up to the highest bits.
     """
+    until = Window.unboundedPreceding, 0 if whole else -1
+    if level == LEVELS:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(*until)
+        return rows.withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums})
+    part = f"_stretch{level}"
+    rows = rows.withColumn(part, F.shiftright(order, BITS))
+    totals = rows.groupBy(key, part).agg(*[F.sum(c).alias(c) for c in sums])
+    before = running_sums(totals, key, part, sums, level + 1, False).select(key, part, *[F.col(c).alias(f"_0{c}") for c in sums])
+    w = Window.partitionBy(key, part).orderBy(order).rowsBetween(*until)
+    return rows.withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums}).join(before, [key, part]).withColumns({c: F.col(c) + F.col(f"_0{c}") for c in sums}).drop(part, *[f"_0{c}" for c in sums])
+
+
+def path(matches: DataFrame) -> DataFrame:
+    """Running z by venue and locked-in cash in the order of execution, with the time both legs were filled."""
     step = lambda v: (F.col(f"{v}_side"), F.col("arb_size"), F.col(f"{v}_yes"), F.col(f"{v}_no"))
-    rows = matches.select("slug", "match_seq", F.greatest("poly_time", "kalshi_time").alias("book_time"), (cash(*step("poly")) + cash(*step("kalshi"))).alias("_lock"), *[contracts(*step(v)[:2]).alias(f"_z_{v}") for v in ("poly", "kalshi")])
-    rows = rows.withColumn("_stretch", F.shiftright("match_seq", 40))
-    sums = ["_lock", "_z_poly", "_z_kalshi"]
-    over = Window.partitionBy("slug").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = rows.groupBy("slug", "_stretch").agg(*[F.sum(c).alias(c) for c in sums]).select("slug", "_stretch", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_0") for c in sums])
-    w = Window.partitionBy("slug", "_stretch").orderBy("match_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(earlier, ["slug", "_stretch"]).select("slug", "match_seq", "book_time", *[(F.sum(c).over(w) + F.col(f"{c}_0")).alias(n) for c, n in zip(sums, ("locked_in", "z_poly", "z_kalshi"), strict=True)])
+    rows = matches.select("slug", "match_seq", F.greatest("poly_time", "kalshi_time").alias("book_time"), (cash(*step("poly")) + cash(*step("kalshi"))).alias("locked_in"), *[contracts(*step(v)[:2]).alias(f"z_{v}") for v in ("poly", "kalshi")])
+    return running_sums(rows, "slug", "match_seq", ["locked_in", "z_poly", "z_kalshi"]).select("slug", "match_seq", "book_time", "locked_in", "z_poly", "z_kalshi")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time_bin
+from ..runtime import materialize
 from .series import second_grid
 
 EPPS_BINS = [5, 10, 30, 60, 120, 300, 600, 900, 1800]
@@ -48,17 +49,11 @@ def changes(grid: DataFrame, horizons: list[int]) -> DataFrame:
     return ahead.select("slug", "venue", "horizon", (F.col("ts") + F.col("horizon")).alias("ts"), "_then").join(now, ["slug", "venue", "ts"]).select("slug", "venue", "horizon", "ts", (F.col("_now") - F.col("_then")).alias("change"))
 
 
-def lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int = 1800, step: int = 60) -> DataFrame:
-    """slug, horizon, lag, n, corr of the exchange's change at t + lag with the chain's at t."""
-    c = changes(grid, horizons or LEAD_LAG_HORIZONS)
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag), F.lit(step))).alias("lag")
-    chain = c.where("venue = 'polymarket'").select("slug", "horizon", "ts", F.col("change").alias("p"), lags).select("slug", "horizon", (F.col("ts") + F.col("lag")).alias("ts"), "lag", "p")
-    exchange = c.where("venue = 'kalshi'").select("slug", "horizon", "ts", F.col("change").alias("k"))
-    return chain.join(exchange, ["slug", "horizon", "ts"]).groupBy("slug", "horizon", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("k", "p").alias("corr"))
+def lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int = 1800, step: int = 60, block: int = 86_400) -> DataFrame:
+    """slug, horizon, lag, n, corr of the exchange's change at t + lag with the chain's at t.
 
-
-def dense_lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int = 1800, step: int = 60, block: int = 86_400) -> DataFrame:
-    """As lead_lag, for grids of every second: each block of time sums its products over arrays, with no row for each lag."""
+    Each block of time sums its products over arrays of its seconds, with no row for each lag; seconds that the grid leaves out count for nothing.
+    """
     horizons = horizons or LEAD_LAG_HORIZONS
     back, ahead = max_lag + max(horizons), max_lag
     sums = ["n", "m", "x", "y", "xx", "yy", "xy"]
@@ -150,8 +145,38 @@ def regimes(bounds: DataFrame, shock_start: int, shock_seconds: int = 86_400) ->
     return bounds.select("slug", F.explode(rows).alias("r")).select("slug", "r.*")
 
 
+#: Quantiles on either side of a wanted one between which its rank must lie, and the accuracy that makes sure of it. Of fewer rows than LEAST_ROWS all are in the bracket.
+BESIDE = 0.002
+ACCURACY = 10_000
+LEAST_ROWS = 2000
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """keys and a column for each wanted quantile of value, by linear interpolation between ranks; exact.
+
+    A mergeable sketch brackets each quantile; a second pass counts what lies below the bracket, and how often each value in it
+    occurs. So a window has the distinct values of a bracket, about 2 * BESIDE of the rows, and nothing holds a group's values.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    # the sketch's ranks are off by 1 / ACCURACY of the rows at most
+    sides = [p for q in wanted.values() for p in (max(0.0, q - BESIDE), min(1.0, q + BESIDE))]
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", sides, ACCURACY).alias("_at"))
+    end = lambda i, c: F.when(F.col("_n") < LEAST_ROWS, F.col(c)).otherwise(F.col("_at")[i])
+    brackets = F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("_n") - 1) * F.lit(q)).alias("rank"), end(2 * i, "_lo").alias("lo"), end(2 * i + 1, "_hi").alias("hi")) for i, (k, q) in enumerate(wanted.items())])
+    found = materialize(found.select(*keys, brackets.alias("_b")), "brackets")
+    few = found.limit(FEW + 1).count() <= FEW
+    met = rows.join(F.broadcast(found) if few else found, keys).select(*keys, "_v", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
+    counts = met.groupBy(*keys, "b.name", "b.rank", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    low, high = F.floor("rank"), F.ceil("rank")
+    at = lambda r: F.min(F.when((F.col("_upto") > r) & F.col("_v").isNotNull(), F.col("_v")))
+    ends = counts.withColumn("_upto", F.sum("_n").over(w)).groupBy(*keys, "name", "rank").agg(at(low).alias("a"), at(high).alias("b"))
+    q = ends.select(*keys, "name", F.when(low == high, F.col("a")).otherwise((high - F.col("rank")) * F.col("a") + (F.col("rank") - low) * F.col("b")).alias("q"))
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in wanted])
+
+
 def drift(grid: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """slug, venue, horizon, p50, p90, p99 of absolute changes, in cents."""
-    c = changes(grid, horizons or DRIFT_HORIZONS).where("change IS NOT NULL").withColumn("cents", F.abs("change") * 100)
-    q = c.groupBy("slug", "venue", "horizon").agg(F.percentile("cents", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
-    return q.select("slug", "venue", "horizon", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    c = changes(grid, horizons or DRIFT_HORIZONS).where("change IS NOT NULL")
+    c = materialize(c.select("slug", "venue", "horizon", (F.abs("change") * 100).alias("cents")), "changes")
+    return percentiles(c, ["slug", "venue", "horizon"], "cents", {"p50": 0.5, "p90": 0.9, "p99": 0.99})

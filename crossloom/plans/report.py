@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +49,16 @@ def _line(points: list[tuple[float, float]], color: str, box: tuple[float, float
     return f'<polyline fill="none" stroke="{color}" points="{" ".join(f"{x(t):.1f},{y(v):.1f}" for t, v in points)}"/>'
 
 
-def chart_page(sampled: DataFrame, slug: str, title: str, matches: int) -> str:
-    """An HTML page with prices, positions and locked-in cash as SVG, and the points as JSON."""
-    rows = [r.asDict() for r in sampled.where(F.col("slug") == slug).orderBy("i").limit(POINTS).collect()]
+def uncovered(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """slug, market, id of matched trades that the tape does not have: then its prices are not those that were matched."""
+    both = F.array(*[F.struct(F.lit(v).alias("market"), F.col(f"{v}_id").alias("id")) for v in ("poly", "kalshi")])
+    used = matches.select("slug", F.explode(both).alias("u")).select("slug", "u.market", "u.id").distinct()
+    return used.join(rows.select("slug", "market", "id"), ["slug", "market", "id"], "left_anti")
+
+
+def chart_page(sampled: pd.DataFrame, slug: str, title: str, matches: int) -> str:
+    """An HTML page with prices, positions and locked-in cash as SVG, and the points as JSON. sampled: chart_points, a few hundred rows for each event."""
+    rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in sampled[sampled["slug"] == slug].sort_values("i").to_dict("records")]
     parts = []
     for name, lines in (("Implied probability", ("kalshi", "polymarket")), ("Net YES contracts", ("z_kalshi", "z_poly")), ("Locked-in cash", ("locked_in",))):
         data = {c: [(r["ts"], float(r[c])) for r in rows if r[c] is not None] for c in lines}

@@ -343,12 +343,12 @@ def second_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def second_lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.dense_lead_lag(_seconds(spark, sf_dir)).select("slug", "horizon", "lag", "n", _r("corr", 5))
+    return sync.lead_lag(_seconds(spark, sf_dir)).select("slug", "horizon", "lag", "n", _r("corr", 5))
 
 
 @_register()
 def second_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.peak_lag(sync.dense_lead_lag(_seconds(spark, sf_dir))).select("slug", "horizon", "lag", "leader")
+    return sync.peak_lag(sync.lead_lag(_seconds(spark, sf_dir))).select("slug", "horizon", "lag", "leader")
 
 
 @_register()

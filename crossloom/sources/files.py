@@ -12,16 +12,18 @@ RAW = {"exchange": RAW_EXCHANGE, "fills": RAW_FILLS, "logs": RAW_LOGS}
 NEEDED = {"exchange": ["trade_id", "created_time", "yes_price_dollars", "no_price_dollars", "count_fp", "taker_outcome_side"], "fills": ["id", "timestamp", "price", "size", "side", "market"], "logs": ["topics", "data", "transactionHash", "logIndex", "blockTimestamp"]}
 
 
-def read_raw(spark: SparkSession, kind: str, path: str | list[str], partitions: int | None = None) -> DataFrame:
-    """JSON lines, gzip or not, globs allowed; fails on malformed or incomplete records. partitions deals out gzip files, which one task each reads."""
+def read_raw(spark: SparkSession, kind: str, path: str | list[str], partitions: int | None = None, folder: bool = False) -> DataFrame:
+    """JSON lines, gzip or not, globs allowed; fails on malformed or incomplete records. partitions deals out gzip files, which one task each reads. folder: adds the name of the event's folder, above raw."""
     df = spark.read.schema(RAW[kind]).option("mode", "FAILFAST").json(path)
+    if folder:
+        df = df.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/raw/[^/]+$", 1))
     if partitions:
         df = df.repartition(partitions)
     checked = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{kind} record without {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in NEEDED[kind]}
     return df.withColumns(checked)
 
 
-def same_ticker(raw: DataFrame, ticker: str) -> DataFrame:
+def same_ticker(raw: DataFrame, ticker: Column | str) -> DataFrame:
     """raw; a record of another ticker is an error when it is read."""
     other: Column = F.raise_error(F.concat(F.lit("foreign ticker "), F.coalesce("ticker", F.lit("null"))))
     return raw.withColumn("ticker", F.when(F.col("ticker") == ticker, F.col("ticker")).otherwise(other.cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CLEAN
+from ..sources import files
 
 
 def read_clean(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -27,5 +28,8 @@ def vwap_bins(tape: DataFrame, width: str, late: str = "10 minutes") -> DataFram
 
 
 def land(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends all that is there to Parquet and returns; a later call resumes after it."""
+    """Appends all that is there to Parquet and returns; a later call resumes after it. Data without its checkpoint is an error, as they would be appended to from the start."""
+    spark = stream.sparkSession
+    if files.exists(spark, path) and not files.exists(spark, checkpoint):
+        raise FileExistsError(f"{path} exists without its checkpoint {checkpoint}")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

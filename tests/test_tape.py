@@ -133,7 +133,7 @@ def test_report(spark):
     m = match.match(match.aligned(merge.merge(t)), F.lit(300))
     points = report.chart_points(t, m, 5)
     assert points.count() == 5
-    page = report.chart_page(points, "e", "title", 2)
+    page = report.chart_page(points.toPandas(), "e", "title", 2)
     assert "<svg" in page and '"locked_in"' in page
     from crossloom.operators import portfolio
 
@@ -221,11 +221,35 @@ def test_stages(spark, tmp_path, capsys):
     fill = lambda i: {"id": f"p{i:03d}", "transactionHash": "0xh", "timestamp": str(1704067200 + 3600 * i), "price": f"0.{50 + i % 5}", "size": "5000000", "side": "BUY", "maker": {"id": "m"}, "taker": {"id": "t"}, "market": "11"}
     (folder / "raw/exchange.jsonl").write_text("".join(json.dumps(trade(i)) + "\n" for i in range(60)))
     (folder / "raw/fills.jsonl").write_text("".join(json.dumps(fill(i)) + "\n" for i in range(60)))
-    assert stages.main([str(tmp_path), "--all"]) == 0 and (folder / "results/results.txt").read_text() in capsys.readouterr().out
+    other = tmp_path / "b"
+    (other / "raw").mkdir(parents=True)
+    (other / "event.json").write_text(json.dumps({"slug": "b", "kalshi_ticker": "U", "polymarket_condition_id": "0x2", "polymarket_token_ids": ["33", "44"], "polymarket_exchange": EXCHANGE, "window_seconds": 10, "resolution": "NO"}))
+    (other / "raw/exchange.jsonl").write_text("".join(json.dumps(trade(i) | {"ticker": "U"}) + "\n" for i in range(30)))
+    # 55 is a token that the event does not name: it stays its own outcome
+    (other / "raw/fills.jsonl").write_text("".join(json.dumps(fill(i) | {"market": "33" if i else "55", "taker": {"id": EXCHANGE if i == 5 else "t"}}) + "\n" for i in range(30)))
+    assert stages.main([str(tmp_path), "--all"]) == 0
+    said = capsys.readouterr().out
+    assert (folder / "results/results.txt").read_text() in said and (other / "results/results.txt").read_text() in said
+    assert "fills read: rows 90, aggregate 1, unpriced 0" in said and "clean written: rows 179, exchange 90, chain 89" in said
+    tables = stages.Places.of_all(str(tmp_path))
+    tape = tables.read(spark, tables.clean)
+    assert {r.outcome for r in tape.where("slug = 'b' AND venue = 'polymarket'").collect()} == {"YES", "55"}
+    assert {r.slug: r["count"] for r in tape.groupBy("slug").count().collect()} == {"a": 120, "b": 59}
+    event = config.load_event(str(tmp_path), "a")
+    alone = stages.run(spark, event, force=True, csv=True)
+    assert (folder / "results/results.txt").read_text() in alone
     with pytest.raises(Exception, match="(?i)exist"):
-        stages.run(spark, config.load_event(str(tmp_path)))
-    event = config.load_event(str(tmp_path))
+        stages.run(spark, event)
     assert [r.unix_ts for r in spark.read.parquet(event.path("clean_exchange")).collect()] == sorted(r.unix_ts for r in spark.read.parquet(event.path("clean_exchange")).collect())
+    # tables of one event and of all agree
+    for kind, place in (("matches", tables.matches), ("merged", tables.merged)):
+        mine, all_of = spark.read.parquet(event.path(kind)), tables.read(spark, place).where("slug = 'a'")
+        assert sorted(mine.collect(), key=repr) == sorted(all_of.select(mine.columns).collect(), key=repr)
+    lines = (folder / "csv/exchange.csv").read_bytes().split(b"\r\n")
+    assert lines[0] == b"venue,timestamp,unix_ts,trade_id,outcome,side,price,quantity,notional_usd,yes_price,tx_hash,maker,taker,is_block_trade" and len(lines) == 62
+    assert lines[1] == b"kalshi,2024-01-01T00:00:05+00:00,1704067205,k000,YES,BUY,0.4,5,2.0,0.4,,,,False"
+    matched = (folder / "csv/matched_trades.csv").read_text().splitlines()
+    assert matched[0] == "timestamp,market,trade_id,side,size,yes_price,no_price" and matched[1] == "1704067200,poly,p000,YES,10.000,0.500,0.500" or len(matched) > 1
     heads = spark.createDataFrame([("a", "kalshi", "k059"), ("a", "polymarket", "p000")], "slug string, venue string, trade_id string")
     counters = spark.createDataFrame([("11", 61)], "market string, expected long")
     ok, text = stages.validate(spark, event, heads, counters, allow_partial=True)
@@ -233,8 +257,91 @@ def test_stages(spark, tmp_path, capsys):
     with pytest.raises(combine.Incomplete):
         stages.validate(spark, event, counters=counters)
     assert stages.main([str(tmp_path), "a", "--stage", "validate"]) == 0
+    # the command asks the feeds, and fails on a tape that is short or whose stored time falls
+    asked = ["--transport", "tests.test_tape:fake_index", "--fills-url", "u", "--trades-url", "u"]
+    assert stages.main([str(tmp_path), "a", "--stage", "validate", *asked]) == 1
+    assert stages.main([str(tmp_path), "a", "--stage", "validate", *asked, "--allow-partial"]) == 0
+    assert "incomplete 22: 0 of 3" in capsys.readouterr().out
+    falling = spark.read.parquet(event.path("clean_exchange")).orderBy(F.desc("unix_ts")).collect()
+    files.write(spark.createDataFrame(falling, CLEAN).coalesce(1), event.path("clean_exchange"), force=True)
+    assert stages.main([str(tmp_path), "a", "--stage", "validate"]) == 1 and "kalshi time_order: 59 violations" in capsys.readouterr().out
     assert stages.main([str(tmp_path), "a", "--stage", "sync", "--shock", "1704150000"]) == 0
     assert "horizon 300" in capsys.readouterr().out
+    # shards meet in the raw file once each; a short one fails unless that is meant
+    lines = (folder / "raw/fills.jsonl").read_text().splitlines(keepends=True)
+    (folder / "raw/fills.part1.jsonl").write_text("".join(lines[:40]))
+    (folder / "raw/fills.part2.jsonl").write_text("".join(lines[30:]) + json.dumps(fill(1) | {"id": "x", "market": "77"}) + "\n")
+    (folder / "raw/fills.jsonl").unlink()
+    assert stages.main([str(tmp_path), "a", "--stage", "combine"]) == 0 and "rows 71, foreign_rows 1, duplicates 10" in capsys.readouterr().out
+    assert stages.main([str(tmp_path), "a", "--stage", "combine", "--force", *asked]) == 1
+    assert stages.main([str(tmp_path), "a", "--stage", "combine", "--force", "--allow-partial", *asked]) == 0
+    assert sorted(r.value for r in files.read_lines(spark, str(folder / "raw/fills.jsonl")).collect()) == sorted(x.strip() for x in lines)
+    # without raw trades, matched prices are charted only if that is allowed
+    (folder / "raw/exchange.jsonl").unlink()
+    page = (folder / "results/charts.html").read_text()
+    assert "need --allow-subset" in stages.run(spark, event, force=True) and (folder / "results/charts.html").read_text() == page
+    assert stages.main([str(tmp_path), "a", "--allow-subset", "--force"]) == 0 and "(matched prices)" in (folder / "results/charts.html").read_text()
+
+
+def fake_index(url, payload):
+    """60 fills of token 11 and 3 of token 22; k059 is the newest trade."""
+    if payload is None:
+        return {"trades": [{"trade_id": "k059"}]}
+    token = payload["variables"]["token"]
+    return {"data": {"orderbook": {"tradesQuantity": {"11": "60"}.get(token, "3"), "buysQuantity": "0", "sellsQuantity": "0"}}}
+
+
+def test_matched_trades_that_the_tape_lacks(spark):
+    t = clean_rows(spark, [("kalshi", 6, "k", 0.4, 10.0), ("polymarket", 6, "p", 0.6, 10.0)])
+    rows = match.aligned(merge.merge(t))
+    m = match.match(rows, F.lit(300))
+    assert report.uncovered(rows, m).collect() == []
+    assert [(r.market, r.id) for r in report.uncovered(rows.where("market = 'kalshi'"), m).collect()] == [("poly", "p")]
+
+
+def test_ordered_csv_is_one_file_byte_by_byte(spark, tmp_path):
+    from crossloom.sources import export
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i / 2, f'say "{i}", ok' if i == 4 else f"t{i}", i % 2 == 0) for i in range(200)], "i long, x double, t string, b boolean").repartition(5)
+    path = str(tmp_path / "out.csv")
+    export.ordered_csv(rows.orderBy("i"), path, "crlf", ["x"])
+    cell = lambda i: "" if i % 3 == 0 else str(i // 2) if i % 2 == 0 else repr(i / 2)
+    text = lambda i: '"say ""4"", ok"' if i == 4 else f"t{i}"
+    want = "i,x,t,b\r\n" + "".join(f"{i},{cell(i)},{text(i)},{i % 2 == 0}\r\n" for i in range(200))
+    assert (tmp_path / "out.csv").read_bytes() == want.encode() and [p.name for p in tmp_path.iterdir()] == ["out.csv"]
+    with pytest.raises(Exception, match="exists already"):
+        export.ordered_csv(rows, path)
+    bad = rows.withColumn("t", F.when(F.col("i") == 150, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        export.ordered_csv(bad, path, force=True)
+    assert (tmp_path / "out.csv").read_bytes() == want.encode() and [p.name for p in tmp_path.iterdir()] == ["out.csv"]
+    times = spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS a, timestamp'2024-01-02 03:04:05.25' AS b").select(export.iso(F.col("a")), export.iso(F.col("b"))).first()
+    assert tuple(times) == ("2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.250000+00:00")
+
+
+def test_percentiles_equal_linear_interpolation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"few": rng.normal(size=7), "two": np.array([1.0, 4.0]), "one": np.array([2.5]), "many": rng.lognormal(size=30_000), "ties": np.round(rng.exponential(size=20_000), 1)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("few", None)], "g string, v double").repartition(6)
+    got = {r.g: (r.p1, r.p50, r.p90, r.p99) for r in sync.percentiles(df, ["g"], "v", {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}).collect()}
+    assert got.keys() == values.keys()
+    for k, x in values.items():
+        assert np.allclose(got[k], np.quantile(x, [0.01, 0.5, 0.9, 0.99]), rtol=1e-12)
+
+
+def test_running_sums_by_stretches(spark, monkeypatch):
+    from crossloom.operators import portfolio
+
+    monkeypatch.setattr(portfolio, "BITS", 3)
+    orders = [0, 1, 7, 8, 9, 63, 64, 500, 511, 512, 4095, 4096, 100_000]
+    df = spark.createDataFrame([(s, o, float(o % 7 + 1)) for s in ("a", "b") for o in orders], "slug string, at long, x double").repartition(3)
+    got = {(r.slug, r.at): r.x for r in portfolio.running_sums(df, "slug", "at", ["x"]).collect()}
+    total = 0.0
+    for o in orders:
+        total += o % 7 + 1
+        assert got["a", o] == got["b", o] == total
 
 
 def test_streams(spark, tmp_path):
