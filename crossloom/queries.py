@@ -271,12 +271,20 @@ _VWAP = """, wide AS (SELECT slug, width, bin, max(p) FILTER (venue = 'kalshi')
 _WIDE_BINS = [300, 1800, 3600, 14_400]
 
 
-@_register(_VWAP.replace("{bins}", ", ".join(f"({b})" for b in _WIDE_BINS)) + "SELECT slug, width, bin, round(k, 6) AS kalshi, round(p, 6) AS polymarket FROM wide")
+def _vwap_sql(bins: list[int]) -> str:
+    return _VWAP.replace("{bins}", ", ".join(f"({b})" for b in bins))
+
+
+_VWAP_BINS = "SELECT slug, width, bin, round(k, 6) AS kalshi, round(p, 6) AS polymarket FROM wide"
+_EPPS = """SELECT slug, width, count(*) AS n, CASE WHEN count(*) < 50 OR stddev_pop(dk) = 0 OR stddev_pop(dp) = 0 THEN NULL ELSE round(corr(dk, dp), 5) END AS corr FROM (SELECT a.slug, a.width, a.k - b.k AS dk, a.p - b.p AS dp FROM wide a JOIN wide b ON a.slug = b.slug AND a.width = b.width AND a.bin = b.bin + b.width) GROUP BY slug, width"""
+
+
+@_register(_vwap_sql(_WIDE_BINS) + _VWAP_BINS)
 def vwap_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.vwap_bins(_tape(spark, sf_dir), _WIDE_BINS).select("slug", "width", "bin", _r("kalshi"), _r("polymarket"))
 
 
-@_register(_VWAP.replace("{bins}", ", ".join(f"({b})" for b in _WIDE_BINS)) + """SELECT slug, width, count(*) AS n, CASE WHEN count(*) < 50 OR stddev_pop(dk) = 0 OR stddev_pop(dp) = 0 THEN NULL ELSE round(corr(dk, dp), 5) END AS corr FROM (SELECT a.slug, a.width, a.k - b.k AS dk, a.p - b.p AS dp FROM wide a JOIN wide b ON a.slug = b.slug AND a.width = b.width AND a.bin = b.bin + b.width) GROUP BY slug, width""")
+@_register(_vwap_sql(_WIDE_BINS) + _EPPS)
 def epps_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.epps_curve(_tape(spark, sf_dir), _WIDE_BINS).select("slug", "width", "n", _r("corr", 5))
 
@@ -311,7 +319,10 @@ s AS (SELECT slug, regime, b, lag(b) OVER (PARTITION BY slug, regime ORDER BY ts
 fit AS (SELECT slug, regime, count(*) AS n, avg(b) AS mean, stddev_pop(b) AS sd, regr_slope(b, q) AS phi FROM s GROUP BY ALL)"""
 
 
-@_register(_LIFE + "\nSELECT slug, regime, n, CASE WHEN n >= 50 THEN round(mean, 5) END AS mean, CASE WHEN n >= 50 THEN round(sd, 5) END AS sd, CASE WHEN n >= 50 THEN round(phi, 5) END AS phi, CASE WHEN n >= 50 AND phi > 0 AND phi < 1 THEN round(-ln(2) / ln(phi), 3) END AS half_life FROM fit")
+_LIFE_FIT = "\nSELECT slug, regime, n, CASE WHEN n >= 50 THEN round(mean, 5) END AS mean, CASE WHEN n >= 50 THEN round(sd, 5) END AS sd, CASE WHEN n >= 50 THEN round(phi, 5) END AS phi, CASE WHEN n >= 50 AND phi > 0 AND phi < 1 THEN round(-ln(2) / ln(phi), 3) END AS half_life FROM fit"
+
+
+@_register(_LIFE + _LIFE_FIT)
 def half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled every minute from the begin of each regime, as the measure is defined."""
     return sync.verdict(_life(spark, sf_dir), WINDOW).select("slug", "regime", "n", _r("mean", 5), _r("sd", 5), _r("phi", 5), _r("half_life", 3))
@@ -324,13 +335,17 @@ def window_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return life.where("half_life IS NOT NULL").select("slug", "regime", _r("window_half_lives", 3), _r("resync_95", 3))
 
 
-@_register(_GRID + """SELECT slug, venue, horizon, round(quantile_cont(c, 0.5), 5) AS p50, round(quantile_cont(c, 0.9), 5) AS p90, round(quantile_cont(c, 0.99), 5) AS p99 FROM (SELECT a.slug, a.venue, h AS horizon, abs(a.yes_price - b.yes_price) * 100 AS c FROM (SELECT *, ts - h AS back FROM grid CROSS JOIN (VALUES (60), (300), (600)) v(h)) a JOIN grid b ON a.slug = b.slug AND a.venue = b.venue AND a.back = b.ts) WHERE c IS NOT NULL GROUP BY slug, venue, horizon""")
+def _drift_sql(horizons: list[int]) -> str:
+    return _GRID + f"""SELECT slug, venue, horizon, round(quantile_cont(c, 0.5), 5) AS p50, round(quantile_cont(c, 0.9), 5) AS p90, round(quantile_cont(c, 0.99), 5) AS p99 FROM (SELECT a.slug, a.venue, h AS horizon, abs(a.yes_price - b.yes_price) * 100 AS c FROM (SELECT *, ts - h AS back FROM grid CROSS JOIN (VALUES {', '.join(f'({h})' for h in horizons)}) v(h)) a JOIN grid b ON a.slug = b.slug AND a.venue = b.venue AND a.back = b.ts) WHERE c IS NOT NULL GROUP BY slug, venue, horizon"""
+
+
+@_register(_drift_sql([60, 300, 600]))
 def drift_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.drift(_grid(spark, sf_dir), [60, 300, 600]).select("slug", "venue", "horizon", _r("p50", 5), _r("p90", 5), _r("p99", 5))
 
 
 # The same on every second of the overlap, with all bins and horizons. The queries above sample every STEP-th second
-# from its begin, as their SQL does. Every second of whole tables is too slow in SQL, so tests check these by brute force.
+# from its begin, as their SQL does. The filled grid, lags and drift of every second of whole tables are too slow in SQL, so tests check these by brute force.
 def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tape(spark, sf_dir)
     return series.second_grid(t, series.overlap(t))
@@ -351,7 +366,7 @@ def second_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.peak_lag(sync.lead_lag(_seconds(spark, sf_dir))).select("slug", "horizon", "lag", "leader")
 
 
-@_register()
+@_register(_LIFE + _LIFE_FIT)
 def second_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     life = sync.half_life(_seconds(spark, sf_dir), sync.regimes(series.overlap(_tape(spark, sf_dir)), SHOCK))
     return sync.verdict(life, WINDOW).select("slug", "regime", "n", _r("mean", 5), _r("sd", 5), _r("phi", 5), _r("half_life", 3))
@@ -362,12 +377,12 @@ def second_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.drift(_seconds(spark, sf_dir)).select("slug", "venue", "horizon", _r("p50", 5), _r("p90", 5), _r("p99", 5))
 
 
-@_register()
+@_register(_vwap_sql(sync.EPPS_BINS) + _VWAP_BINS)
 def vwap_all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.vwap_bins(_tape(spark, sf_dir), sync.EPPS_BINS).select("slug", "width", "bin", _r("kalshi"), _r("polymarket"))
 
 
-@_register()
+@_register(_vwap_sql(sync.EPPS_BINS) + _EPPS)
 def epps_all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.epps_curve(_tape(spark, sf_dir)).select("slug", "width", "n", _r("corr", 5))
 
