@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crossloom.llm import maxent_lm as m
 from crossloom.llm.words import U
@@ -121,8 +122,6 @@ def test_one_batch_steps_every_template(monkeypatch):
 
 def test_rounds_cover_every_text_once(spark, fitted):
     _, docs, model, _ = fitted
-    from pyspark.sql import functions as F
-
     share = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"))), F.lit(m.ROUNDS))
     parts = [docs.where(share == k).count() for k in range(m.ROUNDS)]
     assert sum(parts) == docs.count() and min(parts) > 0
@@ -142,3 +141,21 @@ def test_odd_rows(spark):
     assert m.score(docs.limit(0), model, counts).count() == 0
 
 
+
+
+def test_reach_goes_from_the_sum_to_the_mean_of_moves():
+    tasks = np.array([1, 4, 4, 4, 16])
+    got = m.reach(np.array([50, 4, 100, 4000, 16]), tasks, 100.0)
+    # one task: as it moved; few tokens each: as the root of the tasks; many each: the mean
+    assert np.allclose(got, [1, 2, 2, 1, 4])
+
+
+def test_many_tasks_learn_nearly_as_much_as_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = {}
+    for parts in (1, 4, 8):
+        model, counts = m.train(docs.where(~held).repartition(parts, "doc_id"))
+        r = m.score(docs.where(held), model, counts).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        found[parts], plain = r[0] / r[2], r[1] / r[2]
+    assert max(found.values()) - min(found.values()) < 0.04 and min(found.values()) > plain + 0.15
