@@ -111,9 +111,15 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
     spread = _wide(grid).select("slug", "ts", (F.col("kalshi") - F.col("polymarket")).alias("b"))
     first = spread.groupBy("slug").agg(F.min("ts").alias("_first"))
     r = regimes.join(first, "slug").select("slug", "regime", F.greatest("from_ts", "_first").alias("_lo"), F.col("to_ts").alias("_hi"))
-    # few events are sent to every task, so that long tapes do not meet by slug alone
-    few = regimes.limit(FEW + 1).count() <= FEW
-    s = spread.join(F.broadcast(r) if few else r, "slug").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
+    # few regimes are sent to every task; more meet their tapes day by day, so that a long tape is no hot key
+    keys = ["slug"]
+    if regimes.limit(FEW + 1).count() <= FEW:
+        r = F.broadcast(r)
+    else:
+        keys, day = ["slug", "_day"], lambda c: F.floor(c / 86_400)
+        r = r.where("_lo < _hi").withColumn("_day", F.explode(F.sequence(day(F.col("_lo")), day(F.col("_hi") - 1))))
+        spread = spread.withColumn("_day", day(F.col("ts")))
+    s = spread.join(r, keys).drop("_day").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
     # the sample before is an equi-join away, so that no window spans a tape
     prior = s.select("slug", "regime", (F.col("ts") + step).alias("ts"), F.col("b").alias("_prev"))
     pairs = s.join(prior, ["slug", "regime", "ts"], "left")

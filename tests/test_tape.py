@@ -115,6 +115,12 @@ def test_sync_needs_enough_samples(spark):
     peak = sync.peak_lag(sync.lead_lag(grid, [60], 300, 60)).collect()[0]
     assert peak.lag == 0 and abs(peak.corr - 1) < 1e-9
     assert {r.regime: r.n for r in sync.half_life(grid, sync.regimes(bounds, 60 * 40)).collect()} == {"full": 80, "pre_shock": 40, "shock": 40}
+    # more regimes than are broadcast
+    few, sync.FEW = sync.FEW, 0
+    try:
+        assert {r.regime: r.n for r in sync.half_life(grid, sync.regimes(bounds, 60 * 40)).collect()} == {"full": 80, "pre_shock": 40, "shock": 40}
+    finally:
+        sync.FEW = few
 
 
 def test_events(spark, tmp_path):
