@@ -126,7 +126,7 @@ def clean_csv(tape: DataFrame, venue: str, path: str, force: bool = False) -> No
 
 
 def tables_csv(merged: DataFrame, matches: DataFrame, trades: DataFrame, folder: str, force: bool = False) -> None:
-    """merged.csv, arbitrage_final.csv and matched_trades.csv of one event; trades: in their order."""
+    """merged.csv, matches.csv and matched_trades.csv of one event; trades: in their order."""
     ordered_csv(merged.orderBy("timestamp", "id").select("timestamp", "id", "market", "side", "size", "yes_price", "no_price"), f"{folder}/merged.csv", whole=None, force=force)
-    ordered_csv(matches.orderBy("match_seq").select("poly_time", "kalshi_time", "poly_yes", "poly_no", "kalshi_yes", "kalshi_no", "arb_size", "poly_side", "kalshi_side"), f"{folder}/arbitrage_final.csv", force=force)
+    ordered_csv(matches.orderBy("match_seq").select("poly_time", "kalshi_time", "poly_yes", "poly_no", "kalshi_yes", "kalshi_no", "arb_size", "poly_side", "kalshi_side"), f"{folder}/matches.csv", force=force)
     ordered_csv(trades.select("timestamp", "market", "trade_id", "side", "size", "yes_price", "no_price"), f"{folder}/matched_trades.csv", force=force)
