@@ -14,8 +14,9 @@ document). Strings are judged on the input; matches never cross documents.
    The suffix array serves to build it and is not kept. From these samples the index streams, in text order,
    every place's matching statistic: the suffix before it in suffix order, and how long the two match (within a
    run both follow from the sample before). Windows that match in LENGTH bytes form chains; all but the
-   earliest window of a chain go. Contexts of an anchor with more than HOT of them do not fit a shard: their
-   windows are dealt one by one, by the hash of all their bytes, over all tasks.
+   earliest window of a chain go. An anchor with more than PART contexts has several indexes, over all tasks, each of
+   PART of its contexts; what each index leaves is the earliest window of every chain, and equal ones of
+   these meet by the hash of their bytes, so that of them too all but the earliest go.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than LENGTH stay whole; rows that
 repeat a doc_id are ordered by text, and equal ones are as any copies; a null doc_id comes first; other
@@ -39,7 +40,8 @@ from .words import U, mix, powers, prefix_hash
 
 LENGTH = 100
 SEED = 32
-HOT = 5_000
+#: Contexts of one anchor in an index, at most.
+PART = 5_000
 #: Bytes of contexts in one index, unless one anchor has more.
 INDEX_BYTES = 1 << 19
 #: Bytes of text whose anchors are one hash range, on average.
@@ -113,7 +115,7 @@ _OUT = "kind byte, doc long, start long, stop long, h long, range int, eh binary
 _TYPES = {"kind": pa.int8(), "range": pa.int32(), **{k: pa.binary() for k in ("eh", "ec", "edoc", "eat", "en", "bytes")}}
 
 
-def _rows(kind: int, n: int, **cols) -> pa.RecordBatch:
+def _rows(kind: int | np.ndarray, n: int, **cols) -> pa.RecordBatch:
     names = [c.split()[0] for c in _OUT.split(", ")]
     data = {"kind": np.full(n, kind, np.int8)} | cols
     return pa.RecordBatch.from_arrays([pa.array(data[c], _TYPES.get(c, pa.int64())) if c in data else pa.nulls(n, _TYPES.get(c, pa.int64())) for c in names], names=names)
@@ -179,7 +181,7 @@ def _entries(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _meet(scan: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Kind 0: spans to remove; kind 1: contested anchors (start: first window, stop: number of windows); kind 4: those of hot ones."""
+    """Kind 0: spans to remove; kind 1: contested anchors (start: first window, stop: number of windows); kind 4: those with several indexes, h then names one of them."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
@@ -193,8 +195,11 @@ def _meet(scan: DataFrame, length: int, ranges: int) -> DataFrame:
             e = {k: v[~again] for k, v in e.items()}
             del mine
             first = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
-            size = np.repeat(np.diff(np.r_[first, len(e["h"])]), np.diff(np.r_[first, len(e["h"])]))
-            for kind, at in ((1, (size > 1) & (size <= HOT)), (4, size > HOT)):
+            size = np.diff(np.r_[first, len(e["h"])])
+            rank, size = np.arange(len(e["h"])) - np.repeat(first, size), np.repeat(size, size)
+            several = size > PART
+            e["h"] = np.where(several, mix(e["h"] ^ mix((rank // PART + 1).astype(U))), e["h"])
+            for kind, at in ((1, (size > 1) & ~several), (4, several)):
                 if at.any():
                     out.append(pa.Table.from_batches([_rows(kind, int(at.sum()), doc=e["doc"][at], start=e["at"][at], stop=e["n"][at], h=e["h"][at].view(np.int64), range=(e["doc"][at] % ranges).astype(np.int32))]))
         pa.default_memory_pool().release_unused()
@@ -204,11 +209,11 @@ def _meet(scan: DataFrame, length: int, ranges: int) -> DataFrame:
 
 
 def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Kind 3: bytes of contested contexts, by the range of h; kind 2: windows of hot ones."""
+    """Bytes of contested contexts, by the range of h. Kind 3: all of an anchor; kind 5: of an anchor with several indexes."""
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "h", "kind")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, held = zstandard.ZstdDecompressor(), _Held(length, ranges)
+        unpack = zstandard.ZstdDecompressor()
         step = (2**64 - 1) // ranges + 1
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -217,32 +222,22 @@ def _fetch(texts: DataFrame, asked: DataFrame, length: int, ranges: int) -> Data
                 rows = asked.flatten()
                 start, count, h, kind = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 ends = np.cumsum(pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
-                got: dict[int, list] = {}
+                got: dict[tuple[int, int], list] = {}
                 at = 0
                 for doc, z, to in zip(b.column("doc").to_pylist(), b.column("z"), ends.tolist(), strict=True):
                     x = unpack.decompress(z.as_py())
                     for i in range(at, to):
                         first, n = int(start[i]), int(count[i])
-                        part = x[first : first + n + length - 1]
-                        if kind[i] == 4:
-                            s = prefix_hash(np.frombuffer(part, np.uint8), _TABLE)
-                            _, inv = powers(len(s))
-                            with np.errstate(over="ignore"):
-                                w = (s[length:] - s[:-length]) * inv[:n]
-                                held.add(mix(w ^ U(0x2545F4914F6CDD1D)), mix(w), doc, np.arange(first, first + n), np.ones(n, np.int64))
-                        else:
-                            got.setdefault((int(h[i]) % 2**64) // step, []).append((doc, first, n, int(h[i]), part))
+                        at_range = (int(h[i]) % 2**64) // step
+                        got.setdefault((5 if kind[i] == 4 else 3, at_range), []).append((doc, first, n, int(h[i]), x[first : first + n + length - 1]))
                     at = to
                 if got:
                     cols = {"range": [], "edoc": [], "eat": [], "en": [], "eh": [], "bytes": []}
-                    for k, parts in got.items():
+                    for (_, k), parts in got.items():
                         d, a, n, e, p = zip(*parts, strict=True)
                         for name, value in zip(cols, (k, pack(np.array(d, "i8")), pack(np.array(a, "u4")), pack(np.array(n, "u2")), pack(np.array(e, "i8")), b"".join(p)), strict=True):
                             cols[name].append(value)
-                    yield _rows(3, len(got), **cols)
-                if held.n >= FLUSH:
-                    yield from held.flush()
-        yield from held.flush()
+                    yield _rows(np.array([k for k, _ in got], np.int8), len(got), **cols)
 
     # joined alike at any size: a broadcast of what is asked would not last
     return texts.join(wanted.hint("merge"), "doc").mapInArrow(run, _OUT)
@@ -360,40 +355,54 @@ def later_windows(parts: list[bytes], length: int, piece: int = 1 << 16) -> np.n
 
 
 def _settle(fetched: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Kind 0: spans to remove among contested contexts and hot windows."""
+    """Kind 0: spans to remove among contested contexts; kind 2: windows that an index left of an anchor with several, by the hash of their bytes."""
+
+    def run(mine: pa.Table) -> pa.Table:
+        out = [_rows(0, 0)]
+        lists = [blobs(mine, k, t) for k, t in (("edoc", "i8"), ("eat", "u4"), ("en", "u2"), ("eh", "i8"))]
+        doc, at, n, h = (np.concatenate(x).astype(np.int64) for x in lists)
+        several = np.repeat(mine.column("kind").to_numpy() == 5, [len(x) for x in lists[0]])
+        raw = b"".join(mine.column("bytes").to_pylist())
+        size = n + length - 1
+        start = np.cumsum(size) - size
+        order = np.lexsort([at, doc, h])
+        # all contexts of an index's anchors, about INDEX_BYTES at a time
+        heads = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        share = np.cumsum(size[order])[np.r_[heads[1:], len(order)] - 1] // INDEX_BYTES
+        cuts = np.r_[heads[np.flatnonzero(np.r_[True, share[1:] != share[:-1]])], len(order)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            some = order[lo:hi]
+            some = some[np.lexsort([at[some], doc[some]])]
+            parts = [raw[start[i] : start[i] + size[i]] for i in some]
+            later = later_windows(parts, length)
+            windows = n[some]
+            past = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            where, owner = np.repeat(at[some], windows) + past, np.repeat(doc[some], windows)
+            if later.any() and (m := _marks(owner[later], where[later], np.ones(int(later.sum()), np.int64), length, ranges)):
+                out.append(m)
+            left = ~later & np.repeat(several[some], windows)
+            if left.any():
+                s = prefix_hash(np.frombuffer(b"".join(parts), np.uint8), _TABLE)
+                _, inv = powers(len(s))
+                place = (np.repeat(np.cumsum(size[some]) - size[some], windows) + past)[left]
+                with np.errstate(over="ignore"):
+                    w = (s[place + length] - s[place]) * inv[place]
+                    e = {"h": mix(w ^ U(0x2545F4914F6CDD1D)), "c": mix(w), "doc": owner[left], "at": where[left], "n": np.ones(int(left.sum()), np.int64)}
+                out.extend(_deal(_sorted(e), ranges))
+        return pa.Table.from_batches(out)
+
+    return fetched.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
+
+
+def _across(left: DataFrame, length: int, ranges: int) -> DataFrame:
+    """Kind 0: spans to remove among the windows that the indexes of one anchor left."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        out = [table.filter(pa.array(kinds == 0))]
-        hot = table.filter(pa.array(kinds == 2))
-        if len(hot):
-            e = _sorted(_entries(hot))
-            again = _repeats(e)
-            if again.any() and (m := _marks(e["doc"][again], e["at"][again], e["n"][again], length, ranges)):
-                out.append(pa.Table.from_batches([m]))
-        mine = table.filter(pa.array(kinds == 3))
-        if len(mine):
-            doc, at, n, h = (np.concatenate(blobs(mine, k, t)).astype(np.int64) for k, t in (("edoc", "i8"), ("eat", "u4"), ("en", "u2"), ("eh", "i8")))
-            raw = b"".join(mine.column("bytes").to_pylist())
-            size = n + length - 1
-            start = np.cumsum(size) - size
-            order = np.lexsort([at, doc, h])
-            # whole anchors, about INDEX_BYTES at a time
-            heads = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            share = np.cumsum(size[order])[np.r_[heads[1:], len(order)] - 1] // INDEX_BYTES
-            cuts = np.r_[heads[np.flatnonzero(np.r_[True, share[1:] != share[:-1]])], len(order)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                some = order[lo:hi]
-                some = some[np.lexsort([at[some], doc[some]])]
-                later = later_windows([raw[start[i] : start[i] + size[i]] for i in some], length)
-                windows = n[some]
-                where = np.repeat(at[some] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-                owner = np.repeat(doc[some], windows)
-                if later.any() and (m := _marks(owner[later], where[later], np.ones(int(later.sum()), np.int64), length, ranges)):
-                    out.append(pa.Table.from_batches([m]))
-        return pa.concat_tables(out)
+        e = _sorted(_entries(table))
+        again = _repeats(e)
+        return pa.Table.from_batches([_marks(e["doc"][again], e["at"][again], e["n"][again], length, ranges) or _rows(0, 0)])
 
-    return fetched.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
+    return left.repartition(max(1, ranges // 2), "range").groupBy("range").applyInArrow(run, _OUT)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -414,9 +423,9 @@ def _removed(docs: DataFrame, length: int, seed: int) -> DataFrame:
     met = materialize(_meet(_scan(docs.select("doc", "text"), length, seed, ranges), length, ranges), "met")
 
     texts = compressed(docs.select("doc", "text"))
-    settled = _settle(_fetch(texts, met.where("kind IN (1, 4)"), length, ranges), length, ranges)
-    marks = met.where("kind = 0").select("doc", "start", "stop").unionByName(settled.select("doc", "start", "stop"))
-    spans = materialize(marks, "spans").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    settled = materialize(_settle(_fetch(texts, met.where("kind IN (1, 4)"), length, ranges), length, ranges), "settled")
+    marks = met.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(_across(settled.where("kind = 2"), length, ranges))
+    spans = marks.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     return texts.join(spans.hint("merge"), "doc", "left")
 
 

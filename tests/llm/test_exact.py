@@ -105,14 +105,29 @@ def repeats_of(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot,index,flush", [(5000, 1 << 20, 200_000), (2, 1 << 20, 500), (5000, 2000, 500)])
-def test_long_repeats(docs, texts, hot, index, flush, monkeypatch):
-    for name, value in (("HOT", hot), ("INDEX_BYTES", index), ("FLUSH", flush)):
+@pytest.mark.parametrize("part,index,flush", [(5000, 1 << 20, 200_000), (2, 1 << 20, 500), (5000, 2000, 500), (3, 500, 500)])
+def test_long_repeats(docs, texts, part, index, flush, monkeypatch):
+    for name, value in (("PART", part), ("INDEX_BYTES", index), ("FLUSH", flush)):
         monkeypatch.setattr(repeats, name, value)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.spans(docs).collect()}
     assert got == dict(enumerate(repeats_of(texts, 100)))
 
 
+def test_long_repeats_at_the_edge_of_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", 4)
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    # ends that several texts share, so that equal windows are in different indexes of the passage's last anchor
+    ends = ["".join(rng.choice("ijk") for _ in range(rng.choice([5, 40, 90]))) for _ in range(25)]
+    texts = [rng.choice("xyz") * rng.randint(0, 50) + passage + rng.choice(ends)[: rng.randint(0, 90)] + rng.choice(ends) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    indexes = []
+    settle = repeats._settle
+    monkeypatch.setattr(repeats, "_settle", lambda fetched, *a: (indexes.append(fetched.where("kind = 5").count()), settle(fetched, *a))[1])
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.spans(docs).collect()} == dict(enumerate(repeats_of(texts, 100)))
+    assert indexes[0] > 4
+
+
 def test_long_repeats_of_repeated_rows(docs, texts):
     again = docs.where("doc_id IN (5, 6)")
     out = repeats.clean(docs.unionByName(again))
