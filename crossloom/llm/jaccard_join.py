@@ -51,6 +51,8 @@ LOCAL_RUN = 64
 CHUNK = 512
 #: Documents in a block of components' first documents, at most.
 HEADS = 256
+#: Nodes that a step of the components broadcasts, at most: each has more than one in so many of all edges' ends.
+CENTRES = 10_000
 
 
 class Bounds:
@@ -364,25 +366,38 @@ def _told_apart(runs: DataFrame, percent: int, n: int) -> DataFrame:
         turn += 1
 
 
+def _to_least(pairs: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """pairs a, b with m of their a; least: a, m, n (pairs of a; over all rows at most ends).
+
+    Nodes with more than their share of all pairs are sent to where these are. As each has such a share, there are
+    fewer than CENTRES of them at any size; the other nodes meet their pairs by a shuffle.
+    """
+    most = ends // CENTRES
+    centres = F.broadcast(least.where(F.col("n") > most).select("a", F.col("m").alias("_centre")))
+    met = pairs.join(centres, "a", "left")
+    others = met.where("_centre IS NULL").select("a", "b").join(least.where(F.col("n") <= most).select("a", "m"), "a")
+    return met.where("_centre IS NOT NULL").select("a", "b", F.col("_centre").alias("m")).unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node -> component (the least node it is joined with) for all nodes of the edges a, b (long)."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if e.isEmpty():
+    before, n = None, e.count()
+    if not n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
     while True:
         # large star: every neighbour above a node joins the least of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _to_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its neighbours below it join the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _to_least(large, low, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = materialize(small, "stars")
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0]
-        if mark == before:
+        n, total = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        if (n, total) == before:
             break
-        before = mark
+        before = (n, total)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

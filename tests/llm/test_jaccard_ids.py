@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from crossloom.llm import jaccard_join
 
 
@@ -46,3 +48,27 @@ def test_keep_one_takes_every_row_as_a_document(spark):
     # of two rows without an id that are near each other, either may stay
     assert len(first) == 1
     assert sorted([r for r in got if r not in first], key=repr) == sorted([(None, own[2]), (-1, own[3]), (7, own[4]), (7, own[5]), (8, own[6]), (3, own[1] + " more"), (9, own[7]), (None, None), (None, ""), (5, None)], key=repr)
+
+
+@pytest.mark.parametrize("centres", [10_000, 20, 2])
+def test_components(spark, monkeypatch, centres):
+    """Stars with low and high centres, chains and a loop against a union of sets; with few centres, most nodes meet by a shuffle."""
+    monkeypatch.setattr(jaccard_join, "CENTRES", centres)
+    rng = random.Random(centres)
+    edges = [(0, i) for i in range(1, 300)] + [(5000, i) for i in range(1000, 1300)] + [(i, i + 1) for i in range(2000, 2040)] + [(7, 7), (6000, 6000), (1100, 250)]
+    edges += [(3000 + i % 30, 3000 + (i + 1) % 30) for i in range(30)] + [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(120)]
+    edges += rng.sample(edges, 50)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
+    got = jaccard_join.components(spark.createDataFrame([rng.choice([e, e[::-1]]) for e in edges], "a long, b long").repartition(5)).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == {x: find(x) for x in root if x not in alone}
