@@ -26,7 +26,7 @@ columns of the input are not read by ``spans`` and are kept by ``clean``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 from .runtime import blobs, chunks, compressed, materialize, pack, ship, text_only, width
 from .words import U, mix, powers, prefix_hash
@@ -414,7 +415,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _removed(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc and z (compressed text) of every row, with its spans to remove (list of start, stop; null: none)."""
+    """doc, z (compressed text) and further columns of every row, with its spans to remove (list of start, stop; null: none)."""
     spark = docs.sparkSession
     ship(spark)
     # tasks and their shares stay of one size as the corpus grows
@@ -422,10 +423,11 @@ def _removed(docs: DataFrame, length: int, seed: int) -> DataFrame:
     ranges = max(width(spark, 2), int(size) // RANGE_BYTES)
     met = materialize(_meet(_scan(docs.select("doc", "text"), length, seed, ranges), length, ranges), "met")
 
-    texts = compressed(docs.select("doc", "text"))
-    settled = materialize(_settle(_fetch(texts, met.where("kind IN (1, 4)"), length, ranges), length, ranges), "settled")
+    bare = compressed(docs.select("doc", "text"))
+    settled = materialize(_settle(_fetch(bare, met.where("kind IN (1, 4)"), length, ranges), length, ranges), "settled")
     marks = met.where("kind = 0").unionByName(settled.where("kind = 0")).unionByName(_across(settled.where("kind = 2"), length, ranges))
     spans = marks.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    texts = compressed(docs.select("doc", "text", *[c for c in docs.columns if c not in ("doc", "text", "doc_id")]))
     return texts.join(spans.hint("merge"), "doc", "left")
 
 
@@ -444,7 +446,11 @@ def cut(x: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return rest, len(x) - len(rest), n
 
 
-def _apply(removed: DataFrame, schema: str, row) -> DataFrame:
+def _apply(removed: DataFrame, made: dict[str, DataType], row: Callable[..., tuple]) -> DataFrame:
+    """doc, what row(text, rest, bytes removed, runs removed) makes of it, and the further columns of removed."""
+    others = [f for f in removed.schema if f.name not in ("doc", "z", "spans")]
+    names = ["doc", *made, *[f.name for f in others]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
@@ -455,27 +461,27 @@ def _apply(removed: DataFrame, schema: str, row) -> DataFrame:
                     x = unpack.decompress(z)
                     out.append((doc, *row(x, *cut(x, [(s["start"], s["stop"]) for s in spans or ()]))))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c[0], str) else pa.array(c, pa.string()) for c in cols], names=[s.split()[0] for s in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], *[p.column(f.name) for f in others]], names=names)
 
-    return removed.mapInArrow(run, schema)
+    return removed.mapInArrow(run, StructType([StructField("doc", LongType()), *[StructField(c, t) for c, t in made.items()], *others]))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     keyed, plain = _keyed(text_only(docs))
-    out = _apply(_removed(keyed, length, seed), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda x, rest, gone, n: (len(x), gone, n, hashlib.sha256(rest).hexdigest()))
+    made = {"n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType()}
+    out = _apply(_removed(keyed.select("doc", "text"), length, seed), made, lambda x, rest, gone, n: (len(x), gone, n, hashlib.sha256(rest).hexdigest()))
     return out.withColumnRenamed("doc", "doc_id") if plain else keyed.select("doc_id", "doc").join(out, "doc").drop("doc")
 
 
 def clean(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with text and n_chars (if there) of what is left; code points that lose a byte go as a whole."""
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
-    keyed, _ = _keyed(rows)
-    left = _apply(_removed(keyed, length, seed), "doc long, _text string", lambda x, rest, gone, n: (rest.decode("utf-8", "ignore"),))
-    out = keyed.select("doc", *keep).join(left, "doc")
-    cols = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    keep = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
+    # the other columns go where the text goes, under names that meet no other
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()]).alias("_others"))
+    out = _apply(_removed(_keyed(rows)[0], length, seed), {"_text": StringType()}, lambda x, rest, gone, n: (rest.decode("utf-8", "ignore"),))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"_others.{keep[c]}").cast("long" if c == "doc_id" else docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def oracle(length: int = LENGTH) -> str:

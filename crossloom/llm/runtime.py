@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: Text bytes that a task works on at a time; one longer document is a batch of its own.
 CHUNK_BYTES = 1 << 21
@@ -56,15 +57,16 @@ def text_only(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def compressed(texts: DataFrame) -> DataFrame:
-    """The first column (a long) and z: the second one's UTF-8 bytes, compressed, for shuffles."""
-    name = texts.columns[0]
+    """The first column (a long) and z: the second one's UTF-8 bytes, compressed, for shuffles; then the other columns as they are."""
+    name, _, *others = texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=[name, "z"])
+            small = pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), small, *b.columns[2:]], names=[name, "z", *others])
 
-    return texts.mapInArrow(run, f"{name} long, z binary")
+    return texts.mapInArrow(run, StructType([StructField(name, LongType()), StructField("z", BinaryType()), *[StructField(c, texts.schema[c].dataType) for c in others]]))
 
 
 def expanded(z: pa.Array) -> pa.Array:

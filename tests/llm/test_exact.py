@@ -134,6 +134,18 @@ def test_long_repeats_of_repeated_rows(docs, texts):
     assert out.columns == docs.columns and out.count() == len(texts) + 2
 
 
+def test_long_repeats_keep_other_columns(spark):
+    """Columns of every kind stay with their rows, also those named like the operator's own."""
+    passage = " ".join(f"word{k}" for k in range(40)) + " "
+    rows = [(i, passage + str(i), {"a": [i]}, f"s{i}", None if i else "z", 7) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, doc map<string,array<int>>, `z spans` string, _others string, n_chars int")
+    out = repeats.clean(docs)
+    assert out.columns == docs.columns
+    got = sorted(out.collect())
+    assert [(r[0], *r[2:5]) for r in got] == [(r[0], *r[2:5]) for r in rows]
+    assert got[0].text == passage + "0" and all(r.text == str(r.doc_id) and r.n_chars == 1 for r in got[1:])
+
+
 def test_run_length_index():
     rng = random.Random(4)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 60))) for _ in range(60)] * 2
