@@ -368,6 +368,18 @@ def test_url_filter(spark):
             assert r.verdict == "allow"
 
 
+def test_url_rules_have_the_words_of_the_contract(spark, tmp_path):
+    from crossloom.llm.queries import op1_url_filter
+
+    told = [
+        ("http://news.example.com/en/8", "com/en/", "block"), ("http://blog.com/en/7", "com/en/", "block"), ("http://a.example.com/en/71", "example.com/en/7", "allow"),
+        ("http://example.net/de/9", "net/de/", "allow"), ("http://blog.net/de/8", "net/de/", "allow"), ("http://free-bets.example.net/de/", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net/de/8", "block"), ("http://WWW.example.net/de/81?q", "example.net/de/8", "block"), ("http://wiki.example.org/es/", "org/es/", "block"),
+    ]
+    spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(told)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r.rule, r.verdict) for r in op1_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()] == [t[1:] for t in told]
+
+
 def test_url_trees_reach_hosts_they_have_not_seen():
     rng = random.Random(3)
     odd = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(16, 30)))
