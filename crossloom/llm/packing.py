@@ -31,8 +31,6 @@ END_ID = 2
 #: Salts of a length, at least; beyond that a salt has about SALT_ROWS pieces, should all have one length.
 SALTS = 64
 SALT_ROWS = 250_000
-#: Words a worker remembers between batches; beyond that it forgets all.
-REMEMBER = 400_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -100,7 +98,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
 
 
 class WordCoder:
-    """Byte-level BPE ids, word by word: words that single spaces part are coded on their own and remembered."""
+    """Byte-level BPE ids of whole texts; part codes any text without the special token's string."""
 
     def __init__(self, path: str):
         import os
@@ -110,11 +108,10 @@ class WordCoder:
 
         self.whole = Tokenizer.from_file(path)
         self.part = self._word_encoder(path)
-        self.forget()
 
     @staticmethod
     def _word_encoder(path: str):
-        """The same vocabulary and merge ranks in the library that is quicker on short strings."""
+        """The same vocabulary and merge ranks in a quicker library."""
         import json
 
         import tiktoken
@@ -127,62 +124,11 @@ class WordCoder:
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, fresh: list[str]) -> None:
-        ids = [self.part(w) for w in fresh]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(sizes.sum()), len(self.known)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(ids) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.ends[n + 1 : n + 1 + len(ids)] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.known.update(zip(fresh, range(n, n + len(ids)), strict=True))
-
-    @staticmethod
-    def words(text: str) -> list[str] | None:
-        """Parts that the pre-tokenizer never joins; None if the text must be coded as a whole."""
-        if SPECIAL in text:
-            return None
-        head, *rest = text.split(" ")
-        out = [head] if head else []
-        glue = not head and bool(rest)
-        for w in rest:
-            # a space belongs to what follows it only between two solid characters
-            if not w or glue or w[0].isspace() or (out and out[-1][-1].isspace()):
-                if out:
-                    out[-1] += " " + w
-                else:
-                    out.append(" " + w)
-                glue = not w
-            else:
-                out.append(" " + w)
-        return out
-
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        wanted = set().union(*[ws for ws in split if ws])
-        fresh = list(wanted - self.known.keys())
-        if len(self.known) + len(fresh) > REMEMBER:
-            self.forget()
-            fresh = list(wanted)
-        self._learn(fresh)
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                yield np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-                continue
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-            total = int(sizes.sum())
-            place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
-            yield self.flat[place]
+        for t in texts:
+            # only the file's own library knows the special token's string
+            ids = self.whole.encode(t, add_special_tokens=False).ids if SPECIAL in t else self.part(t)
+            yield np.fromiter(ids, np.uint32, len(ids))
 
 
 _coders: dict[str, WordCoder] = {}

@@ -342,6 +342,25 @@ def test_quality_classifier(docs, spark, texts):
     assert quality_classifier.keep_good(docs, model).columns == docs.columns
 
 
+def test_packing_codes_texts_of_new_words_at_the_librarys_pace():
+    import time
+
+    coder = packing.WordCoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(4)
+    made = lambda: [" ".join("".join(rng.choice("aeiolnrstmd") for _ in range(rng.randint(4, 9))) + rng.choice(["", ".", ",\n"]) for _ in range(400)) for _ in range(200)]
+
+    def paces():
+        texts, start = made(), time.process_time()
+        plain = [coder.part(t) for t in texts]
+        middle = time.process_time()
+        assert [x.tolist() for x in coder.encode(texts)] == plain
+        return (time.process_time() - middle) / (middle - start)
+
+    assert min(paces() for _ in range(3)) < 2
+    runs = [" " * 100_000 + "a", "\n" * 50_000, "x" * 50_000, " \n\t " * 9_000 + "b", "a " * 20_000]
+    assert [x.tolist() for x in coder.encode(runs)] == [coder.whole.encode(t, add_special_tokens=False).ids for t in runs]
+
+
 def test_url_filter(spark):
     from crossloom.llm.queries import BLOCK_SEEDS, URL_RULES
 
