@@ -386,13 +386,13 @@ def components(edges: DataFrame) -> DataFrame:
     if not n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
-        # large star: every neighbour above a node joins the least of its neighbourhood
+        # large star: every neighbour above a node joins the least of its neighbourhood; written down, as the small star reads it five times
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _to_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: a node and its neighbours below it join the least of them
+        large = materialize(_to_least(both.where("b > a"), least, 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large-stars")
+        # small star: a node and its neighbours below it join the least of them; the node does so in the row of that least one
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _to_least(large, low, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        small = _to_least(large, low, n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         e = materialize(small, "stars")
         n, total = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if (n, total) == before:

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .runtime import materialize
 
 MAX_TRAIN = 20_000
 TREES = 24
@@ -161,6 +160,6 @@ def score(docs: DataFrame, model: Rules, keep: list[str] | None = None) -> DataF
 def keep_good(docs: DataFrame, model: Rules) -> DataFrame:
     """The rows of docs, all columns as they are, that score THRESHOLD or more."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
-    # written once, so that the filter does not repeat the statistics for every rule
-    scored = materialize(features(rows, ["_doc"]).select("_doc", model.score().alias("score")), "scored-documents")
-    return scored.where(F.col("score") >= THRESHOLD).select("_doc.*")
+    scored = features(rows, ["_doc"]).select("_doc", model.score().alias("score"))
+    # a filter would be pushed below the score and repeat the statistics for every rule; rows that explode to nothing are not
+    return scored.select(F.explode(F.when(F.col("score") >= THRESHOLD, F.array("_doc"))).alias("_doc")).select("_doc.*")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from crossloom.llm import jaccard_join
+from crossloom.llm.runtime import materialize
 
 
 def brute(rows, k, percent):
@@ -72,3 +73,18 @@ def test_components(spark, monkeypatch, centres):
     got = jaccard_join.components(spark.createDataFrame([rng.choice([e, e[::-1]]) for e in edges], "a long, b long").repartition(5)).collect()
     assert len(got) == len({r.node for r in got})
     assert {r.node: r.component for r in got} == {x: find(x) for x in root if x not in alone}
+
+
+def test_a_step_of_the_components_has_few_stages(spark):
+    edges = materialize(spark.createDataFrame([(i, i - 1) for i in range(1, 9)], "a long, b long"), "chain")
+    context = spark.sparkContext
+    context.setJobGroup("stars", "components of a chain")
+    try:
+        got = {r.node: r.component for r in jaccard_join.components(edges).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(9), 0)
+    # each adaptive step posts its plan anew, so plans that repeat a subtree weigh on the driver
+    tracker = context.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("stars")]
+    assert sum(stages) < 110, (sum(stages), len(stages))

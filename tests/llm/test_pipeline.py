@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from crossloom.llm import packing, quality_classifier, quality_rules
+from crossloom.llm import packing, quality_classifier, quality_rules, runtime
 
 from .test_exact import best_fit, linked, words
 
@@ -140,3 +140,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_before_the_join_hold_one_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    rows = [(i, t, "en", f"s{i % 3}", None, 0.5, "p") for i, t in enumerate(_texts())]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: f"file://{tmp_path}")
+    good = quality_rules.keep_good(docs)
+    # the fences meet the documents by a broadcast of known size, so no text is shuffled
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    n = good.count()
+    before = set(tmp_path.iterdir())
+    model = quality_classifier.fit(np.array([[float(i % 7 + j) for j in range(len(quality_classifier.FEATURES))] for i in range(200)]), np.array([float(i % 7 > 3) for i in range(200)]))
+    best = quality_classifier.keep_good(docs, model)
+    got = sorted(map(tuple, best.collect()), key=lambda r: r[0])
+    assert n and set(tmp_path.iterdir()) == before
+    ids = {r.doc_id for r in quality_classifier.score(docs, model).where(f"score >= {quality_classifier.THRESHOLD}").collect()}
+    assert best.columns == docs.columns and got == [r for r in rows if r[0] in ids] and 0 < len(ids) < len(rows)
