@@ -20,9 +20,12 @@ FEW = 100_000
 
 
 def vwap_bins(tape: DataFrame, bins: list[int]) -> DataFrame:
-    """slug, width, bin, kalshi, polymarket: volume-weighted prices of bins in which both venues traded."""
+    """slug, width, bin, kalshi, polymarket: volume-weighted prices of bins in which both venues traded. A bin of no volume has no price (NaN), and is kept."""
     rows = tape.select("slug", "venue", "unix_ts", "yes_price", "quantity", F.explode(F.array(*[F.lit(b) for b in bins])).alias("width"))
-    mean = rows.groupBy("slug", "venue", "width", time_bin("unix_ts", F.col("width")).alias("bin")).agg((F.sum(F.col("yes_price") * F.col("quantity")) / F.sum("quantity")).alias("price"))
+    paid, volume = F.sum(F.col("yes_price") * F.col("quantity")), F.sum("quantity")
+    # doubles divided by zero, which Spark's / refuses
+    price = F.when(volume == 0, paid * F.lit(float("inf"))).otherwise(paid / volume)
+    mean = rows.groupBy("slug", "venue", "width", time_bin("unix_ts", F.col("width")).alias("bin")).agg(price.alias("price"))
     of = lambda v: F.max(F.when(F.col("venue") == v, F.col("price"))).alias(v)
     return mean.groupBy("slug", "width", "bin").agg(of("kalshi"), of("polymarket")).where("kalshi IS NOT NULL AND polymarket IS NOT NULL")
 

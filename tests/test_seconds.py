@@ -1,8 +1,10 @@
 """The queries on every second, against brute force over a tape whose shock starts between two sampled seconds."""
 
 import datetime
+import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -90,3 +92,25 @@ def test_all_bins(spark, tape):
             assert abs(r["corr"] - np.corrcoef(np.array(steps).T)[0, 1]) < 1e-4
         else:
             assert r["corr"] is None
+
+
+def thin_tape(spark, tmp_path, trades):
+    """Path of a table of events from (second, venue, cents, quantity)."""
+    rows = [(i, datetime.datetime.fromtimestamp(t, datetime.UTC), v, "click", float(q), '{"k": %d}' % k) for i, (t, v, k, q) in enumerate(trades)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def from_sql(path, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return con.execute(queries.oracle_sql()[name]).fetchall()
+
+
+def test_bins_without_volume_are_kept(spark, tmp_path):
+    path = thin_tape(spark, tmp_path, [(START, 0, 40, 0), (START, 1, 50, 3), (START + 5, 0, 41, 2), (START + 5, 1, 52, 4), (START + 5, 1, 30, 0)])
+    for name in ("vwap_all_bins", "vwap_bins"):
+        rows = queries.queries()[name](spark, path).collect()
+        text = lambda found: sorted(map(str, map(tuple, found)))
+        assert text(rows) == text(from_sql(path, name)) and rows
+        assert any(r.width == 5 and math.isnan(r.kalshi) and r.polymarket == 0.5 for r in rows) or name == "vwap_bins"
