@@ -35,9 +35,11 @@ def epps_curve(tape: DataFrame, bins: list[int] | None = None) -> DataFrame:
     b = vwap_bins(tape, bins or EPPS_BINS)
     # the bin before is an equi-join away, so that no window spans a tape
     prior = b.select("slug", "width", (F.col("bin") + F.col("width")).alias("bin"), F.col("kalshi").alias("_k"), F.col("polymarket").alias("_p"))
-    d = b.join(prior, ["slug", "width", "bin"]).select("slug", "width", (F.col("kalshi") - F.col("_k")).alias("dk"), (F.col("polymarket") - F.col("_p")).alias("dp"))
+    d = b.join(prior.hint("merge"), ["slug", "width", "bin"]).select("slug", "width", (F.col("kalshi") - F.col("_k")).alias("dk"), (F.col("polymarket") - F.col("_p")).alias("dp"))
     flat = (F.stddev_pop("dk") == 0) | (F.stddev_pop("dp") == 0)
-    return d.groupBy("slug", "width").agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) < LEAST) | flat, None).otherwise(F.corr("dk", "dp")).alias("corr"))
+    # corr itself divides by zero where nothing varies, even in a branch that is not taken
+    corr = F.try_divide(F.covar_pop("dk", "dp"), F.stddev_pop("dk") * F.stddev_pop("dp"))
+    return d.groupBy("slug", "width").agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) < LEAST) | flat, None).otherwise(corr).alias("corr"))
 
 
 def _wide(grid: DataFrame) -> DataFrame:

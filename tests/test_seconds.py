@@ -114,3 +114,20 @@ def test_bins_without_volume_are_kept(spark, tmp_path):
         text = lambda found: sorted(map(str, map(tuple, found)))
         assert text(rows) == text(from_sql(path, name)) and rows
         assert any(r.width == 5 and math.isnan(r.kalshi) and r.polymarket == 0.5 for r in rows) or name == "vwap_bins"
+
+
+def test_correlation_of_flat_prices_is_null(spark, tmp_path):
+    begin = START - START % 1800
+    path = thin_tape(spark, tmp_path, [(begin + 10 * i + v, v, 40 if v else 30 + i % 7, 1) for i in range(200) for v in (0, 1)])
+    for name in ("epps_all_bins", "epps_curve"):
+        rows = queries.queries()[name](spark, path).collect()
+        assert sorted(map(tuple, rows)) == sorted(from_sql(path, name))
+    assert {r.width: (r.n, r["corr"]) for r in queries.queries()["epps_all_bins"](spark, path).collect()}[10] == (199, None)
+
+
+def test_correlation_takes_bins_without_volume(spark, tmp_path):
+    begin = START - START % 1800
+    path = thin_tape(spark, tmp_path, [(begin + 10 * i + v, v, 30 + (i * (v + 3)) % 7, i != 9) for i in range(200) for v in (0, 1)])
+    got = {r.width: (r.n, r["corr"]) for r in queries.queries()["epps_all_bins"](spark, path).collect()}
+    want = {width: (n, corr) for _, width, n, corr in from_sql(path, "epps_all_bins")}
+    assert str(sorted(got.items())) == str(sorted(want.items())) and got[10][0] == 199 and math.isnan(got[10][1])
