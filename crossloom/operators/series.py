@@ -6,6 +6,8 @@ last value of the earlier ones from a summary that has one row a bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ BUCKET = 86_400
 def forward_fill(df: DataFrame, keys: list[str], at: str, tie: str, columns: list[str], bucket: int = BUCKET) -> DataFrame:
     """Replaces nulls of columns by the last value before them in the order of at, then tie, within keys."""
     rows = df.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    seen = rows.groupBy(*keys, "_bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(at, tie))).alias(f"_{c}") for c in columns])
+    # rows without values tell only that their bucket is there; they are not sorted for it
+    seen = rows.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])).groupBy(*keys, "_bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(at, tie))).alias(f"_{c}") for c in columns])
+    seen = rows.select(*keys, "_bucket").distinct().join(seen.hint("merge"), [*keys, "_bucket"], "left")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = seen.select(*keys, "_bucket", *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in columns])
     w = Window.partitionBy(*keys, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(carried, [*keys, "_bucket"])
+    # of a grid, Spark knows only how small the table was that it was made from: left to itself it would broadcast all rows
+    out = rows.join(carried.hint("merge"), [*keys, "_bucket"])
     return out.select(*[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -40,6 +45,8 @@ def second_grid(tape: DataFrame, bounds: DataFrame, step: int = 1, distinct: boo
     """slug, venue, ts, yes_price for every step-th second of bounds (slug, lo, hi) from lo, filled forward; null before the first trade. distinct: each second once, should a slug have several bounds."""
     day = BUCKET - BUCKET % step
     days = bounds.where("lo <= hi").select("slug", "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / day))).alias("_day"))
+    # a few tapes are one small partition; their days are dealt out, as each becomes many seconds
+    days = days.repartition(int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slug", "_day")
     start = F.col("lo") + F.col("_day") * day
     seconds = days.select("slug", F.explode(F.sequence(start, F.least(F.col("hi"), start + day - 1), F.lit(step).cast("long"))).alias("ts"))
     # bounds of one slug may overlap

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time_bin
 from ..runtime import materialize
-from .series import second_grid
+from .series import BUCKET, second_grid
 
 EPPS_BINS = [5, 10, 30, 60, 120, 300, 600, 900, 1800]
 DRIFT_HORIZONS = [10, 30, 60, 120, 300, 600]
@@ -48,10 +48,15 @@ def _wide(grid: DataFrame) -> DataFrame:
 
 
 def changes(grid: DataFrame, horizons: list[int]) -> DataFrame:
-    """slug, venue, horizon, ts, change: price at ts less that horizon seconds before."""
-    ahead = grid.select("slug", "venue", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"), "ts", F.col("yes_price").alias("_then"))
-    now = grid.select("slug", "venue", "ts", F.col("yes_price").alias("_now"))
-    return ahead.select("slug", "venue", "horizon", (F.col("ts") + F.col("horizon")).alias("ts"), "_then").join(now, ["slug", "venue", "ts"]).select("slug", "venue", "horizon", "ts", (F.col("_now") - F.col("_then")).alias("change"))
+    """slug, venue, horizon, ts, change: price at ts less that horizon seconds before. grid has a second once."""
+    back, block = max(horizons), lambda c: F.floor(c / BUCKET)
+    # a second goes to each day that looks back to it; within a day the earlier price is a frame of one second away, so that no grid meets itself
+    rows = grid.select("slug", "venue", "ts", "yes_price", F.explode(F.sequence(block(F.col("ts")), block(F.col("ts") + back))).alias("_block"))
+    w = Window.partitionBy("slug", "venue", "_block").orderBy("ts")
+    then = {f"_{h}": F.first(F.struct("yes_price")).over(w.rangeBetween(-h, -h)) for h in horizons}
+    own = rows.withColumns(then).where(block(F.col("ts")) == F.col("_block"))
+    each = own.select("slug", "venue", "ts", "yes_price", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_{h}").alias("then")) for h in horizons])).alias("e"))
+    return each.where("e.then IS NOT NULL").select("slug", "venue", "e.horizon", "ts", (F.col("yes_price") - F.col("e.then.yes_price")).alias("change"))
 
 
 def lead_lag(grid: DataFrame, horizons: list[int] | None = None, max_lag: int = 1800, step: int = 60, block: int = 86_400) -> DataFrame:
@@ -113,7 +118,8 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
 
     regimes: slug, regime, from_ts, to_ts (half-open). Sampling starts anew at the first second of each regime.
     """
-    spread = _wide(grid).select("slug", "ts", (F.col("kalshi") - F.col("polymarket")).alias("b"))
+    # written down, as it is read three times
+    spread = materialize(_wide(grid).select("slug", "ts", (F.col("kalshi") - F.col("polymarket")).alias("b")), "spread")
     first = spread.groupBy("slug").agg(F.min("ts").alias("_first"))
     r = regimes.join(first, "slug").select("slug", "regime", F.greatest("from_ts", "_first").alias("_lo"), F.col("to_ts").alias("_hi"))
     # few regimes are sent to every task; more meet their tapes day by day, so that a long tape is no hot key
@@ -127,7 +133,8 @@ def half_life(grid: DataFrame, regimes: DataFrame, step: int = 60) -> DataFrame:
     s = spread.join(r, keys).drop("_day").where((F.col("ts") >= F.col("_lo")) & (F.col("ts") < F.col("_hi")) & (F.pmod(F.col("ts") - F.col("_lo"), F.lit(step)) == 0) & F.col("b").isNotNull())
     # the sample before is an equi-join away, so that no window spans a tape
     prior = s.select("slug", "regime", (F.col("ts") + step).alias("ts"), F.col("b").alias("_prev"))
-    pairs = s.join(prior, ["slug", "regime", "ts"], "left")
+    # samples of a grid look as small as the table that it was made from; they are not broadcast
+    pairs = s.join(prior.hint("merge"), ["slug", "regime", "ts"], "left")
     fit = pairs.groupBy("slug", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("mean"), F.stddev_pop("b").alias("sd"), F.regr_slope("b", "_prev").alias("phi"))
     enough = F.col("n") >= LEAST
     life = F.when(enough & (F.col("phi") > 0) & (F.col("phi") < 1), -F.lit(0.6931471805599453) / F.ln("phi"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from crossloom import queries
-from crossloom.operators import sync
+from crossloom.operators import series, sync
 
 START, END = queries.SHOCK - 4013, queries.SHOCK + 4790
 
@@ -131,3 +131,37 @@ def test_correlation_takes_bins_without_volume(spark, tmp_path):
     got = {r.width: (r.n, r["corr"]) for r in queries.queries()["epps_all_bins"](spark, path).collect()}
     want = {width: (n, corr) for _, width, n, corr in from_sql(path, "epps_all_bins")}
     assert str(sorted(got.items())) == str(sorted(want.items())) and got[10][0] == 199 and math.isnan(got[10][1])
+
+
+def joins(df):
+    """Joins of the plan that ran."""
+    df.collect()
+    return [line.strip(" :+-*()0123456789") for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_no_grid_is_broadcast(spark, tape):
+    """Grids look as small as the table that they are made from."""
+    t = queries._tape(spark, tape[0])
+    bounds = series.overlap(t)
+    grid = series.second_grid(t, bounds)
+    plans = {"grid": joins(grid), "changes": joins(sync.changes(grid, [10, 600])), "half-life": joins(sync.half_life(grid, sync.regimes(bounds, queries.SHOCK)))}
+    # but for the two venues, and the regimes
+    assert not [x for name in ("grid", "changes") for x in plans[name] if x.startswith("BroadcastHashJoin")]
+    assert {x.split()[0] for x in plans["half-life"] if "LeftOuter" in x} == {"SortMergeJoin"}
+
+
+def test_days_of_a_grid_are_dealt_out(spark, tape):
+    t = queries._tape(spark, tape[0])
+    bounds = spark.createDataFrame([("m0", START, START + 40 * 86_400)], "slug string, lo long, hi long")
+    plan = series.second_grid(t, bounds)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_changes_look_back_over_days(spark):
+    rng = random.Random(5)
+    prices = {t: rng.randrange(100) / 100 for t in range(-40, 3 * 86_400, 7) if rng.random() < 0.5}
+    grid = spark.createDataFrame([("a", "kalshi", t, p if t % 5 else None) for t, p in prices.items()], "slug string, venue string, ts long, yes_price double")
+    horizons = [7, 700, 86_401, 200_200]
+    got = {(r.horizon, r.ts): r.change for r in sync.changes(grid, horizons).collect()}
+    want = {(h, t): p - prices[t - h] if t % 5 and (t - h) % 5 else None for h in horizons for t, p in prices.items() if t - h in prices}
+    assert got == want
